@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, chat, mixing, packing, repetition, sharding, token_files
+from . import ann, chat, mixing, packing, pii, repetition, sharding, token_files
 
 QUERIES = {
     "op1_repair_ids": token_files.op1_repair_ids,
     "op2_suffix_repetition": repetition.op2_suffix_repetition,
     "op3_histogram_shards": sharding.op3_histogram_shards,
+    "op4_boosted_pii": pii.op4_boosted_pii,
     "op5_offset_masks": chat.op5_offset_masks,
     "op7_systematic_mix": mixing.op7_systematic_mix,
     "op8_length_buckets": packing.op8_length_buckets,
