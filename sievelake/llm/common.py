@@ -73,7 +73,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = split.flatten()
     owner = np.repeat(np.arange(len(texts)), lengths)
-    full = pc.greater(pc.binary_length(flat), 0)
+    full = pc.not_equal(flat, "")
     if not pc.all(full).as_py():  # blanks at either end leave empty strings
         owner = owner[full.to_numpy(zero_copy_only=False)]
         flat = flat.filter(full)
@@ -124,3 +124,43 @@ def rank_in_cells(df: DataFrame, group: list[str], cell: list[str], order: list[
         same = one if same is None else same & one
     joined = ranked.join(counts, same, "left")
     return joined.withColumn(out, (F.col("__cell_base") + F.col("__cell_rank")).cast("long")).drop("__cell_rank", "__cell_base", *[f"__c_{k}" for k in keys])
+
+
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each distinct word."""
+    import xxhash
+
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words.cast(pa.binary()).to_pylist()], np.uint64)
+
+
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """For each text the sorted hashes of its distinct ``size``-word shingles.
+
+    A-Z are lower-cased; a text of fewer words has one shingle of them all, a
+    text without words none.
+    """
+    codes, counts, words = words_of(pc.ascii_lower(texts))
+    if not len(codes):
+        return [np.zeros(0, np.uint64)] * len(texts)
+    h = word_hashes(words)[codes]
+    rolled = np.zeros(max(0, len(h) - size + 1), np.uint64)
+    for i in range(size):
+        rolled += h[i : i + len(rolled)] * _ODD[i]
+    rolled = hash_mix(rolled)
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= size:
+            part = np.sort(rolled[at : at + n - size + 1])
+            if len(part) > 1:
+                part = part[np.concatenate([[True], part[1:] != part[:-1]])]
+            out.append(part)
+        elif n:
+            with np.errstate(over="ignore"):
+                out.append(hash_mix(np.array([(h[at : at + n] * _ODD[:n]).sum(dtype=np.uint64) + np.uint64(n)], np.uint64) ^ _ODD[7]))
+        else:
+            out.append(np.zeros(0, np.uint64))
+        at += n
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, mixing, packing, pii, repetition, sharding, token_files
+from . import ann, chat, mixing, ngram_join, packing, pii, repetition, sharding, token_files
 
 QUERIES = {
     "op1_repair_ids": token_files.op1_repair_ids,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_histogram_shards": sharding.op3_histogram_shards,
     "op4_boosted_pii": pii.op4_boosted_pii,
     "op5_offset_masks": chat.op5_offset_masks,
+    "op6_rtree_jaccard": ngram_join.op6_rtree_jaccard,
     "op7_systematic_mix": mixing.op7_systematic_mix,
     "op8_length_buckets": packing.op8_length_buckets,
     "op10_one_bit_search": ann.op10_one_bit_search,
