@@ -1,24 +1,59 @@
-"""A training corpus from ``documents``: rules, near copies, personal data, mix, packing."""
+"""A training corpus from ``documents``.
+
+Repetition rules drop documents, near copies keep their first document, personal
+data is replaced, sources are brought to their weights, and what is left is
+packed into length buckets.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievelake.llm import common, mixing, ngram_join, packing, pii, repetition
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the limits on repeated passages."""
+    return repetition.repetition_rules(docs).filter("kept").select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones."""
+    return ngram_join.keep_first(docs).select(docs.columns)
+
 
-STAGES: list = []
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each found span replaced by its kind."""
+    redacted = pii.redact(pii.find_spans(docs))
+    if "n_chars" in docs.columns:
+        redacted = redacted.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return redacted.select(docs.columns)
 
-#: Near copies and fitted scores have no SQL; the stages are tested against brute force.
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.repeat_rows(mixing.systematic_mix(docs)).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each document of the mix in its bucket and batch."""
+    return packing.pack(docs).select("doc_id", "source", "n_tokens", "bucket", "bucket_len", "batch", "row_in_batch", "padding")
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("personal_data", personal_data), ("mix", mix), ("packed", packed)]
+
+#: Fitted scores and components have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over ``documents``, each written and reread."""
-    import uuid
-
-    from sievelake.llm import common
-
     docs = common.read(spark, sf_dir, "documents")
+    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        path = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs

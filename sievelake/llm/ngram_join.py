@@ -414,3 +414,19 @@ def jaccard_components(docs: DataFrame, most_frequent: int = 65_536, block_bytes
 
 def op6_rtree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(common.read(spark, sf_dir, "documents")).drop("h")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component: its smallest doc_id.
+
+    Documents without words are linked with nothing and all stay, as do rows
+    without doc_id that stand alone; of rows that repeat one stays.
+    """
+    found = jaccard_components(docs)
+    first = found.filter((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    marked = docs.withColumn("__text", F.xxhash64("text"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["__id"]) & (marked["__text"] == first["__h"]), "left_semi")
+    kept = kept.filter(worded).dropDuplicates(["doc_id", "__text"])
+    return kept.unionByName(marked.filter(~worded)).drop("__text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, mixing, ngram_join, packing, pii, repetition, sharding, token_files
+from . import ann, chat, mixing, ngram_join, packing, passages, pii, repetition, sharding, token_files
 
 QUERIES = {
     "op1_repair_ids": token_files.op1_repair_ids,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_rtree_jaccard": ngram_join.op6_rtree_jaccard,
     "op7_systematic_mix": mixing.op7_systematic_mix,
     "op8_length_buckets": packing.op8_length_buckets,
+    "op9_chained_passages": passages.op9_chained_passages,
     "op10_one_bit_search": ann.op10_one_bit_search,
 }
 
