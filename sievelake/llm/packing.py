@@ -94,9 +94,9 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, most_lengths:
     sized = docs.withColumn("n_tokens", common.word_count(F.col("text")) if length is None else length)
     lengths, counts, _ = length_histogram(sized.select("n_tokens"), most_lengths)
     ends = optimal_boundaries(lengths, counts, buckets) or [0]
-    array = F.array(*[F.lit(e).cast("long") for e in ends])
-    bucket = F.size(F.filter(array, lambda e: e < F.col("n_tokens"))).cast("int")
-    out = sized.withColumn("bucket", bucket).withColumn("bucket_len", F.element_at(array, F.col("bucket") + 1))
+    # plain conditions: inside a lambda the optimiser would count words anew for each boundary
+    bucket = F.coalesce(*[F.when(F.col("n_tokens") <= e, F.lit(i)) for i, e in enumerate(ends)])
+    out = sized.withColumn("bucket", bucket).withColumn("bucket_len", F.element_at(F.array(*[F.lit(e).cast("long") for e in ends]), F.col("bucket") + 1))
     out = out.withColumn("__salt", salt(F.col("doc_id"), 2))
     out = common.rank_in_cells(out, ["bucket"], ["__salt"], [F.col("n_tokens"), F.col("doc_id")], "__rank").drop("__salt")
     rows = F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1))), F.lit(1)).cast("long")
