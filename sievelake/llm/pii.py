@@ -110,14 +110,15 @@ def _share(x: Column, pattern: str) -> Column:
     return F.regexp_count(x, F.lit(pattern)) / F.greatest(F.length(x), F.lit(1))
 
 
-FEATURES = ("kind", "length", "digit", "letter", "hex", "upper", "gaps", "variety", "switches", "luhn", "digits", "cue", "contact_cue", "assigned", "vowel", "closed")
+FEATURES = ("kind", "length", "digit", "letter", "hex", "upper", "gaps", "variety", "switches", "luhn", "digits", "cue", "contact_cue", "assigned", "vowel", "closed", "dots")
 
 
-def features(kind: str, text: Column, left: Column, right: Column) -> list[Column]:
-    """Numbers about a candidate's format and what stands around it."""
+def features(kind: Column, text: Column, left: Column, right: Column) -> list[Column]:
+    """Numbers about a candidate of a generator (its name): its format and what
+    stands around it."""
     flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
     values = [
-        F.lit(float(list(GENERATORS).index(kind))),
+        F.array_position(F.array(*[F.lit(k) for k in GENERATORS]), kind) - 1,
         F.length(text),
         _share(text, "[0-9]"),
         _share(text, "[A-Za-z]"),
@@ -133,6 +134,7 @@ def features(kind: str, text: Column, left: Column, right: Column) -> list[Colum
         flag(left.rlike("[=:]\\x20?[\"']?$")),
         _share(text, "[aeiouAEIOU]"),
         flag(right.rlike("^[\"']")),
+        F.regexp_count(text, F.lit(r"[\[(]dot[\])]")),
     ]
     return [v.cast("double") for v in values]
 
@@ -163,6 +165,9 @@ def examples_table(spark: SparkSession, n: int) -> DataFrame:
         ("secret", F.substring(h("b"), 1, 32), cue, 1),
         ("secret", F.substring(word, 1, 20), plain, 0),
         ("secret", F.substring(word, 1, 18), cue, 0),
+        ("secret", F.initcap(F.concat(word, F.substring(word, 3, 12))), plain, 0),
+        ("secret", F.concat(F.substring(word, 1, 10), F.lit("-"), F.substring(word, 4, 9)), plain, 0),
+        ("secret", F.upper(word), plain, 0),
         ("secret", F.concat(F.substring(word, 1, 9), F.lit("/"), F.substring(word, 5, 9), num("s", 2)), plain, 0),
         ("secret", F.substring(h("c"), 1, 40), plain, 0),
         ("secret", F.concat(F.lit("2024-01-"), num("t", 2), F.lit("-"), F.substring(word, 1, 8)), plain, 0),
@@ -174,6 +179,8 @@ def examples_table(spark: SparkSession, n: int) -> DataFrame:
         ("number", F.concat(num("z", 1), F.lit("."), num("y", 3), F.lit("."), num("x", 4)), count, 0),
         ("contact", F.concat(local, F.lit(" (at) "), domain, F.lit(" (dot) com")), pick("g", ["mail ", "write to ", "contact "]), 1),
         ("contact", F.concat(local, F.lit("[at]"), domain, F.lit("[dot]org")), plain, 1),
+        ("contact", F.concat(F.substring(word, 1, 4), F.lit(" (at) "), F.substring(word, 3, 7), F.lit(" (dot) net")), plain, 1),
+        ("contact", F.concat(F.substring(word, 1, 3), F.lit("(at)"), F.substring(word, 4, 8), F.lit("(dot)org")), count, 1),
         ("contact", F.concat(F.substring(word, 1, 5), F.lit(" (at) "), pick("n", ["noon", "home", "once"]), F.lit(". "), F.substring(word, 3, 4)), count, 0),
     ]
     case = F.col("id") % len(cases)
@@ -207,7 +214,7 @@ def tree_column(description: str, value: Callable[[int], Column]) -> Column:
 _FITTED: dict[tuple, tuple[list[tuple[float, str]], dict[str, float]]] = {}
 
 
-def fit(spark: SparkSession, examples: int = 3400, rounds: int = 12, depth: int = 3, precision: float = 0.99) -> tuple[list[tuple[float, str]], dict[str, float]]:
+def fit(spark: SparkSession, examples: int = 4000, rounds: int = 20, depth: int = 3, precision: float = 0.99) -> tuple[list[tuple[float, str]], dict[str, float]]:
     """([(weight, tree)], {generator: threshold}) from ``examples`` rows."""
     key = (examples, rounds, depth, precision)
     if key in _FITTED:
@@ -215,9 +222,9 @@ def fit(spark: SparkSession, examples: int = 3400, rounds: int = 12, depth: int
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = examples_table(spark, examples)
-    per_kind = [F.when(F.col("kind") == k, F.array(*features(k, F.col("text"), F.col("left"), F.col("right")))) for k in GENERATORS]
-    rows = common.checkpoint(rows.select("kind", "label", "held", F.coalesce(*per_kind).alias("f")))
+    rows = common.checkpoint(examples_table(spark, examples))
+    rows = rows.select("kind", "label", "held", F.array(*features(F.col("kind"), F.col("text"), F.col("left"), F.col("right"))).alias("f"))
+    rows = common.checkpoint(rows)
     train = rows.filter(~F.col("held")).select(F.col("label").cast("double").alias("label"), array_to_vector("f").alias("features"))
     model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7, stepSize=0.3, checkpointInterval=-1).fit(train)
     trees = [(float(w), t.toDebugString) for w, t in zip(model.treeWeights, model.trees)]
@@ -267,7 +274,7 @@ def find_spans(docs: DataFrame, context: int = 24) -> DataFrame:
         def measured(m: Column) -> Column:
             left = F.substring(text, F.greatest(m["start"] - context, F.lit(0)) + 1, F.least(m["start"], F.lit(context)))
             right = F.substring(text, m["start"] + F.length(m["text"]) + 1, F.lit(2))
-            return F.struct(spanning(kind)(m).alias("span"), F.array(*features(kind, m["text"], left, right)).alias("f"))
+            return F.struct(spanning(kind)(m).alias("span"), F.array(*features(F.lit(kind), m["text"], left, right)).alias("f"))
 
         return measured
 
