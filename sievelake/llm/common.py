@@ -99,8 +99,9 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     if not total:
         return np.zeros(0, np.int64)
-    ends = np.cumsum(lengths)
-    return np.arange(total) - np.repeat(ends - lengths - starts, lengths)
+    shift = starts - (np.cumsum(lengths) - lengths)
+    kind = np.int32 if total + int(np.abs(starts).max()) < 1 << 31 else np.int64
+    return np.arange(total, dtype=kind) + np.repeat(shift.astype(kind), lengths)
 
 
 def rank_in_cells(df: DataFrame, group: list[str], cell: list[str], order: list[Column], out: str) -> DataFrame:

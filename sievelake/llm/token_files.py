@@ -20,13 +20,16 @@ columns of the input are left out.
 
 from __future__ import annotations
 
+import re
+import string
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,60 +43,107 @@ _NAMES = [c.split()[0] for c in SHARD.split(", ")]
 class WordEncoder:
     """Encodes texts with a tokenizer whose tokens never span white space.
 
-    Each distinct word goes through the tokenizer once; ASCII words are looked
-    up in lower case and without closing punctuation, which such a tokenizer
-    treats apart.  The tables are emptied beyond ``most`` words.
+    Each distinct stem goes through the tokenizer once: a word in lower case and
+    without closing punctuation, which such a tokenizer treats apart.  Words with
+    combining marks are taken as they are, since marks may compose with letters.
+    The table of stems is emptied beyond ``most``.
     """
 
-    CLOSING = ".,!?;:"
+    CLOSING = "".join(c for c in string.punctuation if c != "'")
+    CHUNK = 500
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.most = most
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.word_end[i] = piece.endswith("</w>")
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.stems: dict[str, array] = {}
-        self.ids, self.starts, self.lengths = array("I"), array("q"), array("q")
-
-    def _split(self, word: str) -> tuple[str, str]:
-        if not word.isascii():
-            return word, ""
-        word = word.lower()
-        stem = word.rstrip(self.CLOSING)
-        return (stem, word[len(stem) :]) if stem and stem[-1].isalpha() else (word, "")
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 16, np.int64)
+        self.n = self.n_ids = 0
+
+    def _tokenize(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(the words in another order, their ids, number of ids per word).
+
+        Words of letters alone are encoded a chunk at a time, parted by blanks:
+        each ends at a token that ends a word."""
+        plain = [w for w in words if w.isalpha()]
+        single = [w for w in words if not w.isalpha()]
+        chunks = [plain[i : i + self.CHUNK] for i in range(0, len(plain), self.CHUNK)]
+        order, ids, sizes = [], [], []
+        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
+            part = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(self.word_end[part]) + 1
+            if len(cuts) != len(chunk):  # a letter fell apart under normalisation
+                single += chunk
+                continue
+            order += chunk
+            ids.append(part)
+            sizes.append(np.diff(cuts, prepend=0))
+        for e in self.tokenizer.encode_batch_fast(single, add_special_tokens=False):
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(np.array([len(e.ids)]))
+        return order + single, np.concatenate(ids), np.concatenate(sizes)
 
     def _learn(self, words: list[str]) -> None:
-        split = [self._split(w) for w in words]
-        new = list({x for pair in split for x in pair if x and x not in self.stems})
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.stems[x] = array("I", e.ids)
-        for word, (stem, tail) in zip(words, split):
-            self.place[word] = len(self.starts)
-            self.starts.append(len(self.ids))
-            self.ids.extend(self.stems[stem])
-            if tail:
-                self.ids.extend(self.stems[tail])
-            self.lengths.append(len(self.ids) - self.starts[-1])
+        words, ids, sizes = self._tokenize(words)
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(words) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.ends[self.n : self.n + len(words)] = self.n_ids + np.cumsum(sizes)
+        self.place.update(zip(words, range(self.n, self.n + len(words))))
+        self.n, self.n_ids = self.n + len(words), self.n_ids + len(ids)
+
+    def _slices(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(start, length) in the table of ids for each of ``words``."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        at = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            unseen = [distinct[i] for i in missing]
+            self._learn(unseen)
+            at[missing] = np.fromiter(map(self.place.get, unseen), np.int64, len(unseen))
+        at = at[coded.indices.to_numpy(zero_copy_only=False)]
+        start = np.where(at > 0, self.ends[at - 1], 0)
+        return start, self.ends[at] - start
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids per text)."""
-        codes, counts, distinct = common.words_of(texts)
-        words = distinct.to_pylist()
-        if len(self.place) + len(words) > self.most:
+        codes, counts, words = common.words_of(texts)
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        if self.n + len(words) > self.most:
             self.clear()
-        if unseen := [w for w in words if w not in self.place]:
-            self._learn(unseen)
-        place = np.array([self.place[w] for w in words], np.int64)[codes] if len(words) else np.zeros(0, np.int64)
-        lengths = np.array(self.lengths, np.int64)[place] if len(words) else place
-        ids = np.array(self.ids, np.uint32)[common.ragged(np.array(self.starts, np.int64)[place], lengths)] if len(words) else np.zeros(0, np.uint32)
+        marked = pc.match_substring_regex(words, r"\p{M}") if not pc.all(pc.string_is_ascii(words)).as_py() else pa.scalar(False)
+        lower = pc.if_else(marked, words, pc.ascii_lower(words))
+        stem = pc.ascii_rtrim(lower, self.CLOSING)
+        closed = pc.not_equal(pc.binary_length(stem), pc.binary_length(lower))
+        parted = pc.and_(closed, pc.match_substring_regex(stem, "[a-z]$"))
+        stem = pc.if_else(parted, stem, lower)
+        s0, n0 = self._slices(stem)
+        s1, n1 = np.zeros_like(s0), np.zeros_like(n0)
+        where = parted.to_numpy(zero_copy_only=False)
+        if where.any():
+            tail = pc.replace_substring_regex(lower.filter(parted), rf"^.*?([{re.escape(self.CLOSING)}]*)$", r"\1")
+            s1[where], n1[where] = self._slices(tail)
+        # ids of each distinct word, one after the other, then of each word of the texts
+        both = self.ids[common.ragged(np.stack([s0, s1], 1).ravel(), np.stack([n0, n1], 1).ravel())]
+        size = n0 + n1
+        start = np.cumsum(size) - size
+        lengths = size[codes]
+        ids = both[common.ragged(start[codes], lengths)]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        return ids, np.diff(total[edges])
+        return ids, np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -106,7 +156,15 @@ def encoder_for(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def compress(ids: np.ndarray, rounds: int = 6, rules_a_round: int = 2048, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_TABLE = 1 << 18
+
+
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    """A place for each pair in a table of ``_TABLE`` slots."""
+    return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).view(np.int64)
+
+
+def compress(ids: np.ndarray, rounds: int = 3, rules_a_round: int = 8192, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, expansion lengths, sequence) of a Re-Pair grammar for ``ids``.
 
     A round replaces the ``rules_a_round`` most frequent pairs that occur at
@@ -124,16 +182,17 @@ def compress(ids: np.ndarray, rounds: int = 6, rules_a_round: int = 2048, least:
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        if len(often) > rules_a_round:
-            often = often[np.argsort(-counts[often], kind="stable")[:rules_a_round]]
-        chosen = np.sort(distinct[often])
-        lefts, rights = np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)
-        lefts[chosen >> 20] = True
-        rights[chosen & 0xFFFFF] = True
-        maybe = np.flatnonzero(lefts[sequence[:-1]] & rights[sequence[1:]])
-        at = np.minimum(np.searchsorted(chosen, pairs[maybe]), len(chosen) - 1)
-        hit = chosen[at] == pairs[maybe]
-        where, rule = maybe[hit], at[hit]
+        often = often[np.argsort(-counts[often], kind="stable")[:rules_a_round]]
+        chosen = distinct[often]
+        slots = np.full(_TABLE, -1, np.int32)
+        slots[_slot(chosen[::-1].copy())] = np.arange(len(chosen), dtype=np.int32)[::-1]  # of two in a slot the more frequent stays
+        at = slots[_slot(pairs)]
+        where = np.flatnonzero(at >= 0)
+        rule = at[where]
+        hit = chosen[rule] == pairs[where]
+        where, rule = where[hit], rule[hit]
+        if not len(where):
+            break
         # in a run of overlapping occurrences every second one, from the first
         run = np.concatenate([[True], np.diff(where) != 1])
         odd = (where - where[run][np.cumsum(run) - 1]) % 2 == 1
@@ -164,13 +223,22 @@ class Grammar:
         size[FIRST_RULE:] = expansions
         self.size = size
         self.ends = np.cumsum(size[sequence]) if len(sequence) else np.zeros(0, np.int64)
-        # expansions of all rules, one after the other; a rule only uses earlier ones
-        self.start = np.concatenate([[0], np.cumsum(expansions)])
-        self.flat = np.zeros(int(self.start[-1]), np.uint32)
-        for i, (a, b) in enumerate(rules.tolist()):
-            at, half = int(self.start[i]), int(size[a])
-            self.flat[at : at + half] = a if a < FIRST_RULE else self.flat[self.start[a - FIRST_RULE] : self.start[a - FIRST_RULE + 1]]
-            self.flat[at + half : int(self.start[i + 1])] = b if b < FIRST_RULE else self.flat[self.start[b - FIRST_RULE] : self.start[b - FIRST_RULE + 1]]
+        # ids, then the expansions of all rules; the rules of a round only use
+        # earlier rounds, so each round is written at once
+        self.start = FIRST_RULE + np.concatenate([[0], np.cumsum(expansions)])
+        self.table = np.zeros(int(self.start[-1]), np.uint32)
+        self.table[:FIRST_RULE] = np.arange(FIRST_RULE)
+        last, low = rules.max(1) - FIRST_RULE if len(rules) else np.zeros(0, np.int64), 0
+        while low < len(rules):
+            later = np.flatnonzero(last[low:] >= low)
+            high = low + int(later[0]) if len(later) else len(rules)
+            symbols = rules[low:high].ravel()
+            self.table[self.start[low] : self.start[high]] = self.table[common.ragged(self._places(symbols), size[symbols])]
+            low = high
+
+    def _places(self, symbols: np.ndarray) -> np.ndarray:
+        """Where the expansion of each symbol starts in the table."""
+        return np.where(symbols < FIRST_RULE, symbols, self.start[np.maximum(symbols - FIRST_RULE, 0)])
 
     def decode(self, first: int, last: int) -> np.ndarray:
         """Ids ``first`` up to, not including, ``last`` of the shard."""
@@ -180,9 +248,7 @@ class Grammar:
         b = int(np.searchsorted(self.ends, last, side="left")) + 1
         symbols = self.sequence[a:b]
         base = int(self.ends[a] - self.size[symbols[0]])
-        table = np.concatenate([np.arange(FIRST_RULE, dtype=np.uint32), self.flat])
-        starts = np.where(symbols < FIRST_RULE, symbols, FIRST_RULE + self.start[np.maximum(symbols - FIRST_RULE, 0)])
-        ids = table[common.ragged(starts, self.size[symbols])]
+        ids = self.table[common.ragged(self._places(symbols), self.size[symbols])]
         return ids[first - base : last - base]
 
 
@@ -190,7 +256,7 @@ def _three_bytes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = 1 << 18, block_bytes: int = 4_000_000) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_ids: int = 1 << 18, block_bytes: int = 8_000_000) -> None:
     """Encode ``docs`` (doc_id, text) and write them to ``path``."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
