@@ -13,6 +13,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import net
 from .casts import NUMBER
@@ -44,7 +45,7 @@ def ip(x: Column) -> Column:
     return _if(good, F.lower(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def cidr(x: pd.Series) -> pd.Series:
     import ipaddress
 
@@ -84,7 +85,7 @@ def boolean(x: Column) -> Column:
     return F.when(x.isin("1", "t", "T", "TRUE", "true", "True"), F.lit("true")).when(x.isin("0", "f", "F", "FALSE", "false", "False"), F.lit("false"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def email(x: pd.Series) -> pd.Series:
     from email.utils import parseaddr
 
@@ -157,7 +158,7 @@ def adversary(x: Column) -> Column:
     return _if(other.isNull(), text(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def expression(x: pd.Series) -> pd.Series:
     def one(v):
         try:
@@ -169,7 +170,7 @@ def expression(x: pd.Series) -> pd.Series:
     return x.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fingerprint(x: pd.Series) -> pd.Series:
     """SHA3-256 of the value, in hexadecimal."""
     return x.map(lambda v: None if v is None else hashlib.sha3_256(v.encode()).hexdigest())
