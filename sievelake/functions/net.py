@@ -52,7 +52,7 @@ def ip_key(address: Column) -> Column:
     right = F.when(F.size(halves) > 1, F.filter(F.split(F.get(halves, F.lit(1)), ":"), lambda g: g != "")).otherwise(F.array().cast("array<string>"))
     fill = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
     groups = F.concat(left, F.array_repeat(F.lit("0"), fill), right)
-    good = address.rlike(r"^(?i)[0-9a-f:]+$") & address.contains(":") & (F.size(groups) == 8) & F.forall(groups, lambda g: F.length(g) <= 4)
+    good = address.rlike(r"^(?i)[0-9a-f:]+$") & address.contains(":") & ~address.rlike("::.*::|:::") & (F.size(groups) == 8) & F.forall(groups, lambda g: F.length(g) <= 4)
     v6 = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
     return F.when(address.rlike(V4), v4).when(good, v6)
 

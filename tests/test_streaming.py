@@ -15,7 +15,7 @@ def collect(stream, spark, tmp_path, name):
 def source(spark, sf, tmp_path):
     rows = spark.read.parquet(f"{sf}/events.parquet")
     folder = str(tmp_path / "in")
-    rows.withColumn("ts", F.col("ts").cast("timestamp")).repartition(4).write.mode("overwrite").parquet(folder)
+    rows.withColumn("ts", F.col("ts").cast("timestamp")).repartition(4).write.mode("ignore").parquet(folder)
     schema = spark.read.parquet(folder).schema
     return spark.readStream.schema(schema).parquet(folder), spark.read.parquet(folder)
 
