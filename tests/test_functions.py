@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from sievelake.functions import casts, entities, net
+from sievelake.functions import casts, entities, net, semantics
 from sievelake.functions.record import Record, to_json
 from sievelake.operators import parsing, rules
 from sievelake.sources import mapping, names, tables
@@ -182,3 +182,12 @@ def test_mapping(spark):
     with pytest.raises(ValueError):
         mapping.check("binary", "term")
     mapping.check("text", "term")
+
+
+def test_semantic_types(spark):
+    assert len(semantics.KINDS) == 129 and set(semantics.KINDS.values()) <= set(entities.VALIDATORS)
+    df = spark.createDataFrame([("WWW.Example.com", None)], "a string, b string")
+    r = df.select(semantics.validate_semantic(F.col("a"), "hostname").alias("v"), semantics.attributes({"hostname": F.col("a"), "city": F.col("b")}).alias("m")).first()
+    assert r["v"]["value"] == "www.example.com" and r["m"] == {"hostname": "WWW.Example.com"}
+    with pytest.raises(ValueError):
+        semantics.validate_semantic(F.col("a"), "nothing")
