@@ -72,6 +72,14 @@ def packed_blocks(vectors: DataFrame, dim: int, rows: int, seed: int) -> DataFra
     return vectors.mapInArrow(run, BLOCK)
 
 
+def in_order(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products summed from the first component to the last."""
+    total = np.zeros(len(rows))
+    for j in range(rows.shape[1]):
+        total += rows[:, j] * query[j]
+    return total
+
+
 def best_of_block(q_ids, queries, turned, q_length, ids, codes, scalars, vectors, k: int, eps: float):
     """(query index, vec_id, score) of each query's ``k`` best in one block."""
     dim = queries.shape[1]
@@ -96,7 +104,11 @@ def best_of_block(q_ids, queries, turned, q_length, ids, codes, scalars, vectors
         if len(chosen) < m:
             chosen = np.union1d(chosen, first)
         score = (vectors[chosen] * queries[i]).sum(1)
-        best = np.lexsort((ids[chosen], -score))[:k]
+        # the best are summed again component by component, an order that SQL can follow
+        best = np.lexsort((ids[chosen], -score))[: k + 8]
+        score = score.copy()
+        score[best] = in_order(vectors[chosen[best]], queries[i])
+        best = best[np.lexsort((ids[chosen[best]], -score[best]))][:k]
         out_q.append(np.full(len(best), i))
         out_id.append(ids[chosen][best])
         out_score.append(score[best])
@@ -105,7 +117,7 @@ def best_of_block(q_ids, queries, turned, q_length, ids, codes, scalars, vectors
     return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_score)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, eps: float = 3.0, query_rows: int = 512, block_rows: int = 1024, groups: int = 4, seed: int = 17) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, eps: float = 3.0, query_rows: int = 512, block_rows: int = 4096, groups: int = 4, seed: int = 17) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` (id, vector)
     the ``k`` rows of ``vectors`` (id, vector) with the largest inner product."""
     vectors = vectors.toDF("__id", "__v")
@@ -175,3 +187,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, eps: float = 3.0
 def op10_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search(rows, rows.filter(F.col("vec_id") % 20 == 0))
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""

@@ -17,4 +17,9 @@ QUERIES = {
     "op10_one_bit_search": ann.op10_one_bit_search,
 }
 
-ORACLE_SQL = {"op7_systematic_mix": mixing.OP7_SQL}
+ORACLE_SQL = {
+    "op5_offset_masks": chat.OP5_SQL,
+    "op6_rtree_jaccard": ngram_join.OP6_SQL,
+    "op7_systematic_mix": mixing.OP7_SQL,
+    "op10_one_bit_search": ann.OP10_SQL,
+}

@@ -80,7 +80,7 @@ def test_empty(empty):
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=25), min_size=2, max_size=40))
 def test_bound_loses_no_pair(sets):
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
-    points, sizes = np.stack([ngram_join.point(a) for a in arrays]), np.array([len(a) for a in arrays])
+    points, sizes = [ngram_join.point(a) for a in arrays], np.array([len(a) for a in arrays])
     found = {tuple(sorted(p)) for p in ngram_join.surviving_pairs(points, sizes, lambda p: False)}
     for i in range(len(sets)):
         for j in range(i):
@@ -101,3 +101,9 @@ def test_keep_first(documents, rows):
     ids = [r["doc_id"] for r in kept]
     assert {6, 4, 1, 2, 3} <= set(ids) and 7 not in ids and 8 not in ids and ids.count(6) == 1
     assert want - {None} <= set(ids)
+
+
+def test_components_grow(spark):
+    first = components.connected_components(spark.createDataFrame([(5, 6), (8, 9)], "a long, b long"))
+    out = components.joined_components(first, spark.createDataFrame([(9, 5), (1, 6), (20, 21)], "a long, b long"))
+    assert {r["node"]: r["component"] for r in out.collect()} == {1: 1, 5: 1, 6: 1, 8: 1, 9: 1, 20: 20, 21: 20}

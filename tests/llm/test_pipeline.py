@@ -2,8 +2,9 @@ import re
 
 import corpus_pipeline
 import duckdb
+import pytest
 
-from sievelake.llm import common, mixing, registry
+from sievelake.llm import common, registry
 
 
 def words(t):
@@ -31,13 +32,15 @@ def test_run(spark, sf):
     assert out.count() > 0 and "batch" in out.columns
 
 
-def test_mixing_sql(spark, sf):
+@pytest.mark.parametrize("name", list(registry.ORACLE_SQL))
+def test_equals_sql(spark, sf, name):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
-    want = c.execute(mixing.OP7_SQL).df().sort_values("doc_id").reset_index(drop=True)
-    got = mixing.op7_systematic_mix(spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
-    for column in got.columns:
-        assert (got[column] == want[column]).all()
+    for t in ("documents", "conversations", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    result = c.execute(registry.ORACLE_SQL[name])
+    columns = [d[0] for d in result.description]
+    got = sorted(tuple(r[c] for c in columns) for r in registry.QUERIES[name](spark, sf).collect())
+    assert got == sorted(result.fetchall())
 
 
 def test_registered():
