@@ -29,3 +29,18 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         if not changed:
             return labels
     raise RuntimeError("components did not settle")
+
+
+def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after ``edges`` (a, b) are added: only the
+    components that the edges touch are gone through again."""
+    if edges.isEmpty():
+        return labels
+    one = labels.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    two = labels.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    named = common.checkpoint(edges.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")))
+    merged = connected_components(named.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    new = named.select(F.col("a").alias("node"), F.col("x").alias("component")).union(named.select("b", "y")).distinct()
+    every = labels.union(new.join(labels, "node", "left_anti"))
+    changed = merged.select(F.col("node").alias("component"), F.col("component").alias("new"))
+    return common.checkpoint(every.join(changed, "component", "left").select("node", F.coalesce("new", "component").alias("component")))

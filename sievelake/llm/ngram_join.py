@@ -17,16 +17,17 @@ last.  A tree is built on each list.
 1. Documents become (doc_id, size, fingerprint); equal sets are one class.
 2. Classes post their prefix shingles to buckets as packed blocks; a bucket
    keeps the lists of two or more classes, equal lists once.
-3. Lists of the first four shingles of classes meet with whole sets; links found
-   there join most near copies.  A pair that already hangs together is skipped,
-   and a list gives at most one edge per class, never all its pairs.
-4. Lists that still span several components go through the tree with points
-   alone; surviving pairs across components meet with whole sets.
+3. On each list a tree of the points gives a forest of pairs that the bound lets
+   through: at most one pair a class, never all pairs of a list.  The pairs meet
+   with whole sets; most near copies hang together then.
+4. Lists that had such pairs and still span several components give all surviving
+   pairs between these; of two components the likeliest pair is verified first.
 5. Components are taken over all edges, and the smallest doc_id names each.
 
-Nothing is capped: a list of any length is worked through.  The frequent
-shingles that the driver collects for the order are at most ``most_frequent``,
-which only orders the prefix and never changes results.  A class is named by a
+Nothing is capped: a list of any length is worked through.  The driver collects
+at most ``most_frequent`` frequent shingles, which only order the prefix, and
+``filter_words`` words of a bit table that spares most texts a second reading;
+neither changes results.  A class is named by a
 64-bit fingerprint of its set.
 
 Defined results: a null or blank text has no shingles, n_shingles 0, and is a
@@ -45,13 +46,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .components import connected_components
+from .components import connected_components, joined_components
 
 SHINGLE = 5
 #: Linked: overlap * (100 + 75) >= 75 * (sum of sizes), or 7 * overlap >= 3 * sum.
-GROUPS = 128
 LEAF = 16
-EARLY = 4
 
 
 def fingerprint(tokens: np.ndarray) -> int:
@@ -65,15 +64,43 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets reach the similarity."""
     if 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
         return False
-    both = np.concatenate([a, b])
-    both.sort()
-    overlap = int((both[1:] == both[:-1]).sum())
-    return 7 * overlap >= 3 * (len(a) + len(b))
+    return 7 * common_count(a, b) >= 3 * (len(a) + len(b))
+
+
+def groups_for(n: int, per: int) -> int:
+    """A power of two of groups for sets of about ``n``: ``per`` to 2 * ``per`` for
+    each shingle."""
+    return max(64, 1 << max(0, n * per - 1).bit_length())
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
-    """Counts of the tokens in each group."""
-    return np.bincount((tokens % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """Counts of the tokens in each of 2 to 4 groups a shingle."""
+    groups = groups_for(len(tokens), 2)
+    return np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def fold(p: np.ndarray, groups: int) -> np.ndarray:
+    """A point in fewer groups: group g takes what is g modulo ``groups``."""
+    return p if len(p) == groups else p.reshape(-1, groups).sum(0, dtype=np.int32)
+
+
+def packed_point(tokens: np.ndarray) -> bytes:
+    """A compressed point behind two bytes: the width of a count, log2 of the groups."""
+    p = point(tokens)
+    width = 1 if p.max() < 256 else 4
+    return bytes([width, len(p).bit_length() - 1]) + pa.compress(p.astype(f"<u{width}").tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_point(blob: bytes) -> np.ndarray:
+    width, groups = blob[0], 1 << blob[1]
+    return np.frombuffer(pa.decompress(blob[2:], width * groups, codec="zstd", asbytes=True), f"<u{width}")
+
+
+def common_count(a: np.ndarray, b: np.ndarray) -> int:
+    """Common elements of two sets given as arrays without repeats."""
+    both = np.concatenate([a, b])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
 
 
 class Forest:
@@ -117,12 +144,28 @@ def build_tree(points: np.ndarray, sizes: np.ndarray) -> Node:
     return nodes[0]
 
 
-def surviving_pairs(points: np.ndarray, sizes: np.ndarray, together) -> Iterator[tuple[int, int]]:
+def surviving_pairs(points: list[np.ndarray], sizes: np.ndarray, together) -> Iterator[tuple[int, int]]:
     """Pairs (i, j) that the bound lets through.
 
-    ``together(places)`` says whether all of them hang together already; such
-    pairs of nodes are not entered.
+    Points of one octave of sizes, and what sets of the octave can link with
+    above it, share their groups and a tree.  ``together(places)`` says whether
+    all of them hang together already; such pairs of nodes are not entered.
     """
+    octave = np.frexp(sizes)[1] - 1
+    for k in np.unique(octave).tolist():
+        low = 1 << k
+        some = np.flatnonzero((sizes >= low) & (3 * sizes < 8 * low + 3))
+        if len(some) < 2:
+            continue
+        groups = groups_for(low, 1)
+        table = np.stack([fold(points[i], groups) for i in some.tolist()]).astype(np.int32)
+        for i, j in tree_pairs(table, sizes[some], lambda p, some=some: together(some[p])):
+            if octave[some[i]] == k or octave[some[j]] == k:
+                yield int(some[i]), int(some[j])
+
+
+def tree_pairs(points: np.ndarray, sizes: np.ndarray, together) -> Iterator[tuple[int, int]]:
+    """Pairs of points whose summed minima reach the overlap that a link needs."""
 
     def near(a: Node, b: Node) -> bool:
         if 4 * min(a.most, b.most) < 3 * max(a.least, b.least):
@@ -159,34 +202,41 @@ def _blob(column, kind) -> np.ndarray:
     return np.frombuffer(column, kind)
 
 
-def describe(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """One row per document (what=0: id doc_id, h text hash, n, fp) and one per
-    locally frequent shingle of a block (what=1: n blocks' count, fp shingle)."""
-    schema = "what int, doc_id long, h long, n long, fp long"
+def describe(docs: DataFrame, block_bytes: int, count_tokens: int) -> DataFrame:
+    """One row per document (what=0: doc_id, text hash h, size n, name fp, point)
+    and one per locally frequent shingle of a block (what=1: count n, shingle fp)."""
+    schema = "what int, doc_id long, h long, n long, fp long, point binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in schema.split(", ")]
+        held: dict[int, np.ndarray] = {}  # sets counted so far, equal ones once
+
+        def shared():
+            tokens, counts = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            often = counts >= 3
+            held.clear()
+            m = int(often.sum())
+            none = pa.nulls(m, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), none, none, pa.array(counts[often].astype(np.int64)), pa.array(tokens[often].view(np.int64)), pa.nulls(m, pa.binary())], names=names)
+
         for batch in batches:
             texts = common.as_one(batch.column(1))
             for a, b in common.slices_by_bytes(texts, block_bytes):
                 sets = common.shingle_sets(texts.slice(a, b - a), SHINGLE)
-                fps = np.array([fingerprint(s) for s in sets], np.int64)
+                fps = [fingerprint(s) for s in sets]
                 sizes = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int32)), batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes), pa.array(fps)], names=names)
-                _, first = np.unique(fps, return_index=True)
-                every = np.concatenate([sets[i] for i in first])
-                tokens, counts = np.unique(every, return_counts=True)
-                often = counts >= max(3, len(first) // 500)
-                m = int(often.sum())
-                if m:
-                    none = pa.nulls(m, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), none, none, pa.array(counts[often].astype(np.int64)), pa.array(tokens[often].view(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int32)), batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes), pa.array(fps, pa.int64()), pa.array([packed_point(x) for x in sets], pa.binary())], names=names)
+                held.update(zip(fps, sets))
+                if sum(map(len, held.values())) > count_tokens:
+                    yield shared()
+        if held:
+            yield shared()
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
 
 
 def prefix_lists(docs: DataFrame, frequent: np.ndarray, buckets: int, block_bytes: int) -> DataFrame:
-    """(early, key, fps, ns): lists of two or more classes that share a prefix
+    """(key, fps): lists of two or more classes that share a prefix
     shingle and may have near sizes; equal lists of a bucket come once.
 
     ``frequent`` holds frequent shingles, the most frequent last.
@@ -199,7 +249,7 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, buckets: int, block_byte
             texts = common.as_one(batch.column(0))
             for a, b in common.slices_by_bytes(texts, block_bytes):
                 seen: set[int] = set()
-                tokens, owners, sizes, early = [], [], [], []
+                tokens, owners, sizes = [], [], []
                 for s in common.shingle_sets(texts.slice(a, b - a), SHINGLE):
                     n = len(s)
                     if not n or (fp := fingerprint(s)) in seen:
@@ -216,20 +266,19 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, buckets: int, block_byte
                     tokens.append(s)
                     owners.append(np.full(len(s), fp, np.int64))
                     sizes.append(np.full(len(s), n, np.uint32))
-                    early.append(np.arange(len(s)) < EARLY)
                 if not tokens:
                     continue
-                tokens, owners, sizes, early = map(np.concatenate, (tokens, owners, sizes, early))
+                tokens, owners, sizes = map(np.concatenate, (tokens, owners, sizes))
                 mixed = common.hash_mix(tokens)
                 bucket = (mixed >> np.uint64(32)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                low, owners, sizes = (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], owners[order], (sizes | (early.astype(np.uint32) << np.uint32(31)))[order]
+                low, owners, sizes = (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], owners[order], sizes[order]
                 full = np.flatnonzero(np.diff(edges))
                 rows = [[x[edges[k] : edges[k + 1]].tobytes() for k in full] for x in (low, owners, sizes)]
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array(r, pa.binary()) for r in rows]], names=["bucket", "tokens", "fps", "ns"])
 
-    def lists_of(tokens, fps, ns) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def lists_of(tokens, fps, ns) -> Iterator[tuple[int, np.ndarray]]:
         if len(tokens) < 2:
             return
         order = np.lexsort((fps, ns, tokens))
@@ -246,18 +295,17 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, buckets: int, block_byte
         big = size > 1
         _, first = np.unique(name[big], return_index=True)
         for i in np.flatnonzero(big)[first].tolist():
-            yield int(name[i].astype(np.int64)), fps[start[i] : start[i] + size[i]], ns[start[i] : start[i] + size[i]]
+            yield int(name[i].astype(np.int64)), fps[start[i] : start[i] + size[i]]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["early", "key", "fps", "ns"]
+        names = ["key", "fps"]
 
         def flush(parts):
             tokens, fps, ns = (np.concatenate([_blob(p[i], k) for p in parts]) for i, k in ((0, np.uint32), (1, np.int64), (2, np.uint32)))
-            early, ns = (ns >> 31) == 1, (ns & np.uint32(0x7FFFFFFF)).astype(np.int64)
-            rows = [(1, *x) for x in lists_of(tokens[early], fps[early], ns[early])] + [(0, *x) for x in lists_of(tokens, fps, ns)]
+            rows = list(lists_of(tokens, fps, ns.astype(np.int64)))
             for at in range(0, len(rows), 5000):
                 some = rows[at : at + 5000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.list_(pa.int64())), pa.array([r[3] for r in some], pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.list_(pa.int64()))], names=names)
 
         current, parts = None, []
         for batch in batches:
@@ -272,44 +320,53 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, buckets: int, block_byte
 
     posted = docs.select("text").mapInArrow(post, "bucket int, tokens binary, fps binary, ns binary")
     dealt = posted.repartition("bucket").sortWithinPartitions("bucket")
-    lists = dealt.mapInArrow(gather, "early int, key long, fps array<long>, ns array<long>")
-    return lists.groupBy("early", "key").agg(F.first("fps").alias("fps"))
+    return dealt.mapInArrow(gather, "key long, fps array<long>").groupBy("key").agg(F.first("fps").alias("fps"))
+
 
+def id_filter(ids: DataFrame, words: int) -> np.ndarray:
+    """A table of ``words`` 64-bit words with a bit set for each id: all that the
+    driver gets, however many ids there are.  A full table lets every id pass."""
+    h = F.xxhash64(F.col("doc_id"))
+    bits = ids.select(F.pmod(h, F.lit(words)).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(doc_id), 40), 64) as int))").alias("bit"))
+    table = np.zeros(words, np.int64)
+    for row in bits.groupBy("w").agg(F.bit_or("bit").alias("bit")).collect():
+        table[row["w"]] = row["bit"]
+    return table
 
-def whole_sets(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """(fp, tokens, point) of ``docs`` (text)."""
+
+def whole_sets(docs: DataFrame, ids: DataFrame, words: int, block_bytes: int) -> DataFrame:
+    """(fp, tokens) of ``docs`` (doc_id, text) that pass a filter of ``ids``
+    (doc_id); others may pass too, and a join on fp leaves them out."""
+    table = id_filter(ids, words)
+    hashed = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(words)).alias("w"), F.expr("pmod(shiftright(xxhash64(doc_id), 40), 64)").alias("bit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = common.as_one(batch.column(0))
+            word, bit = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            texts = common.as_one(batch.column(0)).filter(pa.array((table[word] >> bit) & 1 == 1))
             for a, b in common.slices_by_bytes(texts, block_bytes):
                 sets = common.shingle_sets(texts.slice(a, b - a), SHINGLE)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([point(s).astype(np.uint16 if len(s) < 65536 else np.uint32).tobytes() for s in sets], pa.binary())],
-                    names=["fp", "tokens", "point"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "fp long, tokens binary, point binary")
-
-
-def _point_of(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.uint16 if len(blob) == 2 * GROUPS else np.uint32).astype(np.int32)
+    return hashed.mapInArrow(run, "fp long, tokens binary")
 
 
 def grouped(rows: DataFrame, key: str, columns: list[str], work, schema: str) -> DataFrame:
-    """``work(column lists)`` for the rows of each ``key``, streamed in key order."""
+    """``work(column lists)`` for the rows of each ``key``, streamed in key order;
+    ``schema`` begins with the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in schema.split(", ")]
+        kinds = [pa.list_(pa.int64()) if "array" in c else pa.int64() for c in schema.split(", ")]
         current, held, made = None, [], []
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64()) for i in range(len(names))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], kinds[i]) for i in range(len(names))], names=names)
 
         for batch in batches:
             for k, *values in zip(*[c.to_pylist() for c in batch.columns]):
                 if k != current and held:
-                    made += work([list(c) for c in zip(*held)])
+                    made += [(current, *m) for m in work([list(c) for c in zip(*held)])]
                     held = []
                     if len(made) > 5000:
                         yield flush()
@@ -317,44 +374,53 @@ def grouped(rows: DataFrame, key: str, columns: list[str], work, schema: str) ->
                 current = k
                 held.append(values)
         if held:
-            made += work([list(c) for c in zip(*held)])
+            made += [(current, *m) for m in work([list(c) for c in zip(*held)])]
         if made:
             yield flush()
 
     return rows.select(key, *columns).repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
-def link_sets(columns: list[list]) -> list[tuple[int, int]]:
-    """Edges that join the linked classes of one list: (class, smallest class)."""
-    fps, blobs = columns
-    sets = [np.frombuffer(b, np.uint64) for b in blobs]
-    forest = Forest(len(sets))
-    if len(sets) == 2:
-        if linked(*sets):
-            forest.join(0, 1)
-    elif len(sets) > 2:
-        points, sizes = np.stack([point(s) for s in sets]), np.array([len(s) for s in sets], np.int64)
+def open_pairs(columns: list[list], joined: bool) -> Iterator[tuple[int, int, int, list[int]]]:
+    """(i, j, bound per mille of the sizes, components) of the members of one list:
+    pairs of different components that the bound lets through.  If ``joined``, a
+    pair counts as linked once it is given."""
+    _, labels, blobs = columns
+    points = [unpacked_point(b) for b in blobs]
+    sizes = np.array([int(p.sum()) for p in points], np.int64)
+    label = np.unique(np.array(labels, np.int64), return_inverse=True)[1].tolist()
+    forest = Forest(max(label) + 1)
+
+    def together(places: np.ndarray) -> bool:
+        root = forest.root(label[places[0]])
+        return all(forest.root(label[p]) == root for p in places[1:].tolist())
+
+    for i, j in surviving_pairs(points, sizes, together):
+        if forest.root(label[i]) == forest.root(label[j]):
+            continue
+        groups = min(len(points[i]), len(points[j]))
+        bound = int(np.minimum(fold(points[i], groups), fold(points[j], groups)).sum())
+        if 7 * bound >= 3 * (sizes[i] + sizes[j]):
+            if joined:
+                forest.join(label[i], label[j])
+            yield i, j, int(2000 * bound // (sizes[i] + sizes[j])), label
 
-        def together(places: np.ndarray) -> bool:
-            root = forest.root(int(places[0]))
-            return all(forest.root(p) == root for p in places.tolist())
 
-        for i, j in surviving_pairs(points, sizes, lambda p: len(p) > 1 and together(p)):
-            if forest.root(i) != forest.root(j) and linked(sets[i], sets[j]):
-                forest.join(i, j)
-    parts: dict[int, list[int]] = {}
-    for i, fp in enumerate(fps):
-        parts.setdefault(forest.root(i), []).append(fp)
-    return [(fp, min(p)) for p in parts.values() for fp in p if fp != min(p)]
+def list_forest(columns: list[list]) -> list[tuple[int, int]]:
+    """(class, class): at most one pair less than the list has components."""
+    fps = columns[0]
+    return [(min(fps[i], fps[j]), max(fps[i], fps[j])) for i, j, _, _ in open_pairs(columns, joined=True)]
 
 
-def far_pairs(columns: list[list]) -> list[tuple[int, int]]:
-    """Pairs of one list that the bound lets through, of different components."""
-    fps, labels, blobs = columns
-    points = np.stack([_point_of(b) for b in blobs])
-    label = np.unique(np.array(labels, np.int64), return_inverse=True)[1]
-    found = surviving_pairs(points, points.sum(1).astype(np.int64), lambda p: bool((label[p] == label[p[0]]).all()))
-    return [(min(fps[i], fps[j]), max(fps[i], fps[j])) for i, j in found if label[i] != label[j]]
+def list_crossings(columns: list[list]) -> list[tuple[int, list[int], list[int]]]:
+    """(class, partners, bounds): all surviving pairs between components, one row
+    for each class of the component with fewer members in the list."""
+    fps, members, met = columns[0], None, {}
+    for i, j, bound, label in open_pairs(columns, joined=False):
+        members = members if members is not None else np.bincount(label)
+        few, many = (i, j) if (members[label[i]], label[i]) <= (members[label[j]], label[j]) else (j, i)
+        met.setdefault(fps[few], {})[fps[many]] = bound
+    return [(fp, list(p), list(p.values())) for fp, p in met.items()]
 
 
 def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -372,42 +438,73 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, most_frequent: int = 65_536, block_bytes: int = 8_000_000) -> DataFrame:
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, bound) of different components, with these as la < lb."""
+    one = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    two = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    found = pairs.join(one, "a", "left").join(two, "b", "left").select("a", "b", "bound", F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"))
+    return found.filter("x <> y").select("a", "b", "bound", F.least("x", "y").alias("la"), F.greatest("x", "y").alias("lb"))
+
+
+def jaccard_components(docs: DataFrame, most_frequent: int = 262_144, filter_words: int = 65_536, count_tokens: int = 4_000_000, block_bytes: int = 8_000_000) -> DataFrame:
     """(doc_id, h, n_shingles, component_id) for each row of ``docs`` (doc_id,
     text); ``h`` is xxhash64 of the text."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    described = common.checkpoint(describe(docs, block_bytes))
-    rows = described.filter("what = 0").select("doc_id", "h", "n", "fp")
+    described = common.checkpoint(describe(docs, block_bytes, count_tokens))
+    rows = described.filter("what = 0").select("doc_id", "h", "n", "fp", "point")
     often = described.filter("what = 1").groupBy("fp").agg(F.sum("n").alias("n")).filter("n >= 8")
     often = often.orderBy(F.desc("n"), "fp").limit(most_frequent).collect()
     frequent = np.array([r["fp"] for r in reversed(often)], np.int64).view(np.uint64)
-    classes = rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    classes = rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("point").alias("point"))
+    buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = common.checkpoint(prefix_lists(docs, frequent, buckets, block_bytes))
-
-    listed = lists.withColumn("fp", F.explode("fps")).select("early", "key", "fp")
-    live = listed.select("fp").distinct().join(classes, "fp").select(F.col("first").alias("doc_id")).distinct()
-    sets = whole_sets(docs.join(live, "doc_id", "left_semi"), block_bytes)
-    sets = common.checkpoint(sets.groupBy("fp").agg(F.first("tokens").alias("tokens"), F.first("point").alias("point")))
-
-    near = listed.filter("early = 1").join(sets.select("fp", "tokens"), "fp")
-    edges = common.checkpoint(grouped(near, "key", ["fp", "tokens"], link_sets, "a long, b long").distinct())
-    labels = connected_components(edges)
-
-    marked = listed.filter("early = 0").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp")).drop("component", "early")
-    open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    apart = marked.join(open_keys, "key", "left_semi").join(sets.select("fp", "point"), "fp")
-    pairs = grouped(apart, "key", ["fp", "label", "point"], far_pairs, "a long, b long").distinct()
-    more = verify_pairs(common.checkpoint(pairs), sets.select("fp", "tokens"))
-    more = common.checkpoint(more)
-    if not more.isEmpty():
-        labels = connected_components(edges.union(more))
+    listed = lists.withColumn("fp", F.explode("fps")).select("key", "fp")
+    firsts = classes.select("fp", F.col("first").alias("doc_id"))
+
+    points = classes.select("fp", "point")
+
+    def pairs_of(members: DataFrame, work, schema: str) -> DataFrame:
+        """What ``work`` gives for lists of members (key, fp, label)."""
+        return common.checkpoint(grouped(members.join(points, "fp"), "key", ["fp", "label", "point"], work, schema))
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(firsts, "fp")
+        return whole_sets(docs, ends.select("doc_id"), filter_words, block_bytes).join(ends, "fp", "left_semi")
+
+    def labelled(lists: DataFrame) -> DataFrame:
+        """Members (key, fp, label) of the lists that span several components."""
+        members = lists.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+        members = members.select("key", "fp", F.coalesce("component", "fp").alias("label"))
+        several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+        return members.join(several, "key", "left_semi")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return common.checkpoint(verify_pairs(pairs, common.checkpoint(sets_of(pairs))).distinct())
+
+    found = pairs_of(listed.withColumn("label", F.col("fp")), list_forest, "key long, a long, b long")
+    tried = common.checkpoint(found.select("a", "b").distinct())
+    labels = connected_components(verified(tried))
+
+    # a list without a surviving pair is done
+    left = labelled(listed.join(found.select("key").distinct(), "key", "left_semi"))
+    found = pairs_of(left, list_crossings, "key long, a long, partners array<long>, bounds array<long>")
+    met = found.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("partners", "bounds")))).alias("p"))
+    met = met.select("a", F.explode("p").alias("p")).select(F.least("a", "p.partners").alias("a"), F.greatest("a", "p.partners").alias("b"), F.col("p.bounds").alias("bound"))
+    pairs = common.checkpoint(between(met.distinct(), labels).join(tried, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        sets = common.checkpoint(sets_of(pairs))
+        # of two components the likeliest pair first: if it links, the others need no look
+        best = pairs.groupBy("la", "lb").agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("p")).select("p.a", "p.b")
+        best = common.checkpoint(best)
+        labels = joined_components(labels, common.checkpoint(verify_pairs(best, sets).distinct()))
+        rest = between(pairs.select("a", "b", "bound"), labels).select("a", "b").join(best, ["a", "b"], "left_anti")
+        labels = joined_components(labels, common.checkpoint(verify_pairs(rest, sets).distinct()))
 
     named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(smallest, "component").select(F.col("fp").alias("__fp"), "component_id")
-    out = rows.join(named, (F.col("fp") == F.col("__fp")) & (F.col("n") > 0), "left")
+    out = rows.drop("point").join(named, (F.col("fp") == F.col("__fp")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
@@ -416,6 +513,22 @@ def op6_rtree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(common.read(spark, sf_dir, "documents")).drop("h")
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 5 THEN [array_to_string(l, ' ')]
+    ELSE list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+k AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 75 * (a.n + b.n - o)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT k.y, r.c FROM r JOIN k ON k.x = r.doc_id)
+SELECT r.doc_id, coalesce(min(n.n), 0) AS n_shingles, min(r.c) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: its smallest doc_id.
 
