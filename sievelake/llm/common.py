@@ -164,4 +164,5 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
         at += n
+    pa.default_memory_pool().release_unused()  # else a worker keeps the most it ever needed
     return out

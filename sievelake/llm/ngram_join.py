@@ -446,7 +446,7 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.filter("x <> y").select("a", "b", "bound", F.least("x", "y").alias("la"), F.greatest("x", "y").alias("lb"))
 
 
-def jaccard_components(docs: DataFrame, most_frequent: int = 262_144, filter_words: int = 65_536, count_tokens: int = 4_000_000, block_bytes: int = 8_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, most_frequent: int = 262_144, filter_words: int = 65_536, count_tokens: int = 3_000_000, block_bytes: int = 4_000_000) -> DataFrame:
     """(doc_id, h, n_shingles, component_id) for each row of ``docs`` (doc_id,
     text); ``h`` is xxhash64 of the text."""
     spark = docs.sparkSession
