@@ -323,6 +323,20 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, buckets: int, block_byte
     return dealt.mapInArrow(gather, "key long, fps array<long>").groupBy("key").agg(F.first("fps").alias("fps"))
 
 
+def packed_set(tokens: np.ndarray) -> bytes:
+    """A set as 48-bit tokens: two of a pair's thousands agree by chance once in
+    some hundred million pairs."""
+    low = np.unique(tokens & np.uint64((1 << 48) - 1)).astype("<u8")
+    return np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpacked_set(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view("<u8").ravel()
+
+
 def id_filter(ids: DataFrame, words: int) -> np.ndarray:
     """A table of ``words`` 64-bit words with a bit set for each id: all that the
     driver gets, however many ids there are.  A full table lets every id pass."""
@@ -346,7 +360,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, words: int, block_bytes: int) ->
             texts = common.as_one(batch.column(0)).filter(pa.array((table[word] >> bit) & 1 == 1))
             for a, b in common.slices_by_bytes(texts, block_bytes):
                 sets = common.shingle_sets(texts.slice(a, b - a), SHINGLE)
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([packed_set(s) for s in sets], pa.binary())], names=["fp", "tokens"])
 
     return hashed.mapInArrow(run, "fp long, tokens binary")
 
@@ -431,7 +445,7 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            yes = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y)]
+            yes = [linked(unpacked_set(p), unpacked_set(q)) for p, q in zip(x, y)]
             mask = pa.array(yes, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
