@@ -5,10 +5,10 @@ picks the bucket boundaries that pad least, and batches of a fixed token budget
 form inside each bucket: a bucket of padded length L takes ``budget // L``
 documents a batch.
 
-Only the histogram reaches the driver: lengths are first rounded up to a
-multiple of ``grain``, the smallest power of two that leaves at most
-``most_lengths`` steps, so its size is bounded whatever the table (1 up to
-``most_lengths`` tokens, where the boundaries are then exactly optimal).
+Only the histogram reaches the driver.  With at most ``most_lengths`` distinct
+lengths it is exact, and so are the boundaries, however long a document is.  With
+more, lengths are rounded up in proportion to themselves, to the most leading bits
+that leave at most ``most_lengths`` steps: short ones stay exact.
 
 Defined results: a null text has length 0 and is put in the first bucket; a
 document longer than the budget fills batches of its own; equal lengths are
@@ -73,16 +73,23 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     return sorted({int(lengths[e - 1]) for e in ends})
 
 
-def length_histogram(sized: DataFrame, most_lengths: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(lengths, counts, grain): at most ``most_lengths`` + 1 rows come back."""
+def length_histogram(sized: DataFrame, most_lengths: int) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """(lengths, counts, leading bits kept): at most ``most_lengths`` rows come back,
+    of exact lengths (None) if there are no more distinct ones."""
     exact = common.checkpoint(sized.groupBy("n_tokens").count())
-    longest = exact.agg(F.max("n_tokens")).first()[0] or 0
-    grain = 1
-    while longest > grain * most_lengths:
-        grain *= 2
-    step = F.ceil(F.col("n_tokens") / F.lit(grain)) * grain
-    rows = exact.groupBy(step.cast("long").alias("n")).agg(F.sum("count")).orderBy("n").collect()
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), grain
+    kept = None
+    if exact.count() > most_lengths:
+        # a step for each pattern of the leading bits
+        n = F.col("n_tokens")
+        width = F.length(F.bin(n))
+        steps = lambda bits: F.pow(F.lit(2.0), F.greatest(width - bits, F.lit(0))).cast("long")
+        rounded = lambda bits: F.ceil(n / steps(bits)).cast("long") * steps(bits)
+        bits = list(range(1, 17))
+        sizes = exact.agg(*[F.countDistinct(rounded(F.lit(b))).alias(str(b)) for b in bits]).first()
+        kept = max((b for b in bits if sizes[str(b)] <= most_lengths), default=1)
+        exact = exact.groupBy(rounded(F.lit(kept)).alias("n_tokens")).agg(F.sum("count").alias("count"))
+    rows = exact.orderBy("n_tokens").collect()
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), kept
 
 
 def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, most_lengths: int = 65_536, length: Column | None = None) -> DataFrame:

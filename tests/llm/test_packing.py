@@ -49,3 +49,21 @@ def test_coarse_histogram(spark):
 
 def test_empty(empty):
     check(empty, 0)
+
+
+def test_one_long_document_leaves_the_short_ones_exact(spark):
+    docs = spark.range(300).selectExpr("id as doc_id", "case when id = 0 then 10000000 else 1 + id % 200 end as n")
+    sized = docs.selectExpr("doc_id", "'' as text", "n")
+    out = packing.pack(sized, buckets=16, length=sized["n"]).collect()
+    lengths, counts = np.unique([r["n"] for r in out], return_counts=True)
+    ends = packing.optimal_boundaries(lengths, counts, 16)
+    assert sum(r["padding"] for r in out) == padding(lengths.tolist(), counts.tolist(), ends)
+    assert len({r["bucket_len"] for r in out}) == 16
+
+
+def test_many_lengths_are_rounded_in_proportion(spark):
+    sized = spark.range(1, 5001).selectExpr("id as n_tokens")
+    lengths, counts, kept = packing.length_histogram(sized, 400)
+    assert len(lengths) <= 400 and counts.sum() == 5000 and lengths[-1] >= 5000
+    assert lengths[: 1 << kept].tolist() == list(range(1, (1 << kept) + 1))
+    assert (np.diff(lengths) <= np.maximum(1, lengths[1:] / (1 << kept - 1))).all()
