@@ -10,6 +10,9 @@ lengths it is exact, and so are the boundaries, however long a document is.  Wit
 more, lengths are rounded up in proportion to themselves, to the most leading bits
 that leave at most ``most_lengths`` steps: short ones stay exact.
 
+Unless ``length`` is given, n_tokens and the budget count words between ASCII
+blanks, not ids of a tokenizer: a long text without blanks counts as 1.
+
 Defined results: a null text has length 0 and is put in the first bucket; a
 document longer than the budget fills batches of its own; equal lengths are
 ordered by a digest of the id; repeated rows are packed each; an empty table
