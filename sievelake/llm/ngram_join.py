@@ -24,11 +24,14 @@ last.  A tree is built on each list.
    pairs between these; of two components the likeliest pair is verified first.
 5. Components are taken over all edges, and the smallest doc_id names each.
 
-Nothing is capped: a list of any length is worked through.  The driver collects
+Nothing is capped: a list of any length is worked through, a long one in pieces
+of ``most_members``: first each piece for itself, then, once most of a family
+hangs together, the members of different components in chunks.  The driver collects
 at most ``most_frequent`` frequent shingles, which only order the prefix, and
 ``filter_words`` words of a bit table that spares most texts a second reading;
 neither changes results.  A class is named by a
-64-bit fingerprint of its set.
+64-bit fingerprint of its set: among 10^9 different texts two share theirs with
+a probability of 3 in 100.
 
 Defined results: a null or blank text has no shingles, n_shingles 0, and is a
 component of its own; fewer than five words are one shingle; repeated rows and
@@ -67,15 +70,15 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 7 * common_count(a, b) >= 3 * (len(a) + len(b))
 
 
-def groups_for(n: int, per: int) -> int:
-    """A power of two of groups for sets of about ``n``: ``per`` to 2 * ``per`` for
-    each shingle."""
-    return max(64, 1 << max(0, n * per - 1).bit_length())
+def groups_for(n: int) -> int:
+    """A power of two of groups for sets of about ``n``: two to four shingles
+    each, which still tells unlike sets apart, but 64 at least."""
+    return max(64, 1 << max(0, n.bit_length() - 2))
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
-    """Counts of the tokens in each of 2 to 4 groups a shingle."""
-    groups = groups_for(len(tokens), 2)
+    """Counts of the tokens in each group."""
+    groups = groups_for(len(tokens))
     return np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
@@ -157,7 +160,7 @@ def surviving_pairs(points: list[np.ndarray], sizes: np.ndarray, together) -> It
         some = np.flatnonzero((sizes >= low) & (3 * sizes < 8 * low + 3))
         if len(some) < 2:
             continue
-        groups = groups_for(low, 1)
+        groups = groups_for(low)
         table = np.stack([fold(points[i], groups) for i in some.tolist()]).astype(np.int32)
         for i, j in tree_pairs(table, sizes[some], lambda p, some=some: together(some[p])):
             if octave[some[i]] == k or octave[some[j]] == k:
@@ -235,9 +238,10 @@ def describe(docs: DataFrame, block_bytes: int, count_tokens: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
 
 
-def prefix_lists(docs: DataFrame, frequent: np.ndarray, buckets: int, block_bytes: int) -> DataFrame:
-    """(key, fps): lists of two or more classes that share a prefix
-    shingle and may have near sizes; equal lists of a bucket come once.
+def prefix_lists(docs: DataFrame, frequent: np.ndarray, buckets: int, block_bytes: int, most_members: int) -> DataFrame:
+    """(piece, key, long, fps): lists of two or more classes that share a prefix
+    shingle and may have near sizes; equal lists come once.  A list of over
+    ``most_members`` is ``long`` and comes in pieces of near sizes.
 
     ``frequent`` holds frequent shingles, the most frequent last.
     """
@@ -298,14 +302,22 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, buckets: int, block_byte
             yield int(name[i].astype(np.int64)), fps[start[i] : start[i] + size[i]]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "fps"]
+        names = ["piece", "key", "long", "fps"]
+
+        def pieces(key, fps):
+            if len(fps) <= most_members:
+                yield key, key, False, fps
+                return
+            for i, at in enumerate(range(0, len(fps), most_members)):
+                name = common.hash_mix(np.array([key], np.int64).view(np.uint64) + np.uint64(i + 1)).view(np.int64)
+                yield int(name[0]), key, True, fps[at : at + most_members]
 
         def flush(parts):
             tokens, fps, ns = (np.concatenate([_blob(p[i], k) for p in parts]) for i, k in ((0, np.uint32), (1, np.int64), (2, np.uint32)))
-            rows = list(lists_of(tokens, fps, ns.astype(np.int64)))
+            rows = [r for found in lists_of(tokens, fps, ns.astype(np.int64)) for r in pieces(*found)]
             for at in range(0, len(rows), 5000):
-                some = rows[at : at + 5000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.list_(pa.int64()))], names=names)
+                columns = zip(*rows[at : at + 5000])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())))], names=names)
 
         current, parts = None, []
         for batch in batches:
@@ -320,21 +332,8 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, buckets: int, block_byte
 
     posted = docs.select("text").mapInArrow(post, "bucket int, tokens binary, fps binary, ns binary")
     dealt = posted.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(gather, "key long, fps array<long>").groupBy("key").agg(F.first("fps").alias("fps"))
-
-
-def packed_set(tokens: np.ndarray) -> bytes:
-    """A set as 48-bit tokens: two of a pair's thousands agree by chance once in
-    some hundred million pairs."""
-    low = np.unique(tokens & np.uint64((1 << 48) - 1)).astype("<u8")
-    return np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def unpacked_set(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.view("<u8").ravel()
+    found = dealt.mapInArrow(gather, "piece long, key long, long boolean, fps array<long>")
+    return found.groupBy("piece").agg(F.first("key").alias("key"), F.first("long").alias("long"), F.first("fps").alias("fps"))
 
 
 def id_filter(ids: DataFrame, words: int) -> np.ndarray:
@@ -348,21 +347,29 @@ def id_filter(ids: DataFrame, words: int) -> np.ndarray:
     return table
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, words: int, block_bytes: int) -> DataFrame:
-    """(fp, tokens) of ``docs`` (doc_id, text) that pass a filter of ``ids``
-    (doc_id); others may pass too, and a join on fp leaves them out."""
-    table = id_filter(ids, words)
-    hashed = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(words)).alias("w"), F.expr("pmod(shiftright(xxhash64(doc_id), 40), 64)").alias("bit"))
+def whole_sets(docs: DataFrame, ends: DataFrame, words: int, block_bytes: int) -> DataFrame:
+    """(fp, tokens): one set for each class of ``ends`` (fp, doc_id), read from
+    the document of ``docs`` (doc_id, text) with that id.
+
+    A bit table of the ids spares most texts; the join leaves out what passes
+    it by chance, so copies of a class never travel further.
+    """
+    table = id_filter(ends.select("doc_id"), words)
+    hashed = docs.select("text", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(words)).alias("w"), F.expr("pmod(shiftright(xxhash64(doc_id), 40), 64)").alias("bit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, bit = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            texts = common.as_one(batch.column(0)).filter(pa.array((table[word] >> bit) & 1 == 1))
+            word, bit = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            passed = pa.array((table[word] >> bit) & 1 == 1)
+            texts, ids = common.as_one(batch.column(0)).filter(passed), batch.column(1).filter(passed)
             for a, b in common.slices_by_bytes(texts, block_bytes):
                 sets = common.shingle_sets(texts.slice(a, b - a), SHINGLE)
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([packed_set(s) for s in sets], pa.binary())], names=["fp", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), ids.slice(a, b - a), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["fp", "id", "tokens"])
 
-    return hashed.mapInArrow(run, "fp long, tokens binary")
+    found = hashed.mapInArrow(run, "fp long, id long, tokens binary")
+    ends = ends.select(F.col("fp").alias("__fp"), F.col("doc_id").alias("__id"))
+    found = found.join(ends, (F.col("fp") == F.col("__fp")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    return found.select("fp", "tokens").dropDuplicates(["fp"])
 
 
 def grouped(rows: DataFrame, key: str, columns: list[str], work, schema: str) -> DataFrame:
@@ -437,6 +444,34 @@ def list_crossings(columns: list[list]) -> list[tuple[int, list[int], list[int]]
     return [(fp, list(p), list(p.values())) for fp, p in met.items()]
 
 
+def meetings(members: DataFrame, most_members: int) -> DataFrame:
+    """(piece, fp, label): the members (key, fp, label) of long lists, dealt out so
+    that any two of different labels meet in a piece.
+
+    A label with many members in a list is a team of its own, the others form a
+    mixed one; teams are cut into chunks, and the chunks of two teams, and those
+    of the mixed one among themselves, meet.  Members that hang together already
+    do not, so a large family of copies meets the rest once.
+    """
+    few = max(1, most_members // 4)
+    counts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("team", F.when(F.col("n") >= few, F.col("label")))
+    mixed = F.col("team").isNull()
+    teams = counts.groupBy("key", "team").agg(F.ceil(F.sum("n") / few).cast("int").alias("chunks"))
+    # a chunk of the mixed team has whole labels
+    dealt = F.when(mixed, F.xxhash64("label")).otherwise(F.xxhash64("fp"))
+    placed = members.join(counts.select("key", "label", "team"), ["key", "label"]).join(teams.select(F.col("key").alias("k"), F.col("team").alias("t"), "chunks"), (F.col("key") == F.col("k")) & F.col("team").eqNullSafe(F.col("t")))
+    placed = placed.select("key", "team", F.pmod(dealt, F.col("chunks")).cast("int").alias("chunk"), "fp", "label")
+    one = teams.select("key", F.col("team").alias("a"), F.col("chunks").alias("na"))
+    two = teams.select("key", F.col("team").alias("b"), F.col("chunks").alias("nb"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    met = one.join(two, "key").filter("a < b or a is null").select("key", "a", "b", "nb", every("na").alias("x")).select("key", "a", "b", "x", every("nb").alias("y"))
+    met = met.filter("b is not null or a is not null or x <= y").withColumn("piece", F.xxhash64("key", F.coalesce("a", F.lit(0)), F.isnull("a"), F.coalesce("b", F.lit(0)), F.isnull("b"), "x", "y"))
+    ends = met.select("piece", F.col("key").alias("k"), F.explode(F.array(F.struct(F.col("a").alias("team"), F.col("x").alias("chunk")), F.struct(F.col("b").alias("team"), F.col("y").alias("chunk")))).alias("end"))
+    same = (F.col("key") == F.col("k")) & F.col("team").eqNullSafe(F.col("end.team")) & (F.col("chunk") == F.col("end.chunk"))
+    return placed.join(ends.distinct(), same).select("piece", "fp", "label")
+
+
 def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are linked."""
     left = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x"))
@@ -445,7 +480,7 @@ def verify_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            yes = [linked(unpacked_set(p), unpacked_set(q)) for p, q in zip(x, y)]
+            yes = [linked(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")) for p, q in zip(x, y)]
             mask = pa.array(yes, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -460,7 +495,7 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.filter("x <> y").select("a", "b", "bound", F.least("x", "y").alias("la"), F.greatest("x", "y").alias("lb"))
 
 
-def jaccard_components(docs: DataFrame, most_frequent: int = 262_144, filter_words: int = 65_536, count_tokens: int = 3_000_000, block_bytes: int = 4_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, most_frequent: int = 262_144, filter_words: int = 65_536, count_tokens: int = 3_000_000, block_bytes: int = 4_000_000, most_members: int = 4096) -> DataFrame:
     """(doc_id, h, n_shingles, component_id) for each row of ``docs`` (doc_id,
     text); ``h`` is xxhash64 of the text."""
     spark = docs.sparkSession
@@ -472,39 +507,40 @@ def jaccard_components(docs: DataFrame, most_frequent: int = 262_144, filter_wor
     frequent = np.array([r["fp"] for r in reversed(often)], np.int64).view(np.uint64)
     classes = rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("point").alias("point"))
     buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = common.checkpoint(prefix_lists(docs, frequent, buckets, block_bytes))
-    listed = lists.withColumn("fp", F.explode("fps")).select("key", "fp")
+    lists = common.checkpoint(prefix_lists(docs, frequent, buckets, block_bytes, most_members))
+    listed = lists.select("piece", "key", "long", F.explode("fps").alias("fp"))
     firsts = classes.select("fp", F.col("first").alias("doc_id"))
 
     points = classes.select("fp", "point")
 
     def pairs_of(members: DataFrame, work, schema: str) -> DataFrame:
-        """What ``work`` gives for lists of members (key, fp, label)."""
-        return common.checkpoint(grouped(members.join(points, "fp"), "key", ["fp", "label", "point"], work, schema))
+        """What ``work`` gives for pieces of members (piece, fp, label)."""
+        return common.checkpoint(grouped(members.join(points, "fp"), "piece", ["fp", "label", "point"], work, schema))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(firsts, "fp")
-        return whole_sets(docs, ends.select("doc_id"), filter_words, block_bytes).join(ends, "fp", "left_semi")
+        ends = common.checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(firsts, "fp"))
+        return whole_sets(docs, ends, filter_words, block_bytes)
 
     def labelled(lists: DataFrame) -> DataFrame:
-        """Members (key, fp, label) of the lists that span several components."""
-        members = lists.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-        members = members.select("key", "fp", F.coalesce("component", "fp").alias("label"))
+        """Members (key, long, fp, label) of the lists that span several components."""
+        members = lists.select("key", "long", "fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+        members = members.select("key", "long", "fp", F.coalesce("component", "fp").alias("label"))
         several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
         return members.join(several, "key", "left_semi")
 
     def verified(pairs: DataFrame) -> DataFrame:
         return common.checkpoint(verify_pairs(pairs, common.checkpoint(sets_of(pairs))).distinct())
 
-    found = pairs_of(listed.withColumn("label", F.col("fp")), list_forest, "key long, a long, b long")
+    found = pairs_of(listed.withColumn("label", F.col("fp")), list_forest, "piece long, a long, b long")
     tried = common.checkpoint(found.select("a", "b").distinct())
     labels = connected_components(verified(tried))
 
-    # a list without a surviving pair is done
-    left = labelled(listed.join(found.select("key").distinct(), "key", "left_semi"))
-    found = pairs_of(left, list_crossings, "key long, a long, partners array<long>, bounds array<long>")
-    met = found.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("partners", "bounds")))).alias("p"))
-    met = met.select("a", F.explode("p").alias("p")).select(F.least("a", "p.partners").alias("a"), F.greatest("a", "p.partners").alias("b"), F.col("p.bounds").alias("bound"))
+    # a list in one piece without a surviving pair is done
+    short = listed.filter("not long").join(found.select("piece").distinct(), "piece", "left_semi")
+    left = labelled(short.unionByName(listed.filter("long")))
+    left = left.filter("not long").select(F.col("key").alias("piece"), "fp", "label").union(meetings(left.filter("long"), most_members))
+    found = pairs_of(left, list_crossings, "piece long, a long, partners array<long>, bounds array<long>")
+    met = found.select("a", F.explode(F.arrays_zip("partners", "bounds")).alias("p")).select(F.least("a", "p.partners").alias("a"), F.greatest("a", "p.partners").alias("b"), F.col("p.bounds").alias("bound"))
     pairs = common.checkpoint(between(met.distinct(), labels).join(tried, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         sets = common.checkpoint(sets_of(pairs))

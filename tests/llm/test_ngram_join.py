@@ -36,8 +36,8 @@ def brute(rows):
     return sorted(((d, len(sets[i]), smallest.get(root(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=str)
 
 
-def got(df):
-    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df).collect()), key=str)
+def got(df, **given):
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df, **given).collect()), key=str)
 
 
 def test_odd_rows(documents, clashing, rows):
@@ -69,7 +69,36 @@ def test_shared_passage_and_large_group(spark):
         t = list(base)
         t[rng.randrange(80)] = "edit"
         rows.append((500 + i, " ".join(t)))
-    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == brute(rows)
+    df, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(6), brute(rows)
+    assert got(df) == want
+    assert got(df, most_members=8) == want  # long lists in pieces
+
+
+def test_sets_are_read_once_a_class(spark):
+    rng = random.Random(10)
+    base = [f"v{rng.randrange(5000)}" for _ in range(80)]
+    near = base[:70] + ["edit"] + base[71:]
+    rows = [(i, " ".join(base if i % 2 else near)) for i in range(600)] + [(1, " ".join(base))] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    fps = [ngram_join.fingerprint(ngram_join.common.shingle_sets(ngram_join.pa.array([" ".join(t)]), 5)[0]) for t in (near, base)]
+    ends = spark.createDataFrame(list(zip(fps, (0, 1))), "fp long, doc_id long")
+    assert ngram_join.whole_sets(docs, ends, 1, 100_000).count() == 2  # with a table that every id passes
+    assert got(docs) == brute(rows)
+
+
+def test_meetings(spark):
+    """Any two members of different labels meet; those of a large label do not."""
+    rng = random.Random(12)
+    members = [(k, i, 0 if i < 40 else 1 if i < 60 else rng.randrange(2, 30)) for k in (1, 2) for i in range(60 + 40 * (k - 1))]
+    out = ngram_join.meetings(spark.createDataFrame(members, "key long, fp long, label long").withColumn("label", ngram_join.F.col("label")), 16).collect()
+    pieces = {}
+    for r in out:
+        pieces.setdefault(r["piece"], []).append((r["fp"], r["label"]))
+    met = {(a[0], b[0]) for p in pieces.values() for a in p for b in p if a[1] != b[1]}
+    for k, i, x in members:
+        for q, j, y in members:
+            assert k != q or x == y or (i, j) in met
+    assert all(len(p) == len(set(p)) for p in pieces.values()) and max(map(len, pieces.values())) <= 40
 
 
 def test_empty(empty):
