@@ -4,10 +4,14 @@ For each document the suffix array over its words is built by prefix doubling
 (suffixes that a prefix already tells apart leave the race at once), the longest
 common prefixes of neighbours come from the ranks of every doubling level, and
 their intervals are the maximal repeated substrings.  The union of the repeated
-spans gives the covered fraction; the verdict limits it and the longest repeat.
+spans of ``min_repeat`` words or more gives the covered fraction; the verdict
+limits it and the longest repeat.  Repeats of three words or more are counted,
+so that texts of short phrases or single words said over and over are rejected,
+which the base rule with its windows of eight words does not see.
 
 A whole block of documents is sorted at a time, with the document as part of
-each word's rank, so that repeats never cross documents.
+each word's rank, so that repeats never cross documents.  A very long text is a
+block of its own and is worked through whole.
 
 Defined results: a null or blank text has no words and fails the base rule; rows
 of a table are judged one by one, so ties and repeated rows are alike; an empty
@@ -141,8 +145,9 @@ def judge(texts: pa.Array, min_repeat: int, most_covered: float, longest: int) -
     different = np.unique(line_owner * np.int64(len(lines) + 1) + line_code)
     n_dup_lines = n_lines - np.bincount(different // (len(lines) + 1), minlength=n)
 
-    suffixes = SuffixArray(codes, counts, WINDOW)
-    hit = covered(suffixes.places, np.full(len(suffixes.places), WINDOW), len(codes))
+    suffixes = SuffixArray(codes, counts, 2)
+    windows, _ = suffixes.spans(WINDOW)
+    hit = covered(windows, np.full(len(windows), WINDOW), len(codes))
     n_repeat_words = np.bincount(owner[hit], minlength=n)
     starts, lengths = suffixes.spans(min_repeat)
     inside = covered(starts, lengths, len(codes))
@@ -158,11 +163,11 @@ def judge(texts: pa.Array, min_repeat: int, most_covered: float, longest: int) -
     return pa.record_batch(columns, names=[c.split()[0] for c in COLUMNS.split(", ")])
 
 
-def repetition_rules(docs: DataFrame, min_repeat: int = 8, most_covered: float = 0.3, longest: int = 60, block_bytes: int = 4_000_000) -> DataFrame:
+def repetition_rules(docs: DataFrame, min_repeat: int = 3, most_covered: float = 0.3, longest: int = 60, block_bytes: int = 4_000_000) -> DataFrame:
     """``docs`` with the columns of ``COLUMNS``.
 
     ``kept`` is false if the base rule fails, if repeats of ``min_repeat`` words
-    (8 or more) cover over ``most_covered`` of the words, or if one
+    (2 or more) cover over ``most_covered`` of the words, or if one
     has over ``longest`` words.
     """
     added = T._parse_datatype_string(COLUMNS)
