@@ -1,22 +1,27 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Each vector is scaled to length one, rotated by a fixed random orthogonal
-matrix and kept as the signs of its components, packed 8 to a byte, beside its
-length and the correction scalar ``f = <code, rotated vector>``.  For a query the
-inner product with a vector is estimated as ``|q| |v| <code, rotated query> / f``;
-the estimate misses by more than ``eps * sqrt(1 - f*f) / f / sqrt(dim - 1)`` (times
-the lengths) only with a tiny probability.  The best estimates set a threshold
-from exact products, and every vector whose upper bound reaches it is reranked
-with the original vectors, in double precision.
-
-The queries meet the vectors in blocks: packed blocks of vectors go to every
-block of queries, and a task keeps the best ``k`` of what it has seen.
-
-Defined results: vectors that are null, zero, of another dimension than most
-components wide, or that hold null or non-finite components take no part, as
-queries or candidates; ties go to the smaller id; repeated ids are candidates
-each (a query leaves out all rows with its own id); with fewer candidates than
-``k`` all come back; an empty table gives an empty result.
+Each vector is scaled to length one, turned by ``bits`` fixed random orthogonal
+matrices and kept as the signs of all turned components, packed 8 to a byte,
+beside its length and the correction scalar ``f = <code, turned vector>``.  For a
+query the inner product with a vector is estimated as ``|q| |v| <code, turned
+query> / f``; the estimate misses by more than ``eps * sqrt(1 - f*f) / f /
+sqrt(bits * dim - 1)`` (times the lengths) only with a tiny probability.  Every
+vector whose upper bound reaches a query's ``k``-th best exact product so far is
+reranked with the original vectors, in double precision; that product is carried
+from block to block.
+
+The queries meet the vectors in blocks: the stated query set against all rows.
+A block of vectors goes once to each block of ``query_rows`` queries, with its
+codes and its vectors as they are in the table: of the 4 * dim bytes of a vector
+so many queries use some that joining the survivors to vectors afterwards would
+move more.  A task takes one block of queries and ``group_rows`` vectors.
+
+Defined results: vectors that are null, zero, of another dimension than the
+commonest one (of equally common ones the largest), or that hold null or
+non-finite components take no part, as queries or candidates; ties go to the
+smaller id; repeated ids are candidates each (a query leaves out all rows with
+its own id); with fewer candidates than ``k`` all come back; an empty table gives
+an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,17 +38,21 @@ from . import common
 BLOCK = "block long, n int, ids binary, codes binary, scalars binary, vectors binary"
 
 
-def rotation(dim: int, seed: int = 17) -> np.ndarray:
-    """A random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+def rotation(dim: int, bits: int, seed: int = 17) -> np.ndarray:
+    """``bits`` random orthogonal matrices on top of each other, scaled so that
+    the columns have length one."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(bits):
+        q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
+        out.append(q * np.sign(np.diag(r)))
+    return np.concatenate(out) / np.sqrt(bits)
 
 
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(packed signs, [length, correction] per vector) of float64 ``vectors``."""
     length = np.sqrt((vectors * vectors).sum(1))
     turned = (vectors / length[:, None]) @ turn.T
-    factor = np.abs(turned).sum(1) / np.sqrt(vectors.shape[1])
+    factor = np.abs(turned).sum(1) / np.sqrt(len(turn))
     return np.packbits(turned > 0, axis=1), np.stack([length, factor], 1)
 
 
@@ -52,13 +61,15 @@ def usable(vector: Column, dim: int) -> Column:
     return F.coalesce((F.size(vector) == dim) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def packed_blocks(vectors: DataFrame, dim: int, rows: int, seed: int) -> DataFrame:
+def packed_blocks(vectors: DataFrame, dim: int, rows: int, bits: int, seed: int) -> DataFrame:
     """Blocks of at most ``rows`` coded vectors of ``vectors`` (id, vector)."""
 
+    kind = "f4" if dict(vectors.dtypes)["__v"] == "array<float>" else "f8"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        turn, number = rotation(dim, seed), TaskContext.get().partitionId() << 32
+        turn, number = rotation(dim, bits, seed), TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), dim)
@@ -66,7 +77,7 @@ def packed_blocks(vectors: DataFrame, dim: int, rows: int, seed: int) -> DataFra
                 part = flat[a : a + rows]
                 codes, scalars = encode(part, turn)
                 number += 1
-                blobs = [ids[a : a + rows].tobytes(), codes.tobytes(), scalars.tobytes(), part.tobytes()]
+                blobs = [ids[a : a + rows].tobytes(), codes.tobytes(), scalars.tobytes(), part.astype(kind).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(part)], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=[c.split()[0] for c in BLOCK.split(", ")])
 
     return vectors.mapInArrow(run, BLOCK)
@@ -80,65 +91,77 @@ def in_order(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return total
 
 
-def best_of_block(q_ids, queries, turned, q_length, ids, codes, scalars, vectors, k: int, eps: float):
-    """(query index, vec_id, score) of each query's ``k`` best in one block."""
-    dim = queries.shape[1]
-    signs = np.unpackbits(codes, axis=1)[:, :dim].astype(np.float32) * 2 - 1
+def best_of_block(q_ids, queries, turned, q_length, ids, codes, scalars, vectors, k: int, eps: float, bar: np.ndarray):
+    """(query index, vec_id, score, vectors reranked) of each query's ``k`` best in
+    one block, of which only those count that reach the query's ``bar``."""
+    width = turned.shape[1]
+    signs = np.unpackbits(codes, axis=1)[:, :width].astype(np.float32) * 2 - 1
     length, factor = scalars[:, 0], scalars[:, 1]
-    estimate = (turned.astype(np.float32) @ signs.T) / np.sqrt(dim) / factor.astype(np.float32)
-    slack = eps * np.sqrt(np.maximum(0.0, 1 - factor * factor)) / factor / np.sqrt(max(1, dim - 1)) + 1e-5
-    out_q, out_id, out_score = [], [], []
-    for i in range(len(q_ids)):
-        middle = estimate[i] * length * q_length[i]
-        other = ids != q_ids[i]
-        if not other.all():
-            middle = np.where(other, middle, -np.inf)
-        n = int(other.sum())
-        if n == 0:
-            continue
-        m = min(k, n)
-        first = np.argpartition(-middle, m - 1)[:m]
-        least = (vectors[first] * queries[i]).sum(1).min()
-        upper = middle + slack * length * q_length[i]
-        chosen = np.flatnonzero((upper >= least) & other)
-        if len(chosen) < m:
-            chosen = np.union1d(chosen, first)
-        score = (vectors[chosen] * queries[i]).sum(1)
-        # the best are summed again component by component, an order that SQL can follow
-        best = np.lexsort((ids[chosen], -score))[: k + 8]
-        score = score.copy()
-        score[best] = in_order(vectors[chosen[best]], queries[i])
-        best = best[np.lexsort((ids[chosen[best]], -score[best]))][:k]
-        out_q.append(np.full(len(best), i))
-        out_id.append(ids[chosen][best])
-        out_score.append(score[best])
+    slack = (eps * np.sqrt(np.maximum(0.0, 1 - factor * factor)) / factor / np.sqrt(max(1, width - 1)) + 1e-5) * length
+    scale = (length / factor / np.sqrt(width)).astype(np.float32)
+    out_q, out_id, out_score, reranked = [], [], [], 0
+    for low in range(0, len(q_ids), 256):
+        estimate = (turned[low : low + 256].astype(np.float32) @ signs.T) * scale
+        for i in range(low, min(low + 256, len(q_ids))):
+            middle = estimate[i - low] * q_length[i]
+            own = ids == q_ids[i]
+            if own.any():
+                middle = np.where(own, -np.inf, middle)
+            m = min(k, len(ids) - int(own.sum()))
+            if m == 0:
+                continue
+            least, first = bar[i], None
+            if least == -np.inf:
+                # the k-th best of some more than k likely ones
+                n = min(4 * k, len(ids) - int(own.sum()))
+                first = np.argpartition(-middle, n - 1)[:n]
+                least = -np.partition(-(vectors[first] @ queries[i]), m - 1)[m - 1]
+            chosen = np.flatnonzero((middle + slack * q_length[i] >= least - 1e-9) & ~own)
+            if first is not None and len(chosen) < m:
+                chosen = np.union1d(chosen, first)
+            if not len(chosen):
+                continue
+            reranked += len(chosen)
+            score = vectors[chosen] @ queries[i]
+            # the best are summed again component by component, an order that SQL can follow
+            best = np.lexsort((ids[chosen], -score))[: k + 8]
+            score[best] = in_order(vectors[chosen[best]], queries[i])
+            best = best[np.lexsort((ids[chosen[best]], -score[best]))][:k]
+            out_q.append(np.full(len(best), i))
+            out_id.append(ids[chosen][best])
+            out_score.append(score[best])
     if not out_q:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_score)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), reranked
+    return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_score), reranked
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, eps: float = 3.0, query_rows: int = 512, block_rows: int = 4096, groups: int = 4, seed: int = 17) -> DataFrame:
+def search(
+    vectors: DataFrame, queries: DataFrame, k: int = 20, eps: float = 3.5, bits: int = 8, query_rows: int = 8192, block_rows: int = 4096, group_rows: int = 32_768, seed: int = 17
+) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` (id, vector)
     the ``k`` rows of ``vectors`` (id, vector) with the largest inner product."""
     vectors = vectors.toDF("__id", "__v")
     queries = queries.toDF("__id", "__v")
-    dim = vectors.agg(F.max(F.size("__v"))).first()[0] or 1
+    sizes = vectors.filter("size(__v) > 0").groupBy(F.size("__v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+    dim, rows = (sizes["dim"], sizes["n"]) if sizes else (1, 0)
     vectors = vectors.filter(usable(F.col("__v"), dim) & F.col("__id").isNotNull())
     queries = queries.filter(usable(F.col("__v"), dim) & F.col("__id").isNotNull())
+    kind = "f4" if dict(vectors.dtypes)["__v"] == "array<float>" else "f8"
+    q_kind = "f4" if dict(queries.dtypes)["__v"] == "array<float>" else "f8"
+    groups = max(1, -(-rows // group_rows))
     parts = max(1, -(-queries.count() // query_rows))
-    q = packed_blocks(queries.repartition(parts, "__id"), dim, query_rows, seed).drop("codes", "scalars")
+    q = packed_blocks(queries.repartition(parts, "__id"), dim, query_rows, bits, seed).drop("codes", "scalars")
     q = common.checkpoint(q)
-    numbers = q.select("block").orderBy("block")
-    numbered = q.join(numbers.withColumn("qb", F.row_number().over(Window.orderBy("block"))), "block").select(
-        "qb", F.col("n").alias("qn"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.array(*[F.lit(g) for g in range(groups)])).alias("g")
-    )
-    blocks = packed_blocks(vectors, dim, block_rows, seed)
+    # numbered by task and block, of which there are few: a window over a row a block
+    numbered = q.withColumn("qb", F.row_number().over(Window.orderBy("block"))).select("qb", F.col("n").alias("qn"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    numbered = numbered.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    blocks = packed_blocks(vectors, dim, block_rows, bits, seed)
     spread = blocks.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(1), F.lit(max(1, q.count())))))
     pairs = spread.join(numbered, ["qb", "g"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(dim, seed)
-        key, held, state = None, None, None
+        turn = rotation(dim, bits, seed)
+        key, held, state, bar = None, None, None, None
 
         def merge(found):
             nonlocal state
@@ -148,6 +171,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, eps: float = 3.0
             who = found[0][order]
             start = np.concatenate([[True], who[1:] != who[:-1]]) if len(who) else np.zeros(0, bool)
             place = np.arange(len(who)) - (np.flatnonzero(start)[np.cumsum(start) - 1] if len(who) else 0)
+            last = order[place == k - 1]
+            bar[found[0][last]] = found[2][last]
             order = order[place < k]
             state = tuple(x[order] for x in found)
 
@@ -161,21 +186,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, eps: float = 3.0
                         yield flush()
                     key, state = (row["qb"], row["g"]), None
                     q_ids = np.frombuffer(row["q_ids"], np.int64)
-                    own = np.frombuffer(row["q_vectors"], np.float64).reshape(len(q_ids), dim)
+                    own = np.frombuffer(row["q_vectors"], q_kind).astype(np.float64).reshape(len(q_ids), dim)
                     size = np.sqrt((own * own).sum(1))
-                    held = (q_ids, own, (own / size[:, None]) @ turn.T, size)
+                    held, bar = (q_ids, own, (own / size[:, None]) @ turn.T, size), np.full(len(q_ids), -np.inf)
                 n = row["n"]
-                merge(
-                    best_of_block(
-                        *held,
-                        np.frombuffer(row["ids"], np.int64),
-                        np.frombuffer(row["codes"], np.uint8).reshape(n, -1),
-                        np.frombuffer(row["scalars"], np.float64).reshape(n, 2),
-                        np.frombuffer(row["vectors"], np.float64).reshape(n, dim),
-                        k,
-                        eps,
-                    )
+                *found, _ = best_of_block(
+                    *held,
+                    np.frombuffer(row["ids"], np.int64),
+                    np.frombuffer(row["codes"], np.uint8).reshape(n, -1),
+                    np.frombuffer(row["scalars"], np.float64).reshape(n, 2),
+                    np.frombuffer(row["vectors"], kind).astype(np.float64).reshape(n, dim),
+                    k,
+                    eps,
+                    bar,
                 )
+                merge(tuple(found))
         if key is not None:
             yield flush()
 
