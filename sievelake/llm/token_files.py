@@ -2,7 +2,7 @@
 
 Documents are put in ascending doc_id order and encoded; the ids of runs of
 documents form shards.  In each shard frequent neighbouring ids are replaced by
-nonterminals, round after round; a shard keeps its rules, the expansion length
+nonterminals, round after round, until no pair of neighbours is frequent; a shard keeps its rules, the expansion length
 of each nonterminal and the remaining sequence, so that any range of ids is
 decoded by a binary search over summed expansion lengths.
 
@@ -45,7 +45,8 @@ class WordEncoder:
 
     Each distinct stem goes through the tokenizer once: a word in lower case and
     without closing punctuation, which such a tokenizer treats apart.  Words with
-    combining marks are taken as they are, since marks may compose with letters.
+    combining marks or a special token's string are taken as they are, since marks
+    may compose with letters.
     The table of stems is emptied beyond ``most``.
     """
 
@@ -56,8 +57,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.most = most
+        # strings that are one token each wherever they stand, if they are written so:
+        # words with them in any case are left alone
+        special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.whole = f"(?i){special}" if special else ""
         self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.word_end[i] = piece.endswith("</w>")
@@ -125,10 +129,11 @@ class WordEncoder:
         if self.n + len(words) > self.most:
             self.clear()
         marked = pc.match_substring_regex(words, r"\p{M}") if not pc.all(pc.string_is_ascii(words)).as_py() else pa.scalar(False)
-        lower = pc.if_else(marked, words, pc.ascii_lower(words))
+        whole = pc.match_substring_regex(words, self.whole) if self.whole else pa.scalar(False)
+        lower = pc.if_else(pc.or_(marked, whole), words, pc.ascii_lower(words))
         stem = pc.ascii_rtrim(lower, self.CLOSING)
         closed = pc.not_equal(pc.binary_length(stem), pc.binary_length(lower))
-        parted = pc.and_(closed, pc.match_substring_regex(stem, "[a-z]$"))
+        parted = pc.and_(pc.and_(closed, pc.match_substring_regex(stem, "[a-z]$")), pc.invert(whole))
         stem = pc.if_else(parted, stem, lower)
         s0, n0 = self._slices(stem)
         s1, n1 = np.zeros_like(s0), np.zeros_like(n0)
@@ -156,43 +161,31 @@ def encoder_for(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-_TABLE = 1 << 18
-
-
-def _slot(pairs: np.ndarray) -> np.ndarray:
-    """A place for each pair in a table of ``_TABLE`` slots."""
-    return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).view(np.int64)
-
-
-def compress(ids: np.ndarray, rounds: int = 3, rules_a_round: int = 8192, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, expansion lengths, sequence) of a Re-Pair grammar for ``ids``.
 
-    A round replaces the ``rules_a_round`` most frequent pairs that occur at
-    least ``least`` times, from left to right where occurrences overlap.
+    Rounds go on until no pair of neighbours occurs ``least`` times (a rule pays
+    for its bytes from there).  A round replaces the pairs that occur at least a
+    quarter as often as the most frequent one, from left to right where
+    occurrences overlap.
+
+    Counts of old pairs only fall, so a pair once found rare stays rare: a round
+    counts the pairs with a symbol of the round before and those that were
+    frequent then, not the whole sequence.
     """
     sequence = ids.astype(np.int64)
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
     n_rules = 0
-    for _ in range(rounds):
-        if len(sequence) < 2:
-            break
-        pairs = (sequence[:-1] << 20) | sequence[1:]
-        distinct, counts = np.unique(pairs, return_counts=True)
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
-            break
-        often = often[np.argsort(-counts[often], kind="stable")[:rules_a_round]]
-        chosen = distinct[often]
-        slots = np.full(_TABLE, -1, np.int32)
-        slots[_slot(chosen[::-1].copy())] = np.arange(len(chosen), dtype=np.int32)[::-1]  # of two in a slot the more frequent stays
-        at = slots[_slot(pairs)]
-        where = np.flatnonzero(at >= 0)
-        rule = at[where]
-        hit = chosen[rule] == pairs[where]
-        where, rule = where[hit], rule[hit]
-        if not len(where):
+    live = np.ones(max(0, len(sequence) - 1), bool)
+    while len(at := np.flatnonzero(live)):
+        distinct, which, counts = np.unique((sequence[at] << 20) | sequence[at + 1], return_inverse=True, return_counts=True)
+        most = int(counts.max())
+        if most < least:
             break
+        live[at[(counts < least)[which]]] = False
+        hit = (counts >= max(least, most // 4))[which]
+        where, rule = at[hit], which[hit]
         # in a run of overlapping occurrences every second one, from the first
         run = np.concatenate([[True], np.diff(where) != 1])
         odd = (where - where[run][np.cumsum(run) - 1]) % 2 == 1
@@ -200,7 +193,7 @@ def compress(ids: np.ndarray, rounds: int = 3, rules_a_round: int = 8192, least:
         used, rule = np.unique(rule, return_inverse=True)
         if n_rules + len(used) > (1 << 20) - FIRST_RULE:
             break
-        made = chosen[used]
+        made = distinct[used]
         pair = np.stack([made >> 20, made & 0xFFFFF], 1)
         size = np.ones(FIRST_RULE + n_rules, np.int64)
         size[FIRST_RULE:] = lengths
@@ -209,7 +202,11 @@ def compress(ids: np.ndarray, rounds: int = 3, rules_a_round: int = 8192, least:
         sequence[where] = FIRST_RULE + n_rules + rule
         keep = np.ones(len(sequence), bool)
         keep[where + 1] = False
-        sequence = sequence[keep]
+        fresh = np.zeros(len(sequence), bool)
+        fresh[where] = True
+        live = np.append(live, False)[keep]
+        sequence, fresh = sequence[keep], fresh[keep]
+        live = (live | fresh)[:-1] | fresh[1:]
         n_rules += len(used)
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), lengths, sequence
 

@@ -13,7 +13,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def encoded(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -59,3 +58,32 @@ def test_words_encode_like_texts(texts):
 
     ids, sizes = token_files.encoder_for(PATH).encode(pa.array(texts))
     assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == encoded(texts)
+
+
+PIECES = [*"aB'é,.;!?<|>1 \n\tſİ\u0301ß…😀日", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "Words"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), min_size=1, max_size=6))
+def test_special_strings_encode_like_texts(texts):
+    import pyarrow as pa
+
+    ids, sizes = token_files.encoder_for(PATH).encode(pa.array(texts))
+    assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == encoded(texts)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=600), st.integers(2, 9))
+def test_no_frequent_pair_is_left(ids, least):
+    rules, lengths, sequence = token_files.compress(np.array(ids, np.uint32), least)
+    pairs = list(zip(sequence.tolist(), sequence[1:].tolist()))
+    assert max((pairs.count(p) for p in set(pairs)), default=0) < least
+    assert len(lengths) == len(rules) == len({tuple(r) for r in rules.tolist()})
+
+
+def test_repeats_shrink_to_their_grammar():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 40_000, 300)
+    ids = np.concatenate([np.concatenate([passage, rng.integers(0, 40_000, 20)]) for _ in range(400)]).astype(np.uint32)
+    rules, _, sequence = token_files.compress(ids)
+    assert len(sequence) <= 400 * 22 and 299 <= len(rules) <= 400
