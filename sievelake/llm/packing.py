@@ -1,32 +1,47 @@
 """Packing into optimal length buckets.
 
-The histogram of lengths over all documents is gathered, dynamic programming
-picks the bucket boundaries that pad least, and batches of a fixed token budget
-form inside each bucket: a bucket of padded length L takes ``budget // L``
-documents a batch.
+Texts are encoded once, in one scan; their ids are kept in a table in the shared
+folder, from which only the lengths are read for the next two steps.  The
+histogram of lengths over all documents is gathered, dynamic programming picks
+the bucket boundaries that pad least, and batches of a fixed token budget form
+inside each bucket: a bucket of padded length L takes ``budget // L`` documents a
+batch.  Each batch is written as one matrix of ids with its padding and mask.
 
 Only the histogram reaches the driver.  With at most ``most_lengths`` distinct
 lengths it is exact, and so are the boundaries, however long a document is.  With
 more, lengths are rounded up in proportion to themselves, to the most leading bits
 that leave at most ``most_lengths`` steps: short ones stay exact.
 
-Unless ``length`` is given, n_tokens and the budget count words between ASCII
-blanks, not ids of a tokenizer: a long text without blanks counts as 1.
+File format: a Parquet folder with a row per batch (``BATCH``).  ``ids`` holds
+n_rows * bucket_len little-endian unsigned 32-bit numbers, row after row, filled
+up with the padding id; ``mask`` a bit for each of them, 1 where it is an id of
+the text.
 
 Defined results: a null text has length 0 and is put in the first bucket; a
 document longer than the budget fills batches of its own; equal lengths are
-ordered by a digest of the id; repeated rows are packed each; an empty table
-gives an empty result.  Input columns named like an output column are replaced.
+ordered by a digest of the id; repeated rows are packed each; a very long text is
+one row of one batch, held whole; an empty table gives an empty result.  Input
+columns named like an output column are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .mixing import salt
+from .token_files import encoder_for
+
+BATCH = "bucket int, batch long, bucket_len long, n_rows int, ids binary, mask binary"
+PLACED = "n_tokens long, bucket int, bucket_len long, batch long, row_in_batch long, padding long, ids_crc32 long"
 
 
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -95,30 +110,125 @@ def length_histogram(sized: DataFrame, most_lengths: int) -> tuple[np.ndarray, n
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), kept
 
 
-def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, most_lengths: int = 65_536, length: Column | None = None) -> DataFrame:
-    """``docs`` with n_tokens, bucket, bucket_len, batch, row_in_batch, padding.
+def place(sized: DataFrame, buckets: int = 16, budget: int = 65_536, most_lengths: int = 65_536, cell_rows: int = 50_000) -> DataFrame:
+    """``sized`` (doc_id, n_tokens and more) with bucket, bucket_len, batch,
+    row_in_batch and padding; ``batch`` counts from 0 within the bucket.
 
-    ``batch`` counts from 0 within the bucket.
+    A bucket is ranked in cells of about ``cell_rows`` rows, which grow in number
+    with the table.
     """
-    docs = docs.drop("n_tokens", "bucket", "bucket_len", "batch", "row_in_batch", "padding")
-    sized = docs.withColumn("n_tokens", common.word_count(F.col("text")) if length is None else length)
     lengths, counts, _ = length_histogram(sized.select("n_tokens"), most_lengths)
     ends = optimal_boundaries(lengths, counts, buckets) or [0]
-    # plain conditions: inside a lambda the optimiser would count words anew for each boundary
+    digits = 1
+    while 16**digits * cell_rows < counts.sum() and digits < 8:
+        digits += 1
     bucket = F.coalesce(*[F.when(F.col("n_tokens") <= e, F.lit(i)) for i, e in enumerate(ends)])
     out = sized.withColumn("bucket", bucket).withColumn("bucket_len", F.element_at(F.array(*[F.lit(e).cast("long") for e in ends]), F.col("bucket") + 1))
-    out = out.withColumn("__salt", salt(F.col("doc_id"), 2))
+    out = out.withColumn("__salt", salt(F.col("doc_id"), digits))
     out = common.rank_in_cells(out, ["bucket"], ["__salt"], [F.col("n_tokens"), F.col("doc_id")], "__rank").drop("__salt")
     rows = F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1))), F.lit(1)).cast("long")
-    place = F.col("__rank") - 1
+    at = F.col("__rank") - 1
     return (
-        out.withColumn("batch", F.floor(place / rows).cast("long"))
-        .withColumn("row_in_batch", F.pmod(place, rows).cast("long"))
+        out.withColumn("batch", F.floor(at / rows).cast("long"))
+        .withColumn("row_in_batch", F.pmod(at, rows).cast("long"))
         .withColumn("padding", F.col("bucket_len") - F.col("n_tokens"))
         .drop("__rank")
     )
 
 
+def encoded(docs: DataFrame, tokenizer: str, block_bytes: int = 8_000_000) -> DataFrame:
+    """The columns of ``docs`` but ``text``, with n_tokens and ids."""
+    docs = docs.select("text", *[c for c in docs.columns if c != "text"])
+    schema = T.StructType([*docs.schema.fields[1:], *T._parse_datatype_string("n_tokens long, ids binary").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_for(tokenizer)
+        for batch in batches:
+            texts = common.as_one(batch.column(0))
+            for a, b in common.slices_by_bytes(texts, block_bytes):
+                ids, sizes = encoder.encode(texts.slice(a, b - a))
+                edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+                raw = ids.astype("<u4")
+                blobs = [raw[x:y].tobytes() for x, y in zip(edges, edges[1:])]
+                rest = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*rest.columns[1:], pa.array(sizes.astype(np.int64)), pa.array(blobs, pa.binary())], names=[*rest.schema.names[1:], "n_tokens", "ids"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def write_batches(placed: DataFrame, path: str, pad_id: int) -> None:
+    """Write the rows of ``place``, with their ids, as ``BATCH`` and an array for
+    each further column."""
+    names = ["bucket", "batch", "row_in_batch", "bucket_len", "ids"]
+    extra = [f for f in placed.schema.fields if f.name not in (*names, "n_tokens", "padding")]
+    schema = T.StructType([*T._parse_datatype_string(BATCH).fields, *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in extra]])
+    rows = placed.select(*names, *[f.name for f in extra]).repartition("bucket", "batch").sortWithinPartitions("bucket", "batch", "row_in_batch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(parts):
+            part = pa.Table.from_batches(parts).combine_chunks()
+            width, blobs = part.column(3)[0].as_py(), part.column(4).to_pylist()
+            table, mask = np.full((len(blobs), width), pad_id, "<u4"), np.zeros((len(blobs), width), bool)
+            for i, blob in enumerate(blobs):
+                table[i, : len(blob) // 4], mask[i, : len(blob) // 4] = np.frombuffer(blob, "<u4"), True
+            one = [[part.column(0)[0].as_py()], [part.column(1)[0].as_py()], [width], [len(blobs)], [table.tobytes()], [np.packbits(mask).tobytes()]]
+            columns = [pa.array(x, kind) for x, kind in zip(one, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(blobs)], pa.int32()), part.column(5 + i).combine_chunks()) for i in range(len(extra))]
+            return pa.RecordBatch.from_arrays([*columns, *lists], names=schema.fieldNames())
+
+        current, parts = None, []
+        for batch in batches:
+            bucket, number = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (number[1:] != number[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if b > a:
+                    if parts and (bucket[a], number[a]) != current:
+                        yield flush(parts)
+                        parts = []
+                    current = (bucket[a], number[a])
+                    parts.append(batch.slice(a, b - a))
+        if parts:
+            yield flush(parts)
+
+    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each document in the batches: its further columns and ``PLACED``."""
+    stored = spark.read.parquet(path)
+    extra = [f for f in stored.schema.fields if f.name not in [c.split()[0] for c in BATCH.split(", ")]]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType.elementType) for f in extra], *T._parse_datatype_string(PLACED).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket, number, width, n, ids, mask = [batch.column(j)[i].as_py() for j in range(6)]
+                table = np.frombuffer(ids, "<u4").reshape(n, width)
+                held = np.unpackbits(np.frombuffer(mask, np.uint8), count=n * width).reshape(n, width).astype(bool)
+                sizes = held.sum(1)
+                crc = [zlib.crc32(np.ascontiguousarray(table[r][held[r]])) for r in range(n)]
+                same = [pa.array(np.full(n, bucket, np.int32)), pa.array(np.full(n, width, np.int64)), pa.array(np.full(n, number, np.int64))]
+                columns = [pa.array(sizes.astype(np.int64)), *same, pa.array(np.arange(n)), pa.array(width - sizes), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*[batch.column(6 + j)[i].values for j in range(len(extra))], *columns], names=schema.fieldNames())
+
+    return stored.select(*[c.split()[0] for c in BATCH.split(", ")], *[f.name for f in extra]).mapInArrow(run, schema)
+
+
+def pack(docs: DataFrame, path: str, tokenizer: str, pad_id: int = 0, **options) -> DataFrame:
+    """Encode ``docs`` (doc_id, text and more), write them as batches below ``path``
+    and read them back: the columns of ``docs`` but ``text``, with ``PLACED``.
+
+    ``options`` are those of ``place``.
+    """
+    docs = docs.drop(*[c.split()[0] for c in PLACED.split(", ")], "ids", "mask", "n_rows")
+    encoded(docs, tokenizer).write.option("compression", "zstd").parquet(f"{path}/ids")
+    placed = place(docs.sparkSession.read.parquet(f"{path}/ids"), **options)
+    write_batches(placed, f"{path}/batches", pad_id)
+    return read_batches(docs.sparkSession, f"{path}/batches")
+
+
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(common.read(spark, sf_dir, "documents"))
-    return packed.select("doc_id", "n_tokens", "bucket", "bucket_len", "batch", "row_in_batch", "padding")
+    import public_tokenizers
+
+    path = f"{common.shared_folder(spark)}/packed-{uuid.uuid4().hex}"
+    return pack(common.read(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))

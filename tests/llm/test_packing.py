@@ -1,11 +1,16 @@
 import itertools
+import zlib
 
 import numpy as np
+import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from sievelake.llm import packing
 
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
 
 def padding(lengths, counts, ends):
     return sum(c * (min(e for e in ends if e >= n) - n) for n, c in zip(lengths, counts))
@@ -22,40 +27,58 @@ def test_boundaries_are_optimal(histogram, buckets):
     assert padding(lengths, counts, ends) == best
 
 
-def check(docs, n, **options):
-    out = packing.pack(docs, **options).collect()
+def check(out, n, budget=65_536):
     assert len(out) == n
     batches = {}
     for r in out:
         assert r["padding"] == r["bucket_len"] - r["n_tokens"] >= 0
         batches.setdefault((r["bucket"], r["batch"]), []).append(r)
-    budget = options.get("budget", 65_536)
     for (bucket, batch), rows in batches.items():
         assert len(rows) * rows[0]["bucket_len"] <= max(budget, rows[0]["bucket_len"])
         assert sorted(r["row_in_batch"] for r in rows) == list(range(len(rows)))
+        # every batch but the last of its bucket is full
+        assert (bucket, batch + 1) not in batches or len(rows) == max(1, budget // max(1, rows[0]["bucket_len"]))
         assert batch == 0 or (bucket, batch - 1) in batches
-    return out
+    if out:
+        lengths, counts = np.unique([r["n_tokens"] for r in out], return_counts=True)
+        ends = packing.optimal_boundaries(lengths, counts, len({r["bucket_len"] for r in out}))
+        assert sum(r["padding"] for r in out) == padding(lengths.tolist(), counts.tolist(), ends)
+
+
+def test_batches_hold_the_tokenizers_ids(spark, documents, rows, tmp_path):
+    """Each document's ids, read back under the mask, and the padding beside it."""
+    out = packing.pack(documents, str(tmp_path / "p"), PATH, pad_id=7, buckets=4, budget=500).collect()
+    check(out, len(rows), 500)
+    want = [(i, e.ids) for (i, _, _), e in zip(rows, Tokenizer.from_file(PATH).encode_batch([t or "" for _, t, _ in rows], add_special_tokens=False))]
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out), key=str) == sorted(((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want), key=str)
+    for r in spark.read.parquet(str(tmp_path / "p/batches")).collect():
+        table = np.frombuffer(r["ids"], "<u4").reshape(r["n_rows"], r["bucket_len"])
+        mask = np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=table.size).reshape(table.shape).astype(bool)
+        assert (table[~mask] == 7).all() and len(r["doc_id"]) == len(table) == len(r["lang"])
+        assert (mask[:, 1:] <= mask[:, :-1]).all()
 
 
-def test_odd_rows(documents, clashing, rows):
-    check(documents, len(rows), buckets=4, budget=500)
-    check(clashing, len(rows))
+def test_clashing(spark, clashing, rows, tmp_path):
+    out = packing.pack(clashing, str(tmp_path / "p"), PATH)
+    assert len(set(out.columns)) == len(out.columns)
+    check(out.collect(), len(rows))
 
 
 def test_coarse_histogram(spark):
-    docs = spark.range(500).selectExpr("id as doc_id", "repeat('w ', cast(id as int)) as text")
-    check(docs, 500, buckets=5, most_lengths=20, budget=1000)
+    sized = spark.range(500).selectExpr("id as doc_id", "id as n_tokens")
+    out = packing.place(sized, buckets=5, most_lengths=20, budget=1000, cell_rows=10).collect()
+    assert len(out) == 500 and all(r["padding"] == r["bucket_len"] - r["n_tokens"] >= 0 for r in out)
+    assert len({(r["bucket"], r["batch"], r["row_in_batch"]) for r in out}) == 500
 
 
-def test_empty(empty):
-    check(empty, 0)
+def test_empty(empty, tmp_path):
+    check(packing.pack(empty, str(tmp_path / "p"), PATH).collect(), 0)
 
 
 def test_one_long_document_leaves_the_short_ones_exact(spark):
-    docs = spark.range(300).selectExpr("id as doc_id", "case when id = 0 then 10000000 else 1 + id % 200 end as n")
-    sized = docs.selectExpr("doc_id", "'' as text", "n")
-    out = packing.pack(sized, buckets=16, length=sized["n"]).collect()
-    lengths, counts = np.unique([r["n"] for r in out], return_counts=True)
+    sized = spark.range(300).selectExpr("id as doc_id", "case when id = 0 then 10000000 else 1 + id % 200 end as n_tokens")
+    out = packing.place(sized, buckets=16).collect()
+    lengths, counts = np.unique([r["n_tokens"] for r in out], return_counts=True)
     ends = packing.optimal_boundaries(lengths, counts, 16)
     assert sum(r["padding"] for r in out) == padding(lengths.tolist(), counts.tolist(), ends)
     assert len({r["bucket_len"] for r in out}) == 16
