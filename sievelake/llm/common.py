@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,37 +13,53 @@ from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The column that holds a table's other columns while an operator works.
+REST = "__rest"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset
-    (unit tests on one machine) a temporary one is used.
+    Where that is unset, a session on one machine (``local[...]``, as in tests)
+    gets a temporary one; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sievelake-"))
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="sievelake-")
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def held_apart(docs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``docs`` with the columns ``keep`` and one struct of all others, so that no
+    name of theirs meets those that an operator gives."""
+    rest = [c for c in docs.columns if c not in keep]
+    return docs.select(*keep, (F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0)).alias(REST))
+
+
+def put_back(found: DataFrame, docs: DataFrame, keep: Sequence[str], **changed: Column) -> DataFrame:
+    """The columns of ``docs`` again, after ``held_apart``; ``changed`` replaces
+    some of those that were held."""
+    columns = []
+    for c in docs.columns:
+        columns.append(changed[c].alias(c) if c in changed else F.col(c) if c in keep else F.col(REST)[c].alias(c))
+    return found.select(*columns)
+
+
 def word_count(text: Column) -> Column:
     """Number of words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
