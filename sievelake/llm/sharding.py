@@ -1,24 +1,27 @@
 """Sharding by histogram sort.
 
-Rows are put in key order (doc_id, a digest of the text, a running number that
-only parts identical rows) and cut into shards of near-equal bytes.  The cuts
+Rows are put in key order (doc_id, a digest of the text, and for repeated rows a
+running number) and cut into shards of near-equal bytes.  The cuts
 come from exact counts: each round counts, over all partitions, the bytes and
 rows below every candidate key, and the next round probes inside the intervals
 that hold a wanted boundary, until each cut is within tolerance or its interval
 holds one row.  Then every row is exchanged once.  All of it is DataFrame code.
 
-Only one row per probe interval reaches the driver: at most ``shards *
-probes`` in a round, whatever the size of the table.
+Shards are numbered in cells of at most about ``cell_bytes``, whatever the size of
+the table; one row per probe interval, so some per cell, reaches the driver.
 
 Defined results: a null text counts 8 bytes and has crc 0; a null doc_id sorts
-with the smallest; equal keys (repeated rows) are parted by their place in the
-input and are interchangeable; an empty table gives an empty result.  Input
+with the smallest; a very long text is one row of its cell; repeated rows are
+parted by a running number and are interchangeable: only then is the numbered
+table written to the shared folder first, so that every reader and rerun sees the
+same numbers; an empty table gives an empty result.  Input
 columns named like an output column are replaced.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,11 +70,12 @@ def interval_of(key: Column, keys: list[tuple[int, int, int]]) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), forward)
 
 
-def find_cuts(keyed: DataFrame, shards: int, probes: int, tolerance: float, cells: int) -> tuple[list, list, list[int]]:
+def find_cuts(keyed: DataFrame, shards: int, probes: int, tolerance: float, cells: int, cell_bytes: int) -> tuple[list, list, list[int]]:
     """(cuts, cell starts, rows below each cell start) of ``keyed`` (key, size).
 
     ``cuts`` are the first keys of shards 1, 2, ...; the cell starts hold them
-    too, and more, so that a cell holds about one ``cells``-th of a shard.
+    too, and more, so that a cell holds about one ``cells``-th of a shard, but not
+    much more than ``cell_bytes`` unless a row does.
     """
     known: dict[int, tuple[int, int]] = {}
     low = high = 0
@@ -96,14 +100,15 @@ def find_cuts(keyed: DataFrame, shards: int, probes: int, tolerance: float, cell
             by, held = by + r["bytes"], held + r["rows"]
         total, rows = by, held
         slack = tolerance * total / shards
+        cell = max(1, min(total // (shards * cells), cell_bytes))
         more: set[int] = set()
         for first, last, b0, b1, r0, r1 in spans:
             if first == last:
                 continue
             wanted = [t for t in range(b0 * shards // total, b1 * shards // total + 1) if b0 < t * total / shards < b1] if total else []
-            if any(min(t * total / shards - b0, b1 - t * total / shards) > slack for t in wanted) or (r1 - r0) > max(1, 2 * rows // (shards * cells)):
+            if any(min(t * total / shards - b0, b1 - t * total / shards) > slack for t in wanted) or b1 - b0 > 2 * cell:
                 n = probes if not asked else max(2, probes // 4)
-                parts = shards * probes if not asked else n * max(1, len(wanted))
+                parts = max(shards * probes if not asked else n * max(1, len(wanted)), (b1 - b0) // cell)
                 width = last + 1 - first
                 more |= {first + 1 + (width - 1) * i // parts for i in range(parts)} - {first}
         more -= set(known)
@@ -126,7 +131,7 @@ def find_cuts(keyed: DataFrame, shards: int, probes: int, tolerance: float, cell
     return [_key(c) for c in cuts], [_key(s) for s in starts], [known[s][1] for s in starts]
 
 
-def histogram_shards(docs: DataFrame, shards: int = 24, probes: int = 16, tolerance: float = 0.002, cells: int = 16) -> DataFrame:
+def histogram_shards(docs: DataFrame, shards: int = 24, probes: int = 16, tolerance: float = 0.002, cells: int = 16, cell_bytes: int = 128_000_000) -> DataFrame:
     """``docs`` with size, shard and slot, each row exchanged once.
 
     ``tolerance`` is the accepted distance of a cut from its goal as a share of
@@ -135,14 +140,16 @@ def histogram_shards(docs: DataFrame, shards: int = 24, probes: int = 16, tolera
     """
     docs = docs.drop("size", "shard", "slot")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
-    key = F.struct(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-_HALF)).alias("a"),
-        F.xxhash64(F.col("text")).alias("b"),
-        F.monotonically_increasing_id().alias("c"),
-    )
-    sized = docs.withColumn("size", size).withColumn("__key", key)
+    first = F.coalesce(F.col("doc_id").cast("long"), F.lit(-_HALF))
+    key = lambda number: F.struct(first.alias("a"), F.xxhash64(F.col("text")).alias("b"), number.cast("long").alias("c"))
+    sized = docs.withColumn("size", size).withColumn("__key", key(F.lit(0)))
     keyed = common.checkpoint(sized.select(F.col("__key").alias("key"), "size"))
-    cuts, starts, below = find_cuts(keyed, shards, probes, tolerance, cells)
+    if not keyed.groupBy("key").count().filter("count > 1").isEmpty():
+        folder = f"{common.shared_folder(docs.sparkSession)}/numbered-{uuid.uuid4().hex}"
+        sized.withColumn("__key", key(F.monotonically_increasing_id())).write.option("compression", "zstd").parquet(folder)
+        sized = docs.sparkSession.read.schema(sized.schema).parquet(folder)
+        keyed = common.checkpoint(sized.select(F.col("__key").alias("key"), "size"))
+    cuts, starts, below = find_cuts(keyed, shards, probes, tolerance, cells, cell_bytes)
     if not starts:
         return docs.withColumn("size", size).withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
     rows_below = dict(zip(starts, below))

@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 from sievelake.llm import sharding
 
 
@@ -31,6 +33,30 @@ def test_one_key_may_hold_most_rows(spark):
     assert max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values())
 
 
+def test_cells_follow_the_bytes(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "repeat('x', cast(id % 90 as int)) as text")
+    keyed = docs.selectExpr("struct(doc_id as a, 0L as b, 0L as c) as key", "cast(length(text) + 8 as long) as size").cache()
+    for most in (4_000, 20_000):
+        cuts, starts, below = sharding.find_cuts(keyed, 3, 16, 0.01, 4, most)
+        edges = [s[0] for s in starts] + [20_000]
+        sizes = [sum(i % 90 + 8 for i in range(a, b)) for a, b in zip(edges, edges[1:])]
+        assert max(sizes) <= 2 * most + 100 and len(starts) <= 8 * 1_050_000 / most
+        assert below == [s[0] for s in starts] and set(cuts) <= set(starts)
+    check(sharding.histogram_shards(docs, shards=3, cell_bytes=5_000), 20_000, 3)
+
+
+def test_repeated_rows_over_a_shuffled_input(spark):
+    """Repeated rows are numbered once, though each reading of the input deals them
+    out anew."""
+    rows = [(i % 40, f"text {i % 40}", "abc"[i % 3]) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    for shuffled in (docs, docs.repartition(5, F.rand()), docs.orderBy(F.rand())):
+        out = sharding.histogram_shards(shuffled, shards=4)
+        check(out, 2000, 4)
+        again = sorted((r["shard"], r["slot"], r["doc_id"], r["text"]) for r in out.collect())
+        assert again == sorted((r["shard"], r["slot"], r["doc_id"], r["text"]) for r in out.collect())
+
+
 def test_odd_rows(documents, clashing, empty, rows):
     check(sharding.histogram_shards(documents, shards=24), len(rows), 24)
     check(sharding.histogram_shards(clashing, shards=3), len(rows), 3)
