@@ -7,8 +7,8 @@ whole number that its piece of the sum crosses.  All of it is DataFrame code.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 sorted last; sources whose documents are all empty have target 0 and take
-nothing; documents of equal size are ordered by a digest of their id, so reruns
-agree; repeated rows count as separate documents; an empty table gives an empty
+nothing; documents of one size class are ordered by a digest of their id, so
+reruns agree; very long texts only weigh more; repeated rows count as separate documents; an empty table gives an empty
 result.  Columns of the input named like an output column are replaced.
 """
 
@@ -63,35 +63,50 @@ def source_targets(totals: DataFrame, weights: Sequence[int], most: float) -> Da
     return t.select("source", "source_size", "weight", target.alias("target"))
 
 
-def systematic_mix(docs: DataFrame, size: Column | None = None, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: str = "mix", digits: int = 1) -> DataFrame:
+def cell_digits(rows: int, cell_rows: int) -> int:
+    """Digits of the salt by which ``rows`` fall in cells of about ``cell_rows``."""
+    digits = 1
+    while digits < 8 and 16**digits * cell_rows < rows:
+        digits += 1
+    return digits
+
+
+def systematic_mix(docs: DataFrame, size: Column | None = None, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: str = "mix", cell_rows: int = 200_000) -> DataFrame:
     """``docs`` with size, source_size, target and copies (0 to ``most``).
 
     ``docs`` needs ``doc_id``, ``source`` and, unless ``size`` is given,
     ``text``.  Within a source the documents are taken by size class, so that
-    the words taken come near the target whatever the spread of sizes.  A size
-    class of a source is dealt out in 16 ** digits cells that are ranked apart.
+    the words taken come near the target whatever the spread of sizes, and in a
+    class by salt.  A leading part of the salt, longer for larger tables, deals
+    a class out in cells of about ``cell_rows`` rows that are ranked apart; it
+    does not change the order.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
+    digits = cell_digits(docs.count(), cell_rows)
     sized = docs.withColumn("size", common.word_count(F.col("text")) if size is None else size)
-    sized = sized.withColumn("__class", size_class(F.col("size"))).withColumn("__salt", salt(F.col("doc_id"), digits))
-    cells = common.checkpoint(sized.groupBy("source", "__class", "__salt").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size")))
+    sized = sized.withColumn("__class", size_class(F.col("size"))).withColumn("__salt", salt(F.col("doc_id"), 8)).withColumn("__cell", F.substring("__salt", 1, digits))
+    cells = common.checkpoint(sized.groupBy("source", "__class", "__cell").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size")))
     totals = cells.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, most)
-    before = Window.partitionBy("source").orderBy("__class", "__salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = cells.withColumn("__base", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    # rows before a cell: in the classes before its own, and in its class
+    earlier = lambda *keys: F.coalesce(F.sum("rows").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = cells.groupBy("source", "__class").agg(F.sum("rows").alias("rows")).withColumn("__before", earlier("source", "__class"))
+    classes = classes.select(F.col("source").alias("__cs"), F.col("__class").alias("__cc"), "__before")
+    base = cells.withColumn("__base", earlier("source", "__class", "__cell"))
+    base = base.join(classes, base["source"].eqNullSafe(classes["__cs"]) & (base["__class"] == classes["__cc"])).withColumn("__base", F.col("__base") + F.col("__before"))
     base = base.join(targets, base["source"].eqNullSafe(targets["source"])).select(
-        base["source"].alias("__s"), F.col("__class").alias("__c"), F.col("__salt").alias("__t"), "__base", "source_size", "target"
+        base["source"].alias("__s"), F.col("__class").alias("__c"), F.col("__cell").alias("__t"), "__base", "source_size", "target"
     )
-    inside = Window.partitionBy("source", "__class", "__salt").orderBy("size", "doc_id")
+    inside = Window.partitionBy("source", "__class", "__cell").orderBy("__salt", "size", "doc_id")
     ranked = sized.withColumn("__rank", F.row_number().over(inside))
-    same = F.col("source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c")) & (F.col("__salt") == F.col("__t"))
+    same = F.col("source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c")) & (F.col("__cell") == F.col("__t"))
     out = ranked.join(base, same, "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     place = F.col("__base") + F.col("__rank")
     start = offset(F.col("source"), seed)
     crossed = F.floor(place * rate + start) - F.floor((place - 1) * rate + start)
     out = out.withColumn("copies", F.least(crossed, F.lit(most)).cast("long"))
-    return out.drop("__class", "__salt", "__rank", "__s", "__c", "__t", "__base")
+    return out.drop("__class", "__salt", "__cell", "__rank", "__s", "__c", "__t", "__base")
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
@@ -109,7 +124,7 @@ WITH d AS (
   SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS BIGINT) AS size
   FROM documents),
 c AS (
-  SELECT *, greatest(length(bin(size)) - 5, 0) AS sh, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 1) AS salt FROM d),
+  SELECT *, greatest(length(bin(size)) - 5, 0) AS sh, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS salt FROM d),
 k AS (
   SELECT doc_id, source, size,
          row_number() OVER (PARTITION BY source ORDER BY sh * 32 + (size >> sh), salt, size, doc_id) AS place FROM c),

@@ -23,8 +23,8 @@ def targets_by_filling(sizes, weights=(1, 2, 3), most=3):
             return {s: float(most * sizes[s]) for s in order}
 
 
-def check(docs, rows):
-    got = mixing.systematic_mix(docs).collect()
+def check(docs, rows, **options):
+    got = mixing.systematic_mix(docs, **options).collect()
     assert len(got) == len(rows)
     sizes, taken, largest = defaultdict(int), defaultdict(int), defaultdict(int)
     for _, text, source in rows:
@@ -52,7 +52,10 @@ def test_odd_rows(documents, clashing, rows):
 def test_even_source(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 37)), "a" if i % 3 else "b") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    check(docs, rows)
+    key = lambda r: (r["doc_id"], r["size"], r["copies"])
+    # the cells grow in number with the table and change nothing
+    assert sorted(map(key, check(docs, rows))) == sorted(map(key, check(docs, rows, cell_rows=10)))
+    assert [mixing.cell_digits(n, 200_000) for n in (0, 10**6, 10**8, 10**11)] == [1, 1, 3, 5]
 
 
 def test_empty_and_wordless(spark, empty):
