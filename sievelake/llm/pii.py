@@ -7,7 +7,8 @@ features of each go through boosted trees; a threshold per generator, calibrated
 on held-out examples to a wanted precision, selects the spans to redact.
 
 Everything about a document stays in its row: matches, candidates and scores are
-arrays, so nothing is shuffled and a document of any kind costs only itself.
+arrays, so nothing is shuffled and a document of any kind, however long, costs
+only itself.
 Only documents with a digit, an at or plus sign, or a spelled-out "at" are
 searched; no rule can match elsewhere.
 
@@ -22,7 +23,9 @@ Input columns named like an output column are replaced.
 
 from __future__ import annotations
 
-import re
+import functools
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -183,39 +186,69 @@ def examples_table(spark: SparkSession, n: int) -> DataFrame:
         ("contact", F.concat(F.substring(word, 1, 3), F.lit("(at)"), F.substring(word, 4, 8), F.lit("(dot)org")), count, 1),
         ("contact", F.concat(F.substring(word, 1, 5), F.lit(" (at) "), pick("n", ["noon", "home", "once"]), F.lit(". "), F.substring(word, 3, 4)), count, 0),
     ]
-    case = F.col("id") % len(cases)
-    choose = lambda i: F.coalesce(*[F.when(case == k, F.lit(c[i]) if not isinstance(c[i], Column) else c[i]) for k, c in enumerate(cases)])
-    rows = spark.range(0, n, 1, 1)
+    column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    # a plan for each case: as one expression they outgrow a compiled method
+    parts = []
+    for i, (kind, text, cue, label) in enumerate(cases):
+        rows = spark.range(i, n, len(cases), 1)
+        parts.append(rows.select("id", F.lit(kind).alias("kind"), column(text).alias("text"), F.concat(prose, F.lit(" "), column(cue)).alias("left"), F.lit(label).alias("label")))
+    rows = functools.reduce(DataFrame.unionByName, parts).coalesce(1)
     closed = F.when(F.col("left").endswith('"'), F.lit('" ')).otherwise(F.lit(" "))
-    rows = rows.select("id", choose(0).alias("kind"), choose(1).alias("text"), F.concat(prose, F.lit(" "), choose(2)).alias("left"), choose(3).alias("label"))
     return rows.withColumn("right", closed).withColumn("held", F.expr(f"(id div {len(cases)}) % 2 = 1"))
 
 
-def tree_column(description: str, value: Callable[[int], Column]) -> Column:
-    """A fitted tree, as printed, as nested conditions."""
-    lines = [x for x in description.splitlines() if x.strip().startswith(("If", "Else", "Predict"))]
-    at = 0
-
-    def node() -> Column:
-        nonlocal at
-        line = lines[at].strip()
-        at += 1
-        if line.startswith("Predict"):
-            return F.lit(float(line.split(":")[1]))
-        index, bound = re.match(r"If \(feature (\d+) <= ([^)]+)\)", line).groups()
-        low = node()
-        at += 1  # the Else line
-        high = node()
-        return F.when(value(int(index)) <= float(bound), low).otherwise(high)
-
-    return node()
-
-
-_FITTED: dict[tuple, tuple[list[tuple[float, str]], dict[str, float]]] = {}
+def tree_heaps(model, folder: str, spark: SparkSession, depth: int) -> list[dict]:
+    """The trees of a fitted ``model``, read from its saved form in ``folder``: the
+    weight ``w``, and as heaps of full ``depth`` the feature ``f`` and bound ``t``
+    of each split and the value ``v`` of each leaf."""
+    model.write().save(folder)
+    nodes: dict[int, dict[int, tuple]] = {}
+    for r in spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*").collect():  # at most 2 ** (depth + 1) rows a tree
+        nodes.setdefault(r["treeID"], {})[r["id"]] = (r["leftChild"], r["rightChild"], r["split"]["featureIndex"], r["split"]["leftCategoriesOrThreshold"], r["prediction"])
+    out = []
+    for tree, weight in enumerate(model.treeWeights):
+        level, features, bounds = [0], [], []
+        for _ in range(depth):
+            below = []
+            for at in level:
+                left, right, feature, bound, _ = nodes[tree][at]
+                inner = left >= 0
+                # below a leaf all go on in the same leaf
+                features.append(feature if inner else 0)
+                bounds.append(float(bound[0]) if inner else 0.0)
+                below += [left, right] if inner else [at, at]
+            level = below
+        out.append({"w": float(weight), "f": features, "t": bounds, "v": [float(nodes[tree][at][4]) for at in level]})
+    return out
+
+
+_FITTED: dict[tuple, tuple[list[dict], dict[str, float]]] = {}
+
+
+def thresholds_of(held: list[tuple[str, float, int]], precision: float) -> dict[str, float]:
+    """{generator: threshold} from (generator, score, label): scores are calibrated
+    to precision by pooling adjacent violators, and the lowest score whose
+    calibrated precision is the wanted one is the threshold, with half the gap
+    to the next lower score of the other kind."""
+    out = {k: 1.1 for k in GENERATORS}
+    for kind in GENERATORS:
+        rows = sorted((p, y) for k, p, y in held if k == kind)
+        pools: list[list[float]] = []  # sum of labels, rows, lowest score
+        for p, y in rows:
+            pools.append([y, 1, p])
+            while len(pools) > 1 and (pools[-2][2] == pools[-1][2] or pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]):
+                y2, n2, _ = pools.pop()
+                pools[-1][0] += y2
+                pools[-1][1] += n2
+        good = [low for y, n, low in pools if y >= precision * n]
+        if good:
+            lower = max((p for p, y in rows if p < good[0]), default=0.0)
+            out[kind] = (good[0] + lower) / 2
+    return out
 
 
-def fit(spark: SparkSession, examples: int = 4000, rounds: int = 20, depth: int = 3, precision: float = 0.99) -> tuple[list[tuple[float, str]], dict[str, float]]:
-    """([(weight, tree)], {generator: threshold}) from ``examples`` rows."""
+def fit(spark: SparkSession, examples: int = 4000, rounds: int = 20, depth: int = 3, precision: float = 0.99) -> tuple[list[dict], dict[str, float]]:
+    """(trees, {generator: threshold}) from ``examples`` rows."""
     key = (examples, rounds, depth, precision)
     if key in _FITTED:
         return _FITTED[key]
@@ -227,24 +260,26 @@ def fit(spark: SparkSession, examples: int = 4000, rounds: int = 20, depth: int
     rows = common.checkpoint(rows)
     train = rows.filter(~F.col("held")).select(F.col("label").cast("double").alias("label"), array_to_vector("f").alias("features"))
     model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7, stepSize=0.3, checkpointInterval=-1).fit(train)
-    trees = [(float(w), t.toDebugString) for w, t in zip(model.treeWeights, model.trees)]
-    held = rows.filter("held").withColumn("p", score(trees, lambda i: F.col("f")[i]))
-    grid = [x / 20 for x in range(1, 20)]
-    sums = [F.sum(F.when(F.col("p") >= t, c)).alias(f"{n}{i}") for i, t in enumerate(grid) for n, c in (("hit", F.col("label")), ("all", F.lit(1)))]
-    thresholds = {k: 1.1 for k in GENERATORS}
-    for row in held.groupBy("kind").agg(*sums).collect():  # a row per generator
-        good = [t for i, t in enumerate(grid) if row[f"all{i}"] and (row[f"hit{i}"] or 0) >= precision * row[f"all{i}"]]
-        # the middle of the thresholds that are precise enough keeps a margin to both sides
-        if good:
-            thresholds[row["kind"]] = good[len(good) // 2]
-    _FITTED[key] = trees, thresholds
+    trees = tree_heaps(model, f"{common.shared_folder(spark)}/trees-{uuid.uuid4().hex}", spark, depth)
+    held = rows.filter("held").select("kind", score(trees, F.col("f")).alias("p"), "label").collect()  # half of ``examples``
+    _FITTED[key] = trees, thresholds_of([(r["kind"], r["p"], int(r["label"])) for r in held], precision)
     return _FITTED[key]
 
 
-def score(trees: list[tuple[float, str]], value: Callable[[int], Column]) -> Column:
-    total = F.lit(0.0)
-    for weight, tree in trees:
-        total = total + F.lit(weight) * tree_column(tree, value)
+def score(trees: list[dict], values: Column) -> Column:
+    """The probability for an array of features: every tree is walked from its
+    root, going on at 2 i + 1 or 2 i + 2; the trees are one constant."""
+    table = F.from_json(F.lit(json.dumps(trees)), "array<struct<w:double,f:array<int>,t:array<double>,v:array<double>>>")
+    depth = len(trees[0]["v"]).bit_length() - 1
+
+    def leaf(tree: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            low = F.get(values, F.get(tree["f"], at)) <= F.get(tree["t"], at)
+            return 2 * at + F.when(low, 1).otherwise(2)
+
+        return F.get(tree["v"], F.aggregate(F.array(*[F.lit(i) for i in range(depth)]), F.lit(0), step) - (2**depth - 1))
+
+    total = F.aggregate(table, F.lit(0.0), lambda acc, tree: acc + tree["w"] * leaf(tree))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(total * -2.0))
 
 
@@ -279,7 +314,7 @@ def find_spans(docs: DataFrame, context: int = 24) -> DataFrame:
         return measured
 
     def choosing(kind: str) -> Callable[[Column], Column]:
-        return lambda c: score(trees, lambda i: c["f"][i]) >= thresholds[kind]
+        return lambda c: score(trees, c["f"]) >= thresholds[kind]
 
     base = F.concat(*[F.transform(f"__{k}", spanning(k)) for k in RULES])
     found = found.withColumn("base_spans", F.array_sort(base))

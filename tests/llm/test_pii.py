@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 import pytest
@@ -87,11 +89,52 @@ def test_held_out_accuracy(spark):
     trees, thresholds = pii.fit(spark)
     held = pii.examples_table(spark, 4000).filter("held")
     f = F.array(*pii.features(F.col("kind"), F.col("text"), F.col("left"), F.col("right")))
-    scored = held.select("kind", "label", f.alias("f")).withColumn("p", pii.score(trees, lambda i: F.col("f")[i])).collect()
+    scored = held.select("kind", "label", f.alias("f")).withColumn("p", pii.score(trees, F.col("f"))).collect()
     right = sum((r["p"] >= thresholds[r["kind"]]) == bool(r["label"]) for r in scored)
     assert right >= 0.98 * len(scored)
 
 
+def walked(trees, values):
+    total = 0.0
+    for tree in trees:
+        at = 0
+        while at < len(tree["f"]):
+            at = 2 * at + (1 if values[tree["f"][at]] <= tree["t"][at] else 2)
+        total += tree["w"] * tree["v"][at - len(tree["f"])]
+    return 1 / (1 + math.exp(-2 * total))
+
+
+def test_trees_score_as_the_model_does(spark, tmp_path):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = random.Random(2)
+    rows = [([rng.random() for _ in range(4)],) for _ in range(300)]
+    df = spark.createDataFrame([(f, float(f[0] + f[1] * f[2] > 0.8)) for (f,) in rows], "f array<double>, label double").withColumn("features", array_to_vector("f"))
+    model = GBTClassifier(maxIter=5, maxDepth=3, seed=3).fit(df)
+    trees = pii.tree_heaps(model, str(tmp_path / "m"), spark, 3)
+    for r in model.transform(df).select("f", vector_to_array("probability")[1].alias("p"), pii.score(trees, F.col("f")).alias("q")).collect():
+        assert abs(r["p"] - r["q"]) < 1e-9 and abs(r["q"] - walked(trees, r["f"])) < 1e-9
+
+
+def test_thresholds_are_the_lowest_precise_ones():
+    held = [("secret", s, y) for s, y in ((0.1, 0), (0.2, 1), (0.3, 0), (0.6, 1), (0.7, 1), (0.7, 1), (0.9, 1))]
+    out = pii.thresholds_of(held, 0.99)
+    assert abs(out["secret"] - 0.45) < 1e-9 and out["number"] > 1
+
+
+def test_planted_secrets_are_found(spark, sf):
+    """Precision and recall against the keys planted in the documents."""
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text")
+    hit = wanted = extra = 0
+    for r in pii.find_spans(docs).select("text", "spans").collect():
+        marked = {i for m in re.finditer(r"(?<=[=:] [\"'])[A-Za-z0-9_]{20,}(?=[\"'])|\\b[0-9a-f]{32,64}\\b", r["text"] or "") for i in range(*m.span())}
+        found = {i for s in r["spans"] if s["kind"] == "secret" for i in range(s["start"], s["end"])}
+        hit, wanted, extra = hit + len(marked & found), wanted + len(marked), extra + len(found - marked)
+    print("planted", wanted, "found", hit, "beside", extra)
+    assert wanted and hit >= 0.95 * wanted
+
+
 @pytest.mark.parametrize("name", ["empty", "clashing"])
 def test_tables(request, name, rows):
     out = pii.find_spans(request.getfixturevalue(name))
