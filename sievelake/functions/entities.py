@@ -19,10 +19,15 @@ from . import net
 from .casts import NUMBER
 
 _HEX_LENGTHS = {"md5": (32, 16), "sha1": (40,), "sha224": (56,), "sha256": (64,), "sha384": (96,), "sha512": (128,), "sha3_224": (56,), "sha3_256": (64,), "sha3_384": (96,), "sha3_512": (128,), "sha512_224": (56,), "sha512_256": (64,)}
-FQDN = r"^([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$"
-UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-PHONE = r"^\+[1-9][0-9 ().-]{5,18}[0-9]$"
-URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#\s]+[^\s]*$"
+#: The accepted forms of names, media types and telephone numbers.
+#: Names and media types are read in lower case.
+FQDN = r"^[a-z0-9]+(?:-{1,2}[a-z0-9]+|\.[a-z0-9]+)*\.[a-z]{2,20}\z"
+MIME = r"^[a-z]+/(?:[a-z0-9]+[a-z0-9+,\-.][a-z0-9]+)+\z"
+PHONE = r"^\+[1-9][0-9]{0,2}(?:\s?\([1-9][0-9]{0,3}\))?(?:\s?-?[0-9]{1,4}){1,3}\z"
+#: A UUID: plain, in braces, after urn:uuid:, or its 32 digits.
+UUID = r"^(?:urn:uuid:)?([0-9a-f]{8})-([0-9a-f]{4})-([0-9a-f]{4})-([0-9a-f]{4})-([0-9a-f]{12})\z|^\{([0-9a-f]{8})-([0-9a-f]{4})-([0-9a-f]{4})-([0-9a-f]{4})-([0-9a-f]{12})\}\z|^[0-9a-f]{32}\z"
+#: A request target: an absolute path, or a scheme with what follows it.
+URL = r"^(?:/[^\s\x00-\x1F\x7F]*|[a-zA-Z][a-zA-Z0-9+.-]*:[^\s\x00-\x1F\x7F]*)\z"
 
 #: Networks whose addresses are not public.
 PRIVATE = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7"]
@@ -101,8 +106,8 @@ def fqdn(x: Column) -> Column:
 
 
 def url(x: Column) -> Column:
-    """Scheme and host in lower case."""
-    head = F.regexp_extract(x, r"^[^:]+://[^/?#]+", 0)
+    """An absolute path, or an address with its scheme and host in lower case."""
+    head = F.regexp_extract(x, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/?#]*)?", 0)
     return _if(x.rlike(URL), F.concat(F.lower(head), F.substring(x, F.length(head) + 1, F.length(x))))
 
 
@@ -111,7 +116,7 @@ def mac(x: Column) -> Column:
 
 
 def mime(x: Column) -> Column:
-    return _if(F.lower(x).rlike(r"^[a-z]+/[a-z0-9.+-]+$"), F.lower(x))
+    return _if(F.lower(x).rlike(MIME), F.lower(x))
 
 
 def path(x: Column) -> Column:
@@ -145,13 +150,23 @@ def digest(kind: str):
 
 
 def uuid(x: Column) -> Column:
-    return _if(F.lower(x).rlike(UUID), F.lower(x))
+    """In the plain form."""
+    figures = F.regexp_replace(F.lower(x), "^urn:uuid:|[{}-]", "")
+    plain = F.concat_ws("-", *[F.substring(figures, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return _if(F.lower(x).rlike(UUID), plain)
 
 
 def identifier(x: Column) -> Column:
     return F.coalesce(digest("md5")(x), digest("sha3_256")(x), uuid(x))
 
 
+def matches_whole(x: Column, pattern: str) -> Column:
+    """The value if the pattern, found in it once from the left, is all of it."""
+    from .record import engine_pattern
+
+    return _if((F.regexp_extract(x, engine_pattern(pattern), 0) == x) & x.rlike(engine_pattern(pattern)), x)
+
+
 def adversary(x: Column) -> Column:
     """A name: none of the machine-readable kinds."""
     other = F.coalesce(url(x), uuid(x), fqdn(x), phone(x), ip(x), F.when(x.rlike(r"^[^@\s]+@[^@\s]+$"), x))

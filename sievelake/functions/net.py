@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 V4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
+TAIL = r"^([0-9a-fA-F:]*:)" + f"({V4[1:-1]})$"
 _PREFIX = "0" * 20 + "ffff"
 
 
@@ -43,7 +44,14 @@ def _hex(x: Column, width: int) -> Column:
 
 
 def ip_key(address: Column) -> Column:
-    """Key of an address column; null where it is no address."""
+    """Key of an address column; null where it is no address.
+
+    An IPv6 address may end in an IPv4 one (``::ffff:1.2.3.4``).
+    """
+    tail = F.regexp_extract(address, TAIL, 2)
+    octets = F.split(tail, r"\.")
+    pair = lambda i: F.lower(F.hex(octets[i].try_cast("int") * 256 + octets[i + 1].try_cast("int")))
+    address = F.when(address.rlike(TAIL), F.concat(F.regexp_extract(address, TAIL, 1), pair(0), F.lit(":"), pair(2))).otherwise(address)
     parts = F.split(address, r"\.")
     v4 = F.concat(F.lit(_PREFIX), *[_hex(parts[i].try_cast("int"), 2) for i in range(4)])
     # IPv6: groups left and right of "::" with zeros between
@@ -57,10 +65,19 @@ def ip_key(address: Column) -> Column:
     return F.when(address.rlike(V4), v4).when(good, v6)
 
 
+def in_ranges(address: Column, ranges: list[tuple[str, str]]) -> Column:
+    """Whether the key of an address lies in one of the ranges; false where it is
+    no address.  The key is made once for all comparisons."""
+
+    def test(key: Column) -> Column:
+        found = F.lit(False)
+        for low, high in ranges:
+            found = found | key.between(low, high)
+        return F.coalesce(found, F.lit(False))
+
+    return F.exists(F.array(ip_key(address)), test)
+
+
 def in_networks(address: Column, cidrs: list[str]) -> Column:
     """Whether an address lies in one of the networks; false where it is none."""
-    found = F.lit(False)
-    key = ip_key(address)
-    for low, high in merged_ranges(cidrs):
-        found = found | key.between(low, high)
-    return F.coalesce(found, F.lit(False))
+    return in_ranges(address, merged_ranges(cidrs))

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import net
@@ -33,6 +33,33 @@ def json_path(path: str) -> str:
     return out
 
 
+def engine_pattern(pattern: str) -> str:
+    """A pattern as the engine spells it: ``(?P<name>`` is ``(?<name>``."""
+    return re.sub(r"(?<!\\)((?:\\\\)*)\(\?P<(\w+)>", lambda m: f"{m[1]}(?<{m[2].replace('_', 'U')}>", pattern)
+
+
+def compiles(pattern: str) -> bool:
+    """Whether the engine that will run a pattern accepts it."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import IllegalArgumentException
+
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("patterns are checked by the session that runs them; start one first")
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
+def where_record(df: DataFrame, column: str, condition: Callable[[Record], Column], **options) -> DataFrame:
+    """Rows of ``df`` whose record meets a condition; each record is parsed once,
+    however many of its fields the condition reads."""
+    parsed = F.array(F.try_parse_json(F.col(column)))
+    return df.filter(F.exists(parsed, lambda value: condition(Record(value, is_json=False, **options))))
+
+
 def _sure(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
@@ -125,24 +152,22 @@ class Record:
 
     def in_cidr(self, path: str, network: str) -> Column:
         try:
-            low, high = net.network_range(network)
+            ends = net.network_range(network)
         except ValueError:
             return F.lit(False)
-        return _sure(net.ip_key(self.text(path)).between(low, high))
+        return net.in_ranges(self.text(path), [ends])
 
     def regex_match(self, path: str, pattern: str) -> Column:
         """Somewhere in the string; ``{{name}}`` stands for a template; a pattern
-        that does not compile matches nothing."""
+        that the engine does not compile matches nothing.  Groups may be named
+        ``(?P<name>...)``."""
         for _ in range(10):
             expanded = re.sub(r"\{\{(\w+)\}\}", lambda m: self.templates.get(m[1], m[0]), pattern)
             if expanded == pattern:
                 break
             pattern = expanded
-        try:
-            re.compile(pattern)
-        except re.error:
-            return F.lit(False)
-        return _sure(self.text(path).rlike(pattern))
+        pattern = engine_pattern(pattern)
+        return _sure(self.text(path).rlike(pattern)) if compiles(pattern) else F.lit(False)
 
     def _compare(self, path: str, target: Any, test) -> Column:
         try:

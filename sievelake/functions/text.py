@@ -75,11 +75,22 @@ def fuzzy(text: Column, value: str, fuzziness: str = "AUTO") -> Column:
 
 
 def wildcard(value: Column, pattern: str) -> Column:
-    """``*`` any run, ``?`` any character, over the whole value."""
-    escaped = pattern.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-    return value.like(escaped.replace("*", "%").replace("?", "_"))
+    """``*`` any run, ``?`` any character, over the whole value; a backslash makes
+    the character after it an ordinary one."""
+    out, at = "", 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c in "*?":
+            out += "%" if c == "*" else "_"
+        else:
+            if c == "\\" and at + 1 < len(pattern):
+                at += 1
+                c = pattern[at]
+            out += "\\" + c if c in "%_\\" else c
+        at += 1
+    return value.like(out)
 
 
 def regexp(value: Column, pattern: str) -> Column:
     """A regular expression over the whole value."""
-    return value.rlike(f"^(?:{pattern})$")
+    return value.rlike(rf"\A(?:{pattern})\z")

@@ -7,6 +7,7 @@ with ``doc_count``; several metrics of one grouping share its shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
@@ -65,8 +66,10 @@ def extended_stats(field, sigma: float = 2.0) -> Metrics:
 
 def percentiles(field, percents: Sequence[float] = PERCENTS, exact: bool = False) -> Metrics:
     c = col(field)
-    one = (lambda p: F.percentile(c, p / 100)) if exact else (lambda p: F.percentile_approx(c, p / 100, 10_000))
-    return {f"p{p:g}".replace(".", "_"): one(p) for p in percents}
+    shares = F.array(*[F.lit(p / 100) for p in percents])
+    # one aggregate gives all of them; the optimiser keeps equal ones once
+    found = F.percentile(c, shares) if exact else F.percentile_approx(c, shares, 10_000)
+    return {f"p{p:g}".replace(".", "_"): found[i] for i, p in enumerate(percents)}
 
 
 def percentile_ranks(field, values: Sequence[float]) -> Metrics:
@@ -137,8 +140,20 @@ def histogram(df: DataFrame, field: str, interval: float, metrics: Metrics | Non
 _CALENDAR = {"minute": "minute", "1m": "minute", "hour": "hour", "1h": "hour", "day": "day", "1d": "day", "week": "week", "1w": "week", "month": "month", "1M": "month", "quarter": "quarter", "1q": "quarter", "year": "year", "1y": "year"}
 
 
+_FIXED = {"ms": "milliseconds", "s": "seconds", "m": "minutes", "h": "hours", "d": "days"}
+
+
+def fixed_interval(interval: str) -> str:
+    """``30m``, ``12h``, ``90s`` or ``7d`` in words; others as they are."""
+    short = re.fullmatch(r"([0-9]+)(ms|s|m|h|d)", interval)
+    return f"{short[1]} {_FIXED[short[2]]}" if short else interval
+
+
 def date_histogram(df: DataFrame, field: str, interval: str, metrics: Metrics | None = None, fill: bool = False) -> DataFrame:
-    """Buckets by calendar unit (``day``, ``1M`` ...) or a fixed ``"15 minutes"``."""
+    """Buckets by calendar unit (``day``, ``1M`` ...) or a fixed interval (``30m``,
+    ``"15 minutes"``), counted from 1970-01-01."""
+    if interval not in _CALENDAR:
+        interval = fixed_interval(interval)
     present = df.filter(F.col(field).isNotNull())
     if interval in _CALENDAR:
         keyed = present.withColumn("key", F.date_trunc(_CALENDAR[interval], field).cast("timestamp_ntz"))

@@ -48,17 +48,31 @@ class Rule:
     severity: dict[str, int] = field(default_factory=lambda: {"confidentiality": 0, "integrity": 0, "availability": 0})
 
 
+def _micros(df: DataFrame, ts: str) -> Column:
+    """A time as microseconds."""
+    if df.schema[ts].dataType.typeName() == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{ts}`)")
+    return F.unix_micros(F.col(ts))
+
+
 def related(triggers: DataFrame, history: DataFrame, look: Lookback, key: str, ts: str) -> DataFrame:
-    """(key, hits): how many history rows each trigger finds; those without are absent."""
+    """(key, hits): how many history rows each trigger finds; those without are absent.
+
+    Triggers and history are put in one table and counted by a window over time,
+    so a source with m rows costs m log m, not a row for each pair of them.
+    """
     conditions = [c for c in (look.where, none_of(*look.must_not) if look.must_not else None) if c is not None]
     past = history.filter(all_of(*conditions)) if conditions else history
-    past = past.select(*[F.col(h).alias(f"__h{i}") for i, h in enumerate(look.on)], F.col(ts).alias("__ts"))
-    own = triggers.select(F.col(key), F.col(ts).alias("__at"), *[F.col(t).alias(f"__t{i}") for i, t in enumerate(look.on.values())])
-    same = all_of(*[F.col(f"__t{i}") == F.col(f"__h{i}") for i in range(len(look.on))], F.col("__ts") <= F.col("__at"))
+    names = [f"__k{i}" for i in range(len(look.on))]
+    none = F.lit(None).cast(triggers.schema[key].dataType)
+    past = past.select(none.alias(key), F.lit(1).alias("__past"), _micros(history, ts).alias("__at"), *[F.col(h).alias(n) for h, n in zip(look.on, names)])
+    own = triggers.select(F.col(key), F.lit(0).alias("__past"), _micros(triggers, ts).alias("__at"), *[F.col(t).alias(n) for t, n in zip(look.on.values(), names)])
+    both = own.union(past).dropna(subset=["__at", *names])
     bound = seconds(look.within)
-    if bound is not None:
-        same = same & (F.col("__ts") >= F.col("__at") - F.expr(f"INTERVAL {bound:.6f} SECONDS"))
-    return own.join(past, same).groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
+    since = Window.unboundedPreceding if bound is None else -round(bound * 1_000_000)
+    w = Window.partitionBy(*names).orderBy("__at").rangeBetween(since, Window.currentRow)
+    hits = both.withColumn("hits", F.sum("__past").over(w)).filter("__past = 0 AND hits > 0")
+    return hits.groupBy(key).agg(F.max("hits").alias("hits"))
 
 
 def satisfied(triggers: DataFrame, history: DataFrame, look: Lookback, key: str, ts: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casts, entities, geo, text
-from ..functions.record import Record
+from ..functions.record import Record, where_record
 from ..operators import aggregations as A
 from ..operators import parsing
 from ..operators import predicates as P
@@ -74,7 +74,9 @@ _predicate("match_phrase_prefix", "documents", "doc_id", lambda: P.match_phrase_
 _predicate("match_bool_prefix", "documents", "doc_id", lambda: P.match_bool_prefix("text", "lichung ein"), f"list_contains({TOKENS}, 'lichung') OR len(list_filter({TOKENS}, lambda t: starts_with(t, 'ein'))) > 0")
 _predicate("fuzzy", "documents", "doc_id", lambda: P.fuzzy("text", "there"), f"len(list_filter({TOKENS}, lambda t: levenshtein(t, 'there') <= 1)) > 0")
 _predicate("multi_match", "documents", "doc_id", lambda: P.multi_match("src3 ist", ["text", "source"]), f"list_has_any({TOKENS}, ['src3', 'ist']) OR list_has_any(list_filter(regexp_split_to_array(lower(source), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''), ['src3', 'ist'])")
-_predicate("match_all", "region", "r_regionkey", P.match_all, "true")
+_predicate("match_all", "orders", "o_orderkey", P.match_all, "true")
+_predicate("wildcard_escaped", "orders", "o_orderkey", lambda: P.wildcard(F.concat(F.lit("a*"), F.col("o_orderstatus"), F.lit("?")), "a\\*?\\?") & P.wildcard("o_orderpriority", "1*"), "o_orderpriority LIKE '1%'")
+_predicate("cidr_mapped", "customer", "c_custkey", lambda: P.cidr(F.concat(F.lit("::ffff:10.0.0."), (F.col("c_custkey") % 200).cast("string")), "10.0.0.0/28"), "c_custkey % 200 < 16")
 _predicate("must_not_null", "events", "event_id", lambda: P.none_of(P.term(F.nullif(F.col("event_type"), F.lit("error")), "click")), "event_type <> 'click'")
 _predicate(
     "bool_query",
@@ -128,14 +130,15 @@ def collapse(spark, d):
     return _orders(spark, d).sort("o_totalprice", "desc").collapse("o_custkey").size(2_000_000_000).include("o_custkey", "o_orderkey").hits()
 
 
-@query("SELECT r_regionkey, r_name, r_regionkey * 2 AS twice FROM regions".replace("regions", "region"))
+@query("SELECT o_orderkey, o_custkey, o_custkey * 2 AS twice FROM orders")
 def script_fields(spark, d):
-    return Search(_t(spark, d, "region"), "r_regionkey").script_field("twice", "r_regionkey * 2").hits()
+    return Search(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").script_field("twice", "o_custkey * 2").size(2_000_000_000).hits()
 
 
-@query("SELECT r_regionkey FROM region ORDER BY 1 LIMIT 10")
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
 def source_exclude(spark, d):
-    return Search(_t(spark, d, "region"), "r_regionkey").exclude("r_name").hits()
+    found = Search(_t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
+    return found.exclude("o_custkey").size(2_000_000_000).hits()
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 1000 AND 2000")
@@ -259,9 +262,9 @@ def histogram(spark, d):
     return A.histogram(_t(spark, d, "lineitem"), "l_quantity", 7.0, {"tax": _r(A.avg("l_tax"), 6)})
 
 
-@query("WITH b AS (SELECT CAST(floor(o_totalprice / 500.0::DOUBLE) AS BIGINT) k, count(*) n FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1) SELECT g * 500.0::DOUBLE AS key, coalesce(n, 0) AS doc_count FROM (SELECT unnest(range((SELECT min(k) FROM b), (SELECT max(k) FROM b) + 1)) g) LEFT JOIN b ON g = k")
+@query("WITH b AS (SELECT CAST(floor(o_totalprice / 10.0::DOUBLE) AS BIGINT) k, count(*) n FROM orders GROUP BY 1) SELECT g * 10.0::DOUBLE AS key, coalesce(n, 0) AS doc_count FROM (SELECT unnest(range((SELECT min(k) FROM b), (SELECT max(k) FROM b) + 1)) g) LEFT JOIN b ON g = k")
 def histogram_filled(spark, d):
-    return _long(A.histogram(_t(spark, d, "orders").filter("o_orderkey % 50 = 0"), "o_totalprice", 500.0, fill=True))
+    return _long(A.histogram(_t(spark, d, "orders"), "o_totalprice", 10.0, fill=True))
 
 
 @query("SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS key, count(*) AS doc_count, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
@@ -274,6 +277,11 @@ def date_histogram_fixed(spark, d):
     return A.date_histogram(_t(spark, d, "events"), "ts", "15 minutes")
 
 
+@query("SELECT time_bucket(INTERVAL '30 minutes', ts) AS key, count(*) AS doc_count FROM events GROUP BY 1")
+def date_histogram_short(spark, d):
+    return A.date_histogram(_t(spark, d, "events"), "ts", "30m")
+
+
 _RANGES = [{"to": 100}, {"from": 50, "to": 200, "key": "mid"}, {"from": 200}]
 
 
@@ -426,8 +434,17 @@ def bucket_sort(spark, d):
 
 @query(f"SELECT round(sum(total), 3) AS s, round(avg(total), 3) AS a FROM {_DAYS}")
 def sum_avg_bucket(spark, d):
-    days = _days(spark, d)
-    return A.bucket_metric(days, "total", "sum").select(_r("value", 3).alias("s")).join(A.bucket_metric(days, "total", "avg").select(_r("value", 3).alias("a")))
+    return A.bucket_metric(_days(spark, d), "total", "stats").select(_r("sum", 3).alias("s"), _r("avg", 3).alias("a"))
+
+
+@query(f"SELECT count(total) AS count, round(min(total), 3) AS min, round(max(total), 3) AS max, round(avg(total), 3) AS avg, round(sum(total), 3) AS sum FROM {_DAYS}")
+def stats_bucket(spark, d):
+    return A.bucket_metric(_days(spark, d), "total", "stats").select("count", *[_r(c, 3).alias(c) for c in ("min", "max", "avg", "sum")])
+
+
+@query(f"SELECT key, round(sum(w * v) / sum(w), 4) AS m FROM (SELECT a.key, b.n - greatest(a.n - 3, 1) + 1 AS w, b.total AS v FROM (SELECT *, row_number() OVER (ORDER BY key) n FROM {_DAYS}) a JOIN (SELECT *, row_number() OVER (ORDER BY key) n FROM {_DAYS}) b ON b.n BETWEEN a.n - 3 AND a.n) GROUP BY key")
+def moving_avg_linear(spark, d):
+    return A.moving_avg(_days(spark, d), "total", 4, "linear").select("key", _r("moving_avg", 4).alias("m"))
 
 
 @query(f"SELECT max(doc_count) AS value, arg_max(key, (doc_count, key)) AS key FROM {_DAYS}")
@@ -450,19 +467,19 @@ def extended_stats_bucket(spark, d):
 
 def _records(spark, d) -> DataFrame:
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+05:00'")
-    made = F.to_json(F.struct("event_type", F.col("user_id").alias("user"), F.col("user_id").cast("string").alias("user_text"), (F.col("event_id") % 2 == 0).alias("even"), stamp.alias("at"), F.concat(F.lit("10.1."), (F.col("user_id") % 9).cast("string"), F.lit(".7")).alias("ip"), F.array(F.struct(F.col("event_type").alias("type"))).alias("list")))
+    made = F.to_json(F.struct("event_type", F.col("user_id").alias("user"), F.col("user_id").cast("string").alias("user_text"), (F.col("event_id") % 2 == 0).alias("even"), stamp.alias("at"), F.concat(F.lit("10.1."), (F.col("user_id") % 9).cast("string"), F.lit(".7")).alias("ip"), F.array(F.struct(F.col("event_type").alias("type"))).alias("list"), F.when(F.col("value") > 50, 1).alias("seen")))
     return _t(spark, d, "events").select("event_id", made.alias("doc"), "props")
 
 
 def _record(name: str, condition: Callable[[Record], Column], sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _records(spark, d).filter(condition(Record("doc"))).select("event_id")
+        return where_record(_records(spark, d), "doc", condition).select("event_id")
 
     run.__name__ = name
     query(f"SELECT event_id FROM events WHERE {sql}")(run)
 
 
-_record("record_exists", lambda r: r.exists("list.0.type") & ~r.exists("nothing"), "true")
+_record("record_exists", lambda r: r.exists("list.0.type") & ~r.exists("nothing") & r.exists("seen"), "value > 50")
 _record("record_equals_number", lambda r: r.equals("user_text", 17) & r.equals("user", "17") & r.equals("user", 17.0), "user_id = 17")
 _record("record_equals_text", lambda r: r.equals("list.0.type", "click") | r.equals("even", "true"), "event_type = 'click' OR event_id % 2 = 0")
 _record("record_equals_ignore_case", lambda r: r.equals_ignore_case("event_type", "ERROR"), "event_type = 'error'")
@@ -542,6 +559,12 @@ def parse_json_where(spark, d):
     return parsing.parse(_t(spark, d, "events"), steps).select("event_id", "k", "t")
 
 
+@query("SELECT event_id, rule, CASE rule WHEN 'large' THEN 4.5::DOUBLE ELSE 2.5::DOUBLE END AS impact_score FROM (SELECT event_id, unnest([CASE WHEN value > 90 THEN 'large' END, CASE WHEN event_type = 'error' THEN 'errors' END]) AS rule FROM events) WHERE rule IS NOT NULL")
+def disabled_rules(spark, d):
+    rules = [R.Rule("large", P.between("value", gt=90), severity={"confidentiality": 4, "integrity": 3, "availability": 5}), R.Rule("errors", P.term("event_type", "error"), severity={"confidentiality": 3, "integrity": 1, "availability": 2}), R.Rule("off", P.match_all())]
+    return R.evaluate_all(rules, _t(spark, d, "events"), disabled=["off"]).select("event_id", "rule", F.round("impact_score", 6).alias("impact_score"))
+
+
 @query("SELECT event_id, event_type AS a, CAST(user_id AS VARCHAR) AS b, strftime(ts, '%d.%m.%Y') AS day, 'v' || CAST(user_id AS VARCHAR) AS y FROM events")
 def parse_csv_kv(spark, d):
     made = _t(spark, d, "events").select("event_id", F.concat_ws(";", "event_type", F.col("user_id").cast("string")).alias("line"), F.concat(F.lit("x=1&y=v"), F.col("user_id").cast("string")).alias("pairs"), F.date_format("ts", "yyyy-MM-dd HH:mm").alias("day"))
@@ -573,6 +596,26 @@ def token_counts(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n"))
 
 
+_PHONES = "concat('+', CAST(c_custkey % 3 AS {s}), '5', CASE WHEN c_custkey % 5 = 0 THEN '.' WHEN c_custkey % 5 = 1 THEN ' (20) ' ELSE ' ' END, CAST(100 + c_custkey % 900 AS {s}), CASE WHEN c_custkey % 2 = 0 THEN '-' ELSE '' END, '45')"
+_MIMES = "concat('Text/', substr('plainxml', 1, CAST(1 + c_custkey % 8 AS INT)), CASE WHEN c_custkey % 11 = 0 THEN '+x' WHEN c_custkey % 11 = 1 THEN '.' ELSE '' END)"
+
+
+# which values are valid is said here by how they are made, not by the patterns
+@query(
+    f"SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 THEN {_PHONES.format(s='VARCHAR')} END AS phone, "
+    f"CASE WHEN c_custkey % 11 = 0 OR (c_custkey % 11 > 1 AND c_custkey % 8 >= 2) THEN lower({_MIMES}) END AS mime, "
+    "substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8) || '-' || substr(md5(CAST(c_custkey AS VARCHAR)), 9, 4) || '-' || substr(md5(CAST(c_custkey AS VARCHAR)), 13, 4) || '-' || substr(md5(CAST(c_custkey AS VARCHAR)), 17, 4) || '-' || substr(md5(CAST(c_custkey AS VARCHAR)), 21, 12) AS uuid, "
+    "CASE WHEN c_custkey % 4 = 0 THEN '/a/' || CAST(c_custkey AS VARCHAR) WHEN c_custkey % 4 = 1 THEN 'http://host/A?b' END AS url FROM customer"
+)
+def validate_forms(spark, d):
+    figures = F.md5(F.col("c_custkey").cast("string").cast("binary"))
+    plain = entities.uuid(figures)
+    forms = F.when(F.col("c_custkey") % 4 == 0, figures).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("URN:uuid:"), plain)).when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("{"), F.upper(plain), F.lit("}"))).otherwise(plain)
+    urls = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("/a/"), F.col("c_custkey").cast("string"))).when(F.col("c_custkey") % 4 == 1, F.lit("HTTP://Host/A?b")).when(F.col("c_custkey") % 4 == 2, F.lit("no scheme")).otherwise(F.lit(""))
+    made = _t(spark, d, "customer").select("c_custkey", F.expr(_PHONES.format(s="STRING")).alias("p"), F.expr(_MIMES).alias("m"), forms.alias("i"), urls.alias("u"))
+    return made.select("c_custkey", entities.phone(F.col("p")).alias("phone"), entities.mime(F.col("m")).alias("mime"), entities.uuid(F.col("i")).alias("uuid"), entities.url(F.col("u")).alias("url"))
+
+
 # ---- writes and tables ---------------------------------------------------------------
 
 
@@ -585,6 +628,22 @@ def keyed_writes(spark, d):
     return tables.create(kept, added, "c_custkey")[0]
 
 
+_BATCH = "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'ONCE' WHEN c_custkey % 5 = 1 THEN 'LAST' ELSE c_mktsegment END AS c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 5 <> 2"
+
+
+@query(_BATCH)
+def mixed_batch(spark, d):
+    """Updates, refused creates, an index after a delete, and deletes."""
+    current = _t(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    item = lambda rest, action, seq, segment, nation: current.filter(f"c_custkey % 5 = {rest}").select("c_custkey", F.lit(segment).cast("string").alias("c_mktsegment"), nation.alias("c_nationkey"), F.lit(action).alias("action"), F.lit(seq).alias("seq"))
+    own, null = F.col("c_nationkey"), F.lit(None).cast("long")
+    parts = [item(0, "update", 1, "ONCE", null), item(1, "delete", 1, None, null), item(1, "index", 2, "FIRST", own), item(1, "update", 3, "LAST", null), item(2, "delete", 4, None, null), item(3, "create", 5, "NO", own)]
+    items = parts[0]
+    for part in parts[1:]:
+        items = items.unionByName(part)
+    return tables.bulk(current, items, "c_custkey")[0]
+
+
 @query("SELECT r_name AS name, 'region' AS _index FROM region UNION ALL SELECT n_name, 'nation' FROM nation")
 def multi_table(spark, d):
     found = {"region": _t(spark, d, "region").select(F.col("r_name").alias("name")), "nation": _t(spark, d, "nation").select(F.col("n_name").alias("name"))}

@@ -42,26 +42,35 @@ def exists(df: DataFrame, key: str, value) -> bool:
     return not get(df, key, value).isEmpty()
 
 
+def _numbered(rows: DataFrame, key: str, order: str | None) -> DataFrame:
+    """``__n``: 1 for the last row of each key by ``order``; ties, and rows without
+    an order, by a digest of their values, so that reruns agree."""
+    digest = F.xxhash64(F.to_json(F.struct("*")))
+    w = Window.partitionBy(key).orderBy(*([F.desc(order)] if order else []), digest)
+    return rows.withColumn("__n", F.row_number().over(w))
+
+
 def upsert(current: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """``changes`` win over current rows of their key; the last by ``order`` wins."""
-    if order:
-        w = Window.partitionBy(key).orderBy(F.desc(order))
-        changes = changes.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """``changes`` win over current rows of their key, one row a key: the last by
+    ``order``."""
+    changes = _numbered(changes, key, order).filter("__n = 1").drop("__n")
     return current.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
-def create(current: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with the new ones, dead letters): keys that exist are refused."""
-    w = Window.partitionBy(key).orderBy(key)
-    first = new.withColumn("__n", F.row_number().over(w))
+def create(current: DataFrame, new: DataFrame, key: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with the new ones, dead letters): keys that exist are refused; of
+    several new rows of a key the last by ``order`` is taken."""
+    first = _numbered(new, key, order)
     known = current.select(key).distinct()
     fresh = first.filter("__n = 1").drop("__n").join(known, key, "left_anti")
     refused = first.filter("__n > 1").drop("__n").unionByName(first.filter("__n = 1").drop("__n").join(known, key, "left_semi"))
     return current.unionByName(fresh, allowMissingColumns=True), refused.withColumn("error", F.lit("document already exists"))
 
 
-def update(current: DataFrame, partial: DataFrame, key: str) -> DataFrame:
-    """Values given in ``partial`` replace those of the row; nulls leave them."""
+def update(current: DataFrame, partial: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Values given in ``partial`` replace those of the row, of one row a key: the
+    last by ``order``; nulls leave them."""
+    partial = _numbered(partial, key, order).filter("__n = 1").drop("__n")
     changed = [c for c in partial.columns if c != key]
     new = partial.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in changed])
     joined = current.join(new, key, "left")
@@ -77,12 +86,41 @@ def delete(current: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return current.join(keys.select(key), key, "left_anti")
 
 
-def bulk(current: DataFrame, items: DataFrame, key: str, action: str = "action", seq: str = "seq") -> DataFrame:
-    """A batch of ``index`` and ``delete`` items: the last item of a key counts."""
-    w = Window.partitionBy(key).orderBy(F.desc(seq))
-    last = items.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", seq)
-    kept = current.join(last.select(key), key, "left_anti")
-    return kept.unionByName(last.filter(F.col(action) == "index").drop(action), allowMissingColumns=True)
+ACTIONS = ("index", "create", "update", "delete")
+
+
+def bulk(current: DataFrame, items: DataFrame, key: str, action: str = "action", seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) after a mixed batch: items (key, action, seq and values) take
+    effect one after the other by ``seq``, each key for itself.
+
+    ``index`` puts a row, ``create`` puts one where there is none, ``update``
+    replaces the values it gives (nulls leave them), ``delete`` takes a row away.
+    ``errors`` (key, action, seq, error) holds a create of what is there, an
+    update or delete of what is not, and unknown actions; they change nothing.
+    A key's items are folded in one row, so a batch should not name one key
+    millions of times.
+    """
+    values = [c for c in current.columns if c != key]
+    given = items.select(F.col(key), F.struct(F.col(seq).alias("seq"), F.col(action).alias("action"), F.struct(*[(F.col(c) if c in items.columns else F.lit(None)).cast(current.schema[c].dataType).alias(c) for c in values]).alias("row")).alias("item"))
+    steps = given.groupBy(key).agg(F.array_sort(F.collect_list("item"), lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)).alias("__steps"))
+    own = current.select(F.col(key), F.struct(*values).alias("__row"))
+    both = own.join(steps, key, "full")
+    kind = current.select(F.struct(*values).alias("r")).schema["r"].dataType.simpleString()
+    seq_kind = items.schema[seq].dataType.simpleString()
+    start = F.struct(F.col("__row").alias("row"), F.array().cast(f"array<struct<seq:{seq_kind},action:string,error:string>>").alias("errors"))
+
+    def step(state, item):
+        there, what, new = state["row"].isNotNull(), item["action"], item["row"]
+        error = F.when(~what.isin(*ACTIONS), F.lit("unknown action")).when((what == "create") & there, F.lit("document already exists")).when(what.isin("update", "delete") & ~there, F.lit("document missing"))
+        merged = F.struct(*[F.coalesce(new[c], state["row"][c]).alias(c) for c in values])
+        after = F.when(error.isNotNull(), state["row"]).when(what == "delete", F.lit(None).cast(kind)).when(what == "update", merged).otherwise(new)
+        noted = F.struct(item["seq"].alias("seq"), what.alias("action"), error.alias("error"))
+        return F.struct(after.cast(kind).alias("row"), F.when(error.isNotNull(), F.concat(state["errors"], F.array(noted))).otherwise(state["errors"]).alias("errors"))
+
+    done = both.select(key, F.aggregate(F.coalesce("__steps", F.array().cast(steps.schema["__steps"].dataType)), start, step).alias("s"))
+    rows = done.filter("s.row IS NOT NULL").select(key, "s.row.*").select(*current.columns)
+    errors = done.select(key, F.explode("s.errors").alias("e")).select(key, F.col("e.action").alias(action), F.col("e.seq").alias(seq), "e.error")
+    return rows, errors
 
 
 def checked(df: DataFrame, casts: dict[str, str]) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelake.functions import casts, entities, net, semantics
-from sievelake.functions.record import Record, to_json
+from sievelake.functions.record import Record, to_json, where_record
 from sievelake.operators import parsing, rules
 from sievelake.sources import mapping, names, tables
 
@@ -159,7 +159,15 @@ def test_writes(spark):
     good, dead = tables.create(now, new, "_id")
     assert rows(good) == [("1", 1, "a"), ("2", 2, "b"), ("3", 3, "c")] and [r["_id"] for r in dead.collect()] == ["2"]
     items = spark.createDataFrame([("1", 9, "z", "index", 1), ("1", 0, "", "delete", 2), ("4", 4, "d", "index", 3)], "_id string, n int, t string, action string, seq int")
-    assert rows(tables.bulk(now, items, "_id")) == [("2", 2, "b"), ("4", 4, "d")]
+    done, errors = tables.bulk(now, items, "_id")
+    assert rows(done) == [("2", 2, "b"), ("4", 4, "d")] and errors.isEmpty()
+    mixed = [("1", None, "u", "update", 1), ("1", 8, None, "update", 2), ("9", 1, "x", "update", 3), ("2", 0, "", "create", 4), ("5", 5, "e", "create", 5), ("5", 6, "f", "create", 6), ("7", 0, "", "delete", 7), ("2", 0, "", "what", 8), ("5", 7, None, "index", 9)]
+    done, errors = tables.bulk(now, spark.createDataFrame(mixed, "_id string, n int, t string, action string, seq int"), "_id")
+    assert rows(done) == [("1", 8, "u"), ("2", 2, "b"), ("5", 7, None)]
+    assert sorted((r["seq"], r["error"]) for r in errors.collect()) == [(3, "document missing"), (4, "document already exists"), (6, "document already exists"), (7, "document missing"), (8, "unknown action")]
+    twice = spark.createDataFrame([("2", 5, None, 1), ("2", 6, None, 2)], "_id string, n int, t string, o int")
+    assert rows(tables.update(now, twice, "_id", "o")) == [("1", 1, "a"), ("2", 6, "b")]
+    assert len(rows(tables.upsert(now, twice.drop("o"), "_id"))) == 2
     raw = spark.createDataFrame([("1", "7"), ("2", "x")], "_id string, n string")
     ok, bad = tables.checked(raw, {"n": "int"})
     assert [r["n"] for r in ok.collect()] == [7] and bad.first()["error"] == "failed to parse field n"
@@ -191,3 +199,39 @@ def test_semantic_types(spark):
     assert r["v"]["value"] == "www.example.com" and r["m"] == {"hostname": "WWW.Example.com"}
     with pytest.raises(ValueError):
         semantics.validate_semantic(F.col("a"), "nothing")
+
+
+def test_engine_patterns(spark):
+    df = spark.createDataFrame([('{"a": "xyz"}',)], "doc string")
+    for pattern, want in (("(?P<q_1>x)", True), ("x{,2}y|x", False), ("(", False), ("^x.z$", True), (r"\\(?P<", False)):
+        assert df.filter(Record("doc").regex_match("a", pattern)).count() == want, pattern
+
+
+def test_records_are_parsed_once(spark):
+    df = spark.createDataFrame([('{"a": "17", "b": {"c": 2}}',), ("no json",), (None,)], "doc string")
+    found = where_record(df, "doc", lambda r: r.equals("a", 17) & r.equals("b.c", "2") & ~r.exists("d"))
+    assert found.count() == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 2
+
+
+def test_accept_sets(spark):
+    """Forms that the rules accept and refuse."""
+    cases = {
+        "phone": (["+1 (555) 123-4567", "+15551234567", "+44 20 7946"], ["+1.555.123.4567", "555-1234", "+0 12", "+1 (555) 123-4567\n"]),
+        "mime": (["text/csv", "application/vnd.api+json"], ["text/c", "text", "text/cs.v.", "1/abc"]),
+        "uuid": (["urn:uuid:f47ac10b-58cc-4372-a567-0e02b2c3d479", "F47AC10B58CC4372A5670E02B2C3D479", "{f47ac10b-58cc-4372-a567-0e02b2c3d479}"], ["f47ac10b", "f47ac10b-58cc-4372-a567-0e02b2c3d47"]),
+        "url": (["/path/only", "http://a.b/c?d#e", "mailto:x"], ["no/slash", "", "http://a b"]),
+        "fqdn": (["Example.com", "a--b.example.co"], ["a.b1", "-a.com", "a.c", "com", "a.abcdefghijklmnopqrstu"]),
+    }
+    for kind, (good, bad) in cases.items():
+        df = spark.createDataFrame([(v,) for v in good + bad], "v string").select("v", entities.VALIDATORS[kind](F.col("v")).alias("x"))
+        got = {r["v"]: r["x"] for r in df.collect()}
+        assert all(got[v] is not None for v in good) and all(got[v] is None for v in bad), (kind, got)
+    df = spark.createDataFrame([("abc",), ("abcd",), ("xabc",)], "v string")
+    assert [r[0] for r in df.filter(entities.matches_whole(F.col("v"), "[a-c]+").isNotNull()).collect()] == ["abc"]
+
+
+def test_mapped_addresses(spark):
+    df = spark.createDataFrame([("::ffff:1.2.3.4",), ("64:ff9b::1.2.3.4",), ("::ffff:1.2.3.400",), ("1.2.3.4",)], "a string").select(net.ip_key(F.col("a")))
+    keys = [r[0] for r in df.collect()]
+    assert keys[0] == keys[3] == net.key_of("1.2.3.4") and keys[1] == net.key_of("64:ff9b::102:304") and keys[2] is None
