@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from .predicates import all_of, none_of
 
 _UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
@@ -30,7 +31,11 @@ def seconds(duration: str) -> float | None:
 
 @dataclass(frozen=True)
 class Lookback:
-    """One search: ``on`` maps history columns to trigger columns."""
+    """One search: ``on`` maps history columns to trigger columns.
+
+    ``unlike``, ``matching`` and ``unmatching`` do so too, for columns that must
+    not be equal, must share a word, or must share none.
+    """
 
     on: dict[str, str]
     within: str = ""
@@ -38,6 +43,9 @@ class Lookback:
     where: Column | None = None
     must_not: tuple[Column, ...] = ()
     either: tuple[Lookback, ...] = ()
+    unlike: dict[str, str] = field(default_factory=dict)
+    matching: dict[str, str] = field(default_factory=dict)
+    unmatching: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -59,10 +67,13 @@ def related(triggers: DataFrame, history: DataFrame, look: Lookback, key: str, t
     """(key, hits): how many history rows each trigger finds; those without are absent.
 
     Triggers and history are put in one table and counted by a window over time,
-    so a source with m rows costs m log m, not a row for each pair of them.
+    so a source with m rows costs m log m, not a row for each pair of them.  Only
+    a search that compares columns otherwise than by equality looks at pairs.
     """
     conditions = [c for c in (look.where, none_of(*look.must_not) if look.must_not else None) if c is not None]
     past = history.filter(all_of(*conditions)) if conditions else history
+    if look.unlike or look.matching or look.unmatching:
+        return _related_pairs(triggers, past, look, key, ts)
     names = [f"__k{i}" for i in range(len(look.on))]
     none = F.lit(None).cast(triggers.schema[key].dataType)
     past = past.select(none.alias(key), F.lit(1).alias("__past"), _micros(history, ts).alias("__at"), *[F.col(h).alias(n) for h, n in zip(look.on, names)])
@@ -75,6 +86,23 @@ def related(triggers: DataFrame, history: DataFrame, look: Lookback, key: str, t
     return hits.groupBy(key).agg(F.max("hits").alias("hits"))
 
 
+def _related_pairs(triggers: DataFrame, past: DataFrame, look: Lookback, key: str, ts: str) -> DataFrame:
+    """The same by an interval join on the agreeing columns."""
+    kinds = (look.on, look.unlike, look.matching, look.unmatching)
+    pairs = [(kind, h, t) for kind, named in enumerate(kinds) for h, t in named.items()]
+    past = past.select(_micros(past, ts).alias("__ts"), *[F.col(h).alias(f"__h{i}") for i, (_, h, _) in enumerate(pairs)])
+    own = triggers.select(F.col(key), _micros(triggers, ts).alias("__at"), *[F.col(t).alias(f"__t{i}") for i, (_, _, t) in enumerate(pairs)])
+    same = F.col("__ts") <= F.col("__at")
+    bound = seconds(look.within)
+    if bound is not None:
+        same = same & (F.col("__ts") >= F.col("__at") - round(bound * 1_000_000))
+    for i, (kind, _, _) in enumerate(pairs):
+        h, t = F.col(f"__h{i}"), F.col(f"__t{i}")
+        equal = (h == t) if kind < 2 else F.arrays_overlap(tokens(h), tokens(t))
+        same = same & (equal if kind in (0, 2) else ~F.coalesce(equal, F.lit(False)))
+    return own.join(past, same).groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
+
+
 def satisfied(triggers: DataFrame, history: DataFrame, look: Lookback, key: str, ts: str) -> DataFrame:
     """Keys of triggers for which the search, or one of its alternatives, succeeds."""
     if look.count <= 0:

@@ -19,29 +19,27 @@ from ..operators import predicates as P
 from ..operators.rules import Lookback, Rule
 
 _PLACEHOLDER = re.compile(r"^\{\{\s*\.?([\w.]+)\s*\}\}$")
+#: Which comparison of history and trigger a condition with a placeholder is.
+_JOINED = {"filter_term": "on", "must_not_term": "unlike", "filter_match": "matching", "must_not_match": "unmatching"}
 _NEUTRAL = {"confidentiality": 0, "integrity": 0, "availability": 0}
 
 
 def lookback(search: dict[str, Any]) -> Lookback:
-    on, wanted, unwanted = {}, [], []
+    joined: dict[str, dict[str, str]] = {name: {} for name in _JOINED.values()}
+    wanted, unwanted = [], []
     for condition in search.get("with", []):
         field, operator, value = condition["field"], condition["operator"], condition["value"]
         trigger = _PLACEHOLDER.match(value) if isinstance(value, str) else None
-        if operator == "filter_term" and trigger:
-            on[field] = trigger[1]
-        elif operator == "filter_term":
-            wanted.append(P.term(field, value))
-        elif operator == "must_not_term" and not trigger:
-            unwanted.append(P.term(field, value))
-        elif operator == "filter_match" and not trigger:
-            wanted.append(P.match(field, str(value)))
-        elif operator == "must_not_match" and not trigger:
-            unwanted.append(P.match(field, str(value)))
-        else:
+        if operator not in _JOINED:
             raise ValueError(f"unsupported condition: {condition}")
+        if trigger:
+            joined[_JOINED[operator]][field] = trigger[1]
+        else:
+            test = P.term(field, value) if operator.endswith("term") else P.match(field, str(value))
+            (wanted if operator.startswith("filter") else unwanted).append(test)
     where = P.all_of(*wanted) if wanted else None
     either = tuple(lookback(s) for s in search.get("or", []))
-    return Lookback(on, search.get("within", ""), int(search.get("count", 1)), where, tuple(unwanted), either)
+    return Lookback(within=search.get("within", ""), count=int(search.get("count", 1)), where=where, must_not=tuple(unwanted), either=either, **joined)
 
 
 def rule(config: dict[str, Any]) -> Rule:

@@ -30,8 +30,12 @@ def analyse(events: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 def correlate_streams(triggers: DataFrame, history: DataFrame, on: dict[str, str], within: str, ts: str = "ts", key: str = "event_id") -> DataFrame:
     """Pairs of a trigger and an earlier row that agree, as an interval join; both
-    sides have the watermark ``within``, so state is bounded."""
-    bound = f"{int(seconds(within) or 0)} seconds"
+    sides have the watermark ``within``, so state is bounded.  A time that cannot
+    be read means no bound in a batch; a stream needs one, so it is an error."""
+    span = seconds(within)
+    if span is None:
+        raise ValueError(f"no time to look back: {within!r}")
+    bound = f"{span:.6f} seconds"
     t = triggers.withWatermark(ts, bound).select(F.col(key).alias("trigger_id"), F.col(ts).alias("trigger_ts"), *[F.col(c).alias(f"t_{c}") for c in on.values()])
     h = history.withWatermark(ts, bound).select(F.col(key).alias("history_id"), F.col(ts).alias("history_ts"), *[F.col(c).alias(f"h_{c}") for c in on])
     same = F.expr(f"history_ts <= trigger_ts AND history_ts >= trigger_ts - INTERVAL {bound}")

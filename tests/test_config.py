@@ -65,3 +65,36 @@ def test_embedding_batches(spark):
 
     df = spark.createDataFrame([("a",), ("bb",), (None,), ("dddd",)], "x string").coalesce(1)
     assert [r[0] for r in df.select(embedder(load, 3)("x")).collect()] == [[1.0, 1.0], [2.0, 1.0], [0.0, 1.0], [4.0, 1.0]]
+
+
+def test_placeholders_in_all_conditions(spark):
+    """Each condition may compare with the trigger's column."""
+    rows = [(1, "a", "red fox", 0), (2, "a", "red hen", 10), (3, "b", "blue hen", 20), (4, "a", "fox", 30), (5, "b", "red", 40)]
+    events = spark.createDataFrame(rows, "event_id int, user string, words string, s int").selectExpr("event_id", "user", "words", "timestamp_seconds(s) as ts")
+    found = {}
+    for operator in ("filter_term", "must_not_term", "filter_match", "must_not_match"):
+        field = "user" if operator.endswith("term") else "words"
+        text = f"- name: r\n  where: event_id > 1\n  correlation:\n    - with: [{{field: {field}, operator: {operator}, value: '{{{{.{field}}}}}'}}, {{field: event_id, operator: must_not_term, value: 99}}]\n      within: 25s\n      count: 1\n"
+        rule = config.load_rules(text)[0]
+        # a row is in its own past: leave it out by asking for earlier ones
+        history = events.selectExpr("event_id", "user", "words", "ts + interval 1 second as ts")
+        found[operator] = sorted(r["event_id"] for r in R.evaluate(rule, events, history=history).collect())
+    earlier = lambda i: [r for r in rows if r[3] + 1 <= rows[i - 1][3] and r[3] + 1 >= rows[i - 1][3] - 25]
+    words = lambda t: set(t.split())
+    want = {
+        "filter_term": lambda e, h: h[1] == e[1],
+        "must_not_term": lambda e, h: h[1] != e[1],
+        "filter_match": lambda e, h: bool(words(h[2]) & words(e[2])),
+        "must_not_match": lambda e, h: not words(h[2]) & words(e[2]),
+    }
+    for operator, test in want.items():
+        assert found[operator] == [i for i in range(2, 6) if any(test(rows[i - 1], h) for h in earlier(i))], operator
+
+
+def test_a_busy_source_is_counted_by_a_window(spark):
+    """One source with half the rows gives no row for each pair of them."""
+    events = spark.range(4000).selectExpr("id as event_id", "if(id % 2 = 0, 0, id) as user_id", "timestamp_seconds(id) as ts")
+    rule = R.Rule("r", F.expr("event_id % 4 = 0"), (R.Lookback({"user_id": "user_id"}, within="10s", count=6),))
+    out = R.evaluate(rule, events)
+    assert out.count() == len([i for i in range(0, 4000, 4) if i >= 10])
+    assert "Window" in out._jdf.queryExecution().toString()
