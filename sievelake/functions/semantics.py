@@ -7,47 +7,138 @@ from pyspark.sql import functions as F
 
 from .entities import validate
 
-# The kind of validator, then the semantic types it checks.
-_TABLE = """
-istr: airport-name aso bic category cpe cve email-body email-display-name email-subject email-x-mailer filename iban issuer malware malware-family malware-type os postal-address process process-state prtn regkey text threat username whois-registrant whois-registrar windows-scheduled-task windows-service-displayname windows-service-name
-str: breach-description btc chrome-extension-id command cookie dash dkim dkim-signature email email-header email-mime-boundary ffn flight id-number mobile-app-id passport password pgp-private-key pgp-public-key pnr redress-number ssh-banner ssh-fingerprint ssr value visa xmr zip-code
-url: facebook-profile file-data github-organization github-repository github-user link malware-sample profile-photo tiktok-profile twitter-profile url
-integer: aba-rtn asn bank-account-nr bin breach-count cc-number
-hexadecimal: authentihash cdhash certificate-fingerprint hex jarm-fingerprint
-float: accuracy-radius latitude longitude size-in-bytes
-regex: filename-pattern pattern-in-file pattern-in-memory pattern-in-traffic
-date: breach-date date date-of-issue expiration-date
-email: email-address eppn jabber-id
-sha3_256: payload sha3-256
-adversary: adversary group
-country: country issuing-country
-fqdn: domain hostname
-base64: base64 email-thread-index
-datetime: datetime last-analysis
-md5: ja3-fingerprint md5
-identifier: file
-city: city
-cidr: cidr
-ip: ip
-mac: mac-address
-mime: mime-type
-path: path
-phone: phone
-sha1: sha1
-sha224: sha224
-sha256: sha256
-sha384: sha384
-sha512: sha512
-sha3_224: sha3-224
-sha3_384: sha3-384
-sha3_512: sha3-512
-sha512_224: sha512-224
-sha512_256: sha512-256
-uuid: breach
-port: port
-"""
-
-KINDS: dict[str, str] = {name: kind for kind, names in (line.split(": ", 1) for line in _TABLE.strip().splitlines()) for name in names.split()}
+#: Each semantic type and the kind of validator that checks it.
+KINDS: dict[str, str] = {
+    "aba-rtn": "integer",
+    "accuracy-radius": "float",
+    "adversary": "adversary",
+    "airport-name": "istr",
+    "asn": "integer",
+    "aso": "istr",
+    "authentihash": "hexadecimal",
+    "bank-account-nr": "integer",
+    "base64": "base64",
+    "bic": "istr",
+    "bin": "integer",
+    "breach": "uuid",
+    "breach-count": "integer",
+    "breach-date": "date",
+    "breach-description": "str",
+    "btc": "str",
+    "category": "istr",
+    "cc-number": "integer",
+    "cdhash": "hexadecimal",
+    "certificate-fingerprint": "hexadecimal",
+    "chrome-extension-id": "str",
+    "cidr": "cidr",
+    "city": "city",
+    "command": "str",
+    "cookie": "str",
+    "country": "country",
+    "cpe": "istr",
+    "cve": "istr",
+    "dash": "str",
+    "date": "date",
+    "date-of-issue": "date",
+    "datetime": "datetime",
+    "dkim": "str",
+    "dkim-signature": "str",
+    "domain": "fqdn",
+    "email": "str",
+    "email-address": "email",
+    "email-body": "istr",
+    "email-display-name": "istr",
+    "email-header": "str",
+    "email-mime-boundary": "str",
+    "email-subject": "istr",
+    "email-thread-index": "base64",
+    "email-x-mailer": "istr",
+    "eppn": "email",
+    "expiration-date": "date",
+    "facebook-profile": "url",
+    "ffn": "str",
+    "file": "identifier",
+    "file-data": "url",
+    "filename": "istr",
+    "filename-pattern": "regex",
+    "flight": "str",
+    "github-organization": "url",
+    "github-repository": "url",
+    "github-user": "url",
+    "group": "adversary",
+    "hex": "hexadecimal",
+    "hostname": "fqdn",
+    "iban": "istr",
+    "id-number": "str",
+    "ip": "ip",
+    "issuer": "istr",
+    "issuing-country": "country",
+    "ja3-fingerprint": "md5",
+    "jabber-id": "email",
+    "jarm-fingerprint": "hexadecimal",
+    "last-analysis": "datetime",
+    "latitude": "float",
+    "link": "url",
+    "longitude": "float",
+    "mac-address": "mac",
+    "malware": "istr",
+    "malware-family": "istr",
+    "malware-sample": "url",
+    "malware-type": "istr",
+    "md5": "md5",
+    "mime-type": "mime",
+    "mobile-app-id": "str",
+    "os": "istr",
+    "passport": "str",
+    "password": "str",
+    "path": "path",
+    "pattern-in-file": "regex",
+    "pattern-in-memory": "regex",
+    "pattern-in-traffic": "regex",
+    "payload": "sha3_256",
+    "pgp-private-key": "str",
+    "pgp-public-key": "str",
+    "phone": "phone",
+    "pnr": "str",
+    "port": "port",
+    "postal-address": "istr",
+    "process": "istr",
+    "process-state": "istr",
+    "profile-photo": "url",
+    "prtn": "istr",
+    "redress-number": "str",
+    "regkey": "istr",
+    "sha1": "sha1",
+    "sha224": "sha224",
+    "sha256": "sha256",
+    "sha3-224": "sha3_224",
+    "sha3-256": "sha3_256",
+    "sha3-384": "sha3_384",
+    "sha3-512": "sha3_512",
+    "sha384": "sha384",
+    "sha512": "sha512",
+    "sha512-224": "sha512_224",
+    "sha512-256": "sha512_256",
+    "size-in-bytes": "float",
+    "ssh-banner": "str",
+    "ssh-fingerprint": "str",
+    "ssr": "str",
+    "text": "istr",
+    "threat": "istr",
+    "tiktok-profile": "url",
+    "twitter-profile": "url",
+    "url": "url",
+    "username": "istr",
+    "value": "str",
+    "visa": "str",
+    "whois-registrant": "istr",
+    "whois-registrar": "istr",
+    "windows-scheduled-task": "istr",
+    "windows-service-displayname": "istr",
+    "windows-service-name": "istr",
+    "xmr": "str",
+    "zip-code": "str",
+}
 
 
 def validate_semantic(x: Column, name: str) -> Column:

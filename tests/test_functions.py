@@ -235,3 +235,15 @@ def test_mapped_addresses(spark):
     df = spark.createDataFrame([("::ffff:1.2.3.4",), ("64:ff9b::1.2.3.4",), ("::ffff:1.2.3.400",), ("1.2.3.4",)], "a string").select(net.ip_key(F.col("a")))
     keys = [r[0] for r in df.collect()]
     assert keys[0] == keys[3] == net.key_of("1.2.3.4") and keys[1] == net.key_of("64:ff9b::102:304") and keys[2] is None
+
+
+def test_resolve_and_declared():
+    schema = mapping.declared({"msg": "text", "msg.keyword": "keyword", "body": "text", "n": "long", "host.ip": "ip", "host.name": "keyword", "any": "object"})
+    assert schema["n"].dataType.typeName() == "long" and schema["host"].dataType["ip"].metadata == {"type": "ip"}
+    merged = mapping.merge({"t": schema})
+    assert mapping.resolve(merged, "msg", "match") == "msg" and mapping.resolve(merged, "msg", "term") == "msg.keyword"
+    assert mapping.resolve(merged, "n", "range") == "n" and mapping.resolve(merged, "unknown", "sort") == "unknown"
+    with pytest.raises(ValueError):
+        mapping.resolve(merged, "body", "sort")
+    with pytest.raises(ValueError):
+        mapping.declared({"a": "no such type"})
