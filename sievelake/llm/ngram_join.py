@@ -70,15 +70,15 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 7 * common_count(a, b) >= 3 * (len(a) + len(b))
 
 
-def groups_for(n: int) -> int:
-    """A power of two of groups for sets of about ``n``: two to four shingles
-    each, which still tells unlike sets apart, but 64 at least."""
-    return max(64, 1 << max(0, n.bit_length() - 2))
+def groups_for(n: int, per: int) -> int:
+    """A power of two of groups for sets of about ``n``: ``per`` to 2 * ``per`` for
+    each shingle."""
+    return max(64, 1 << max(0, n * per - 1).bit_length())
 
 
 def point(tokens: np.ndarray) -> np.ndarray:
-    """Counts of the tokens in each group."""
-    groups = groups_for(len(tokens))
+    """Counts of the tokens in each of 4 to 8 groups a shingle."""
+    groups = groups_for(len(tokens), 4)
     return np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
@@ -160,8 +160,9 @@ def surviving_pairs(points: list[np.ndarray], sizes: np.ndarray, together) -> It
         some = np.flatnonzero((sizes >= low) & (3 * sizes < 8 * low + 3))
         if len(some) < 2:
             continue
-        groups = groups_for(low)
-        table = np.stack([fold(points[i], groups) for i in some.tolist()]).astype(np.int32)
+        groups = groups_for(low, 2)
+        table = np.stack([fold(points[i], groups) for i in some.tolist()])
+        table = table.astype(np.int16 if table.max() < 1 << 15 else np.int32)
         for i, j in tree_pairs(table, sizes[some], lambda p, some=some: together(some[p])):
             if octave[some[i]] == k or octave[some[j]] == k:
                 yield int(some[i]), int(some[j])
@@ -239,9 +240,10 @@ def describe(docs: DataFrame, block_bytes: int, count_tokens: int) -> DataFrame:
 
 
 def prefix_lists(docs: DataFrame, frequent: np.ndarray, buckets: int, block_bytes: int, most_members: int) -> DataFrame:
-    """(piece, key, long, fps): lists of two or more classes that share a prefix
+    """(piece, key, long, fps, bundle): lists of two or more classes that share a prefix
     shingle and may have near sizes; equal lists come once.  A list of over
-    ``most_members`` is ``long`` and comes in pieces of near sizes.
+    ``most_members`` is ``long`` and comes in pieces of near sizes.  Lists with
+    the same smallest class, as those of one family have, are a bundle.
 
     ``frequent`` holds frequent shingles, the most frequent last.
     """
@@ -333,7 +335,8 @@ def prefix_lists(docs: DataFrame, frequent: np.ndarray, buckets: int, block_byte
     posted = docs.select("text").mapInArrow(post, "bucket int, tokens binary, fps binary, ns binary")
     dealt = posted.repartition("bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(gather, "piece long, key long, long boolean, fps array<long>")
-    return found.groupBy("piece").agg(F.first("key").alias("key"), F.first("long").alias("long"), F.first("fps").alias("fps"))
+    found = found.groupBy("piece").agg(F.first("key").alias("key"), F.first("long").alias("long"), F.first("fps").alias("fps"))
+    return found.withColumn("bundle", F.array_min("fps"))
 
 
 def id_filter(ids: DataFrame, words: int) -> np.ndarray:
@@ -402,46 +405,80 @@ def grouped(rows: DataFrame, key: str, columns: list[str], work, schema: str) ->
     return rows.select(key, *columns).repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
-def open_pairs(columns: list[list], joined: bool) -> Iterator[tuple[int, int, int, list[int]]]:
-    """(i, j, bound per mille of the sizes, components) of the members of one list:
-    pairs of different components that the bound lets through.  If ``joined``, a
-    pair counts as linked once it is given."""
-    _, labels, blobs = columns
-    points = [unpacked_point(b) for b in blobs]
-    sizes = np.array([int(p.sum()) for p in points], np.int64)
-    label = np.unique(np.array(labels, np.int64), return_inverse=True)[1].tolist()
-    forest = Forest(max(label) + 1)
-
-    def together(places: np.ndarray) -> bool:
-        root = forest.root(label[places[0]])
-        return all(forest.root(label[p]) == root for p in places[1:].tolist())
-
-    for i, j in surviving_pairs(points, sizes, together):
-        if forest.root(label[i]) == forest.root(label[j]):
-            continue
-        groups = min(len(points[i]), len(points[j]))
-        bound = int(np.minimum(fold(points[i], groups), fold(points[j], groups)).sum())
-        if 7 * bound >= 3 * (sizes[i] + sizes[j]):
-            if joined:
-                forest.join(label[i], label[j])
-            yield i, j, int(2000 * bound // (sizes[i] + sizes[j])), label
-
-
-def list_forest(columns: list[list]) -> list[tuple[int, int]]:
-    """(class, class): at most one pair less than the list has components."""
-    fps = columns[0]
-    return [(min(fps[i], fps[j]), max(fps[i], fps[j])) for i, j, _, _ in open_pairs(columns, joined=True)]
-
-
-def list_crossings(columns: list[list]) -> list[tuple[int, list[int], list[int]]]:
-    """(class, partners, bounds): all surviving pairs between components, one row
-    for each class of the component with fewer members in the list."""
-    fps, members, met = columns[0], None, {}
-    for i, j, bound, label in open_pairs(columns, joined=False):
-        members = members if members is not None else np.bincount(label)
-        few, many = (i, j) if (members[label[i]], label[i]) <= (members[label[j]], label[j]) else (j, i)
-        met.setdefault(fps[few], {})[fps[many]] = bound
-    return [(fp, list(p), list(p.values())) for fp, p in met.items()]
+class Bundle:
+    """Lists of classes whose points are at hand: rows (piece, fp, label, None) of
+    members and (None, fp, None, point) of points."""
+
+    def __init__(self, columns: list[list]):
+        self.points: dict[int, bytes | np.ndarray] = {}
+        self.sizes: dict[int, int] = {}
+        self.lists: dict[int, list[int]] = {}
+        self.label: dict[int, int] = {}
+        for piece, fp, label, blob in zip(*columns):
+            if blob is not None:
+                self.points[fp] = blob
+            else:
+                self.lists.setdefault(piece, []).append(fp)
+                self.label[fp] = label
+        place = {x: i for i, x in enumerate(sorted(set(self.label.values())))}
+        self.label = {fp: place[x] for fp, x in self.label.items()}
+        self.forest = Forest(len(place))
+
+    def point(self, fp: int) -> np.ndarray:
+        if isinstance(self.points[fp], bytes):
+            self.points[fp] = unpacked_point(self.points[fp])
+            self.sizes[fp] = int(self.points[fp].sum())
+        return self.points[fp]
+
+    def pairs(self, fps: list[int], joined: bool, seen: list) -> Iterator[tuple[int, int, int]]:
+        """(class, class, bound per mille of the sizes): pairs of one list that the
+        bound lets through and that do not hang together.  If ``joined``, a pair
+        counts as linked once it is given.  ``seen`` grows if there are pairs that
+        hang together already."""
+        fps = sorted(set(fps))
+        points = [self.point(fp) for fp in fps]
+        sizes = np.array([self.sizes[fp] for fp in fps], np.int64)
+        label = [self.label[fp] for fp in fps]
+
+        def together(places: np.ndarray) -> bool:
+            root = self.forest.root(label[places[0]])
+            found = all(self.forest.root(label[p]) == root for p in places[1:].tolist())
+            if found and len(places) > 1:
+                seen.append(True)
+            return found
+
+        for i, j in surviving_pairs(points, sizes, together):
+            if self.forest.root(label[i]) == self.forest.root(label[j]):
+                seen.append(True)
+                continue
+            groups = min(len(points[i]), len(points[j]))
+            bound = int(np.minimum(fold(points[i], groups), fold(points[j], groups)).sum())
+            if 7 * bound >= 3 * (sizes[i] + sizes[j]):
+                if joined:
+                    self.forest.join(label[i], label[j])
+                yield fps[i], fps[j], int(2000 * bound // (sizes[i] + sizes[j]))
+
+
+def bundle_forest(columns: list[list]) -> list[tuple]:
+    """(piece, class, class): at most one pair less than the bundle has components,
+    and (piece, null, null) for each list that has surviving pairs."""
+    bundle, out = Bundle(columns), []
+    for piece, fps in bundle.lists.items():
+        seen: list[bool] = []
+        found = [(piece, a, b) for a, b, _ in bundle.pairs(fps, True, seen)]
+        out += found
+        if found or seen:
+            out.append((piece, None, None))
+    return out
+
+
+def bundle_crossings(columns: list[list]) -> list[tuple]:
+    """(class, class, bound): the surviving pairs between components, each once."""
+    bundle, out = Bundle(columns), {}
+    for fps in bundle.lists.values():
+        for a, b, bound in bundle.pairs(fps, False, []):
+            out[a, b] = bound
+    return [(a, b, bound) for (a, b), bound in out.items()]
 
 
 def meetings(members: DataFrame, most_members: int) -> DataFrame:
@@ -495,7 +532,7 @@ def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.filter("x <> y").select("a", "b", "bound", F.least("x", "y").alias("la"), F.greatest("x", "y").alias("lb"))
 
 
-def jaccard_components(docs: DataFrame, most_frequent: int = 262_144, filter_words: int = 65_536, count_tokens: int = 3_000_000, block_bytes: int = 4_000_000, most_members: int = 4096) -> DataFrame:
+def jaccard_components(docs: DataFrame, most_frequent: int = 262_144, filter_words: int = 65_536, count_tokens: int = 3_000_000, block_bytes: int = 4_000_000, most_members: int = 16_384) -> DataFrame:
     """(doc_id, h, n_shingles, component_id) for each row of ``docs`` (doc_id,
     text); ``h`` is xxhash64 of the text."""
     spark = docs.sparkSession
@@ -508,39 +545,45 @@ def jaccard_components(docs: DataFrame, most_frequent: int = 262_144, filter_wor
     classes = rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("point").alias("point"))
     buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = common.checkpoint(prefix_lists(docs, frequent, buckets, block_bytes, most_members))
-    listed = lists.select("piece", "key", "long", F.explode("fps").alias("fp"))
+    listed = lists.select("bundle", "piece", "key", "long", F.explode("fps").alias("fp"))
     firsts = classes.select("fp", F.col("first").alias("doc_id"))
 
     points = classes.select("fp", "point")
 
     def pairs_of(members: DataFrame, work, schema: str) -> DataFrame:
-        """What ``work`` gives for pieces of members (piece, fp, label)."""
-        return common.checkpoint(grouped(members.join(points, "fp"), "piece", ["fp", "label", "point"], work, schema))
+        """What ``work`` gives for bundles of members (bundle, piece, fp, label); a
+        point comes once to a bundle, however many of its lists want it."""
+        null = F.lit(None)
+        wanted = members.select("bundle", "fp").distinct().join(points, "fp")
+        both = members.select("bundle", "piece", "fp", "label", null.cast("binary").alias("point")).unionByName(wanted.select("bundle", null.cast("long").alias("piece"), "fp", null.cast("long").alias("label"), "point"))
+        return common.checkpoint(grouped(both, "bundle", ["piece", "fp", "label", "point"], work, schema))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ends = common.checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(firsts, "fp"))
         return whole_sets(docs, ends, filter_words, block_bytes)
 
     def labelled(lists: DataFrame) -> DataFrame:
-        """Members (key, long, fp, label) of the lists that span several components."""
-        members = lists.select("key", "long", "fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-        members = members.select("key", "long", "fp", F.coalesce("component", "fp").alias("label"))
+        """Members (bundle, key, fp, label) of the lists that span several components."""
+        members = lists.select("bundle", "key", "fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+        members = members.select("bundle", "key", "fp", F.coalesce("component", "fp").alias("label"))
         several = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
         return members.join(several, "key", "left_semi")
 
     def verified(pairs: DataFrame) -> DataFrame:
         return common.checkpoint(verify_pairs(pairs, common.checkpoint(sets_of(pairs))).distinct())
 
-    found = pairs_of(listed.withColumn("label", F.col("fp")), list_forest, "piece long, a long, b long")
-    tried = common.checkpoint(found.select("a", "b").distinct())
+    found = pairs_of(listed.withColumn("label", F.col("fp")), bundle_forest, "bundle long, piece long, a long, b long")
+    tried = common.checkpoint(found.filter("a is not null").select("a", "b").distinct())
     labels = connected_components(verified(tried))
 
     # a list in one piece without a surviving pair is done
-    short = listed.filter("not long").join(found.select("piece").distinct(), "piece", "left_semi")
-    left = labelled(short.unionByName(listed.filter("long")))
-    left = left.filter("not long").select(F.col("key").alias("piece"), "fp", "label").union(meetings(left.filter("long"), most_members))
-    found = pairs_of(left, list_crossings, "piece long, a long, partners array<long>, bounds array<long>")
-    met = found.select("a", F.explode(F.arrays_zip("partners", "bounds")).alias("p")).select(F.least("a", "p.partners").alias("a"), F.greatest("a", "p.partners").alias("b"), F.col("p.bounds").alias("bound"))
+    short = listed.filter("not long").join(found.filter("a is null").select("piece"), "piece", "left_semi")
+    left = labelled(short).select("bundle", F.col("key").alias("piece"), "fp", "label")
+    long = lists.filter("long")
+    if not long.isEmpty():
+        far = meetings(labelled(listed.filter("long")).select("key", "fp", "label"), most_members)
+        left = left.union(far.select(F.col("piece").alias("bundle"), "piece", "fp", "label"))
+    met = pairs_of(left, bundle_crossings, "bundle long, a long, b long, bound long").select("a", "b", "bound")
     pairs = common.checkpoint(between(met.distinct(), labels).join(tried, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         sets = common.checkpoint(sets_of(pairs))
