@@ -136,6 +136,11 @@ def place(sized: DataFrame, buckets: int = 16, budget: int = 65_536, most_length
     )
 
 
+def id_kind(tokenizer: str) -> str:
+    """How ids travel until they are in batches: in two bytes if all fit."""
+    return "<u2" if len(encoder_for(tokenizer).word_end) <= 1 << 16 else "<u4"
+
+
 def encoded(docs: DataFrame, tokenizer: str, block_bytes: int = 8_000_000) -> DataFrame:
     """The columns of ``docs`` but ``text``, with n_tokens and ids."""
     docs = docs.select("text", *[c for c in docs.columns if c != "text"])
@@ -148,7 +153,7 @@ def encoded(docs: DataFrame, tokenizer: str, block_bytes: int = 8_000_000) -> Da
             for a, b in common.slices_by_bytes(texts, block_bytes):
                 ids, sizes = encoder.encode(texts.slice(a, b - a))
                 edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-                raw = ids.astype("<u4")
+                raw = ids.astype(id_kind(tokenizer))
                 blobs = [raw[x:y].tobytes() for x, y in zip(edges, edges[1:])]
                 rest = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*rest.columns[1:], pa.array(sizes.astype(np.int64)), pa.array(blobs, pa.binary())], names=[*rest.schema.names[1:], "n_tokens", "ids"])
@@ -156,8 +161,8 @@ def encoded(docs: DataFrame, tokenizer: str, block_bytes: int = 8_000_000) -> Da
     return docs.mapInArrow(run, schema)
 
 
-def write_batches(placed: DataFrame, path: str, pad_id: int) -> None:
-    """Write the rows of ``place``, with their ids, as ``BATCH`` and an array for
+def write_batches(placed: DataFrame, path: str, pad_id: int, kind: str) -> None:
+    """Write the rows of ``place``, with their ids of a ``kind``, as ``BATCH`` and an array for
     each further column."""
     names = ["bucket", "batch", "row_in_batch", "bucket_len", "ids"]
     extra = [f for f in placed.schema.fields if f.name not in (*names, "n_tokens", "padding")]
@@ -170,9 +175,10 @@ def write_batches(placed: DataFrame, path: str, pad_id: int) -> None:
             width, blobs = part.column(3)[0].as_py(), part.column(4).to_pylist()
             table, mask = np.full((len(blobs), width), pad_id, "<u4"), np.zeros((len(blobs), width), bool)
             for i, blob in enumerate(blobs):
-                table[i, : len(blob) // 4], mask[i, : len(blob) // 4] = np.frombuffer(blob, "<u4"), True
+                ids = np.frombuffer(blob, kind)
+                table[i, : len(ids)], mask[i, : len(ids)] = ids, True
             one = [[part.column(0)[0].as_py()], [part.column(1)[0].as_py()], [width], [len(blobs)], [table.tobytes()], [np.packbits(mask).tobytes()]]
-            columns = [pa.array(x, kind) for x, kind in zip(one, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+            columns = [pa.array(x, k) for x, k in zip(one, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(blobs)], pa.int32()), part.column(5 + i).combine_chunks()) for i in range(len(extra))]
             return pa.RecordBatch.from_arrays([*columns, *lists], names=schema.fieldNames())
 
@@ -223,7 +229,7 @@ def pack(docs: DataFrame, path: str, tokenizer: str, pad_id: int = 0, **options)
     docs = docs.drop(*[c.split()[0] for c in PLACED.split(", ")], "ids", "mask", "n_rows")
     encoded(docs, tokenizer).write.option("compression", "zstd").parquet(f"{path}/ids")
     placed = place(docs.sparkSession.read.parquet(f"{path}/ids"), **options)
-    write_batches(placed, f"{path}/batches", pad_id)
+    write_batches(placed, f"{path}/batches", pad_id, id_kind(tokenizer))
     return read_batches(docs.sparkSession, f"{path}/batches")
 
 
