@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, mixing, ngram_join, packing, passages, pii, repetition, sharding, token_files
+from . import ann, chat, manifest, mixing, ngram_join, packing, passages, pii, repetition, resampling, sharding, token_files
 
 QUERIES = {
     "op1_repair_ids": token_files.op1_repair_ids,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_length_buckets": packing.op8_length_buckets,
     "op9_chained_passages": passages.op9_chained_passages,
     "op10_one_bit_search": ann.op10_one_bit_search,
+    "op11_merkle_manifest": manifest.op11_merkle_manifest,
+    "op13_target_resampling": resampling.op13_target_resampling,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,6 @@ ORACLE_SQL = {
     "op6_rtree_jaccard": ngram_join.OP6_SQL,
     "op7_systematic_mix": mixing.OP7_SQL,
     "op10_one_bit_search": ann.OP10_SQL,
+    "op11_merkle_manifest": manifest.OP11_SQL,
+    "op13_target_resampling": resampling.OP13_SQL,
 }
