@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, manifest, mixing, ngram_join, packing, passages, pii, repetition, resampling, sharding, token_files
+from . import ann, chat, manifest, mixing, ngram_join, packing, passages, pii, repetition, resampling, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_repair_ids": token_files.op1_repair_ids,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chained_passages": passages.op9_chained_passages,
     "op10_one_bit_search": ann.op10_one_bit_search,
     "op11_merkle_manifest": manifest.op11_merkle_manifest,
+    "op12_subsequence_toxicity": toxicity.op12_subsequence_toxicity,
     "op13_target_resampling": resampling.op13_target_resampling,
 }
 

@@ -1,0 +1,134 @@
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from sievelake.llm import common, toxicity
+from sievelake.llm.toxicity import DECAY, LETTERS, SPAN, Model, Training
+
+SF = "/root/testdata/sf0.1"
+
+
+def code(c):
+    return ord(c) - 96 if "a" <= c <= "z" else LETTERS if ord(c) > 127 else 0
+
+
+def weights_of(s):
+    """Every subsequence of three letters with its summed weight, by definition."""
+    out = {}
+    for i, j, k in itertools.combinations(range(len(s)), 3):
+        t = (code(s[i]), code(s[j]), code(s[k]))
+        if all(t) and k - i < SPAN:
+            out[t] = out.get(t, 0.0) + DECAY ** (k - i + 1)
+    return out
+
+
+def kernel(s, t):
+    a, b = weights_of(s), weights_of(t)
+    dot = lambda x, y: sum(v * y.get(u, 0.0) for u, v in x.items())
+    return dot(a, b) / max((dot(a, a) * dot(b, b)) ** 0.5, 1e-300)
+
+
+def brute(text, weights, bias):
+    """A text's value: each string and each run of short ones, window by window."""
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    best = None
+    for s in [*words, *toxicity.fragments(words)]:
+        value = 0.0
+        parts = toxicity.windows(s)
+        found = []
+        for part in parts:
+            own = weights_of(part)
+            norm = sum(v * v for v in own.values()) ** 0.5
+            if len(part) >= 3:
+                found.append(sum(v * weights[((a - 1) * LETTERS + b - 1) * LETTERS + c - 1] for (a, b, c), v in own.items()) / (norm or 1.0))
+        value = max(found) if found else 0.0
+        best = value if best is None else max(best, value)
+    return bias + (best or 0.0) if best is not None else bias
+
+
+STRINGS = ["idiot", "id.iot", "xidiotx", "banana", "aaaaaaa", "é", "über", "", "ab", "a1b2c3d4", "thes😀e", "pathetic"]
+
+
+def test_kernel_is_an_inner_product():
+    dense = toxicity.dense(STRINGS)
+    assert np.allclose(dense @ dense.T, [[kernel(a, b) for b in STRINGS] for a in STRINGS])
+
+
+def test_gaps_keep_strings_near():
+    assert kernel("idiot", "id.iot") > 0.8 and kernel("idiot", "i-d-i-o-t") > 0.7 and kernel("idiot", "idxiot") > 0.6
+    assert kernel("idiot", "tionou") < 0.3
+
+
+@pytest.fixture(scope="module")
+def random_model():
+    rng = np.random.default_rng(3)
+    return Model(rng.normal(size=LETTERS**3), -0.5, 1.5, -0.25)
+
+
+def test_whole_texts_by_brute_force(documents, clashing, rows, random_model):
+    m = random_model
+    want = sorted(round(float(m.probability(np.array(brute(t, m.weights, m.bias)))), 9) for _, t, _ in rows)
+    for docs in (documents, clashing):
+        found = toxicity.score(docs, m)
+        assert sorted(round(r["score"], 9) for r in found.collect()) == want
+        assert [c for c in found.columns if c != "score"] == [c for c in docs.columns if c != "text"]
+
+
+def test_long_strings_and_blocks(monkeypatch, random_model):
+    m = random_model
+    texts = ["x" * 5000 + "idiot" + "y" * 3000, " ".join("abcdefghij"), "a b c  dd e", None, "a", "ab\nc d", "ß " * 40]
+    want = [brute(t, m.weights, m.bias) for t in texts]
+    assert np.allclose(toxicity.raw_scores(pa.array(texts), m.weights, m.bias), want)
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    assert np.allclose(toxicity.raw_scores(pa.array(texts), m.weights, m.bias), want)
+
+
+def test_empty_tables(spark, empty):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.train(empty, labels)
+    assert toxicity.score(empty, model).collect() == []
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, "some text")], "doc_id long, text string")
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, model).collect())
+
+
+def test_one_class_and_odd_labels(spark, documents):
+    labels = spark.createDataFrame([(6, 0), (7, 0), (8, None), (None, 1), (9, 7)], "doc_id long, toxic int")
+    found = toxicity.score(documents, toxicity.train(documents, labels)).collect()
+    assert all(r["score"] < 0.7 for r in found)
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    return docs, toxicity.train(docs.filter(~out), spark.read.parquet(f"{SF}/labels.parquet").filter(~out))
+
+
+def test_held_out_accuracy(spark, trained):
+    docs, model = trained
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    # toxic labels of other languages than English mark no string of the text
+    found = toxicity.score(docs.filter("lang = 'en'").select("doc_id", "text"), model).collect()
+    held = [(r["score"] >= 0.7, labels[r["doc_id"]]) for r in found if r["doc_id"] in labels and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    caught, toxic, marked = sum(p and y for p, y in held), sum(y for _, y in held), sum(p for p, _ in held)
+    assert toxic > 50 and caught / toxic > 0.85 and caught / marked > 0.97
+
+
+def test_gapped_insults(spark, trained):
+    _, model = trained
+    clean = "the tionou of erand and this reed"
+    texts = [f"{clean} {w} {clean}" for w in ("idiot", "IDIOT!", "id.iot", "i-d-i-o-t", "st*upid", "cl_own", "s t u p i d", "tra sh".replace(" ", "-"))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, clean])], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] >= 0.7 for i in range(len(texts))) and got[len(texts)] < 0.3
+
+
+def test_sample_is_bounded(trained, spark):
+    docs, _ = trained
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    toxicity.train(docs, labels, Training(documents=50, sentences=200, landmarks=8))
