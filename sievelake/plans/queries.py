@@ -526,6 +526,48 @@ def correlate_not(spark, d):
     return R.evaluate(_rule(within="24h", must_not=(P.between("value", gt=50),)), _t(spark, d, "events")).select("event_id")
 
 
+_HOT = "CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END"
+
+
+@query(f"WITH v AS (SELECT *, {_HOT} AS src FROM events) SELECT e.event_id FROM v e JOIN v h ON h.src = e.src AND h.event_type = 'click' AND h.ts <= e.ts AND h.ts >= e.ts - INTERVAL 6 HOUR WHERE e.event_type = 'error' GROUP BY 1 HAVING count(*) >= 5")
+def correlate_hot(spark, d):
+    """One source has half of all events."""
+    events = _t(spark, d, "events").withColumn("src", F.expr(_HOT))
+    rule = R.Rule("hot", P.term("event_type", "error"), (R.Lookback({"src": "src"}, "6h", 5, P.term("event_type", "click")),))
+    return R.evaluate(rule, events).select("event_id")
+
+
+@query("SELECT e.event_id FROM events e JOIN events h ON h.event_type = 'click' AND h.user_id <> e.user_id AND h.ts <= e.ts AND h.ts >= e.ts - INTERVAL 20 MINUTE WHERE e.event_type = 'error' GROUP BY 1 HAVING count(*) >= 3")
+def correlate_unlike(spark, d):
+    """No column agrees, and one must not."""
+    rule = R.Rule("others", P.term("event_type", "error"), (R.Lookback({}, "20m", 3, P.term("event_type", "click"), unlike={"user_id": "user_id"}),))
+    return R.evaluate(rule, _t(spark, d, "events")).select("event_id")
+
+
+_WORDS = "event_type || ' ' || CAST(user_id % 50 AS VARCHAR)"
+
+
+@query(f"WITH v AS (SELECT *, {_WORDS} AS said FROM events) SELECT e.event_id FROM v e JOIN v h ON h.user_id = e.user_id AND list_has_any(string_split(h.said, ' '), string_split(e.said, ' ')) AND h.value > 50 AND h.ts <= e.ts AND h.ts >= e.ts - INTERVAL 24 HOUR WHERE e.event_type = 'error' GROUP BY 1 HAVING count(*) >= 2")
+def correlate_words(spark, d):
+    """History shares a word with the trigger."""
+    events = _t(spark, d, "events").withColumn("said", F.concat_ws(" ", "event_type", (F.col("user_id") % 50).cast("string")))
+    rule = R.Rule("words", P.term("event_type", "error"), (R.Lookback({"user_id": "user_id"}, "24h", 2, P.between("value", gt=50), matching={"said": "said"}),))
+    return R.evaluate(rule, events).select("event_id")
+
+
+@query(
+    "WITH r AS (SELECT i, 1 + i % 5 AS n, 1 + i % 8 AS hours, (i // 2)::DOUBLE AS least FROM range(200) x(i)), e AS (SELECT * FROM events WHERE event_type = 'error'), h AS (SELECT * FROM events WHERE event_type = 'click') "
+    "SELECT e.event_id, 'rule-' || CAST(r.i AS VARCHAR) AS rule FROM e JOIN r ON e.value >= r.least JOIN h ON h.user_id = e.user_id AND h.ts <= e.ts AND h.ts >= e.ts - to_hours(CAST(r.hours AS INT)) GROUP BY e.event_id, r.i, r.n HAVING count(*) >= r.n"
+)
+def correlate_many(spark, d):
+    """200 rules over one reading of the events."""
+    rules = []
+    for i in range(200):
+        look = R.Lookback({"user_id": "user_id"}, f"{1 + i % 8}h", 1 + i % 5, P.term("event_type", "click"))
+        rules.append(R.Rule(f"rule-{i}", P.term("event_type", "error") & P.between("value", gte=float(i // 2)), (look,)))
+    return R.evaluate_all(rules, _t(spark, d, "events")).select("event_id", "rule")
+
+
 @query("WITH a AS (SELECT event_id, user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 3 DAYS, true) g FROM events WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(g::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) k FROM a), f AS (SELECT *, first_value(event_id) OVER (PARTITION BY user_id, k ORDER BY ts, event_id) p FROM r) SELECT event_id, CASE WHEN p <> event_id THEN p END AS parent_id FROM f")
 def fold_alerts(spark, d):
     alerts = _t(spark, d, "events").filter(P.term("event_type", "error"))
