@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ipaddress
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 V4 = r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
@@ -39,35 +39,71 @@ def merged_ranges(cidrs: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def _hex(x: Column, width: int) -> Column:
-    return F.lpad(F.lower(F.hex(x)), width, "0")
+def _number(address: Column) -> Column:
+    """A plain IPv4 address as a number."""
+    octets = F.split(address, r"\.")
+    part = lambda i: octets[i].try_cast("long")
+    return part(0) * (1 << 24) + part(1) * (1 << 16) + part(2) * (1 << 8) + part(3)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _v6_key(address: Column) -> Column:
+    """Key of an address with colons; null where it is none."""
+
+    def parsed(halves: Column) -> Column:
+        groups = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
+        left = groups(halves[0])
+        right = F.when(F.size(halves) > 1, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        # "::" stands for one group at least, and nothing else does
+        fill = F.when(F.size(halves) > 1, F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        return _bound(F.concat(left, fill, right), lambda g: F.when((F.size(g) == 8) & F.forall(g, lambda x: F.length(x) <= 4), F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), "")))
+
+    def read(a: Column) -> Column:
+        good = a.rlike("^[0-9a-f:]+$") & ~a.rlike("::.*::|:::|^:[^:]|[^:]:$")
+        return F.when(good, _bound(F.split(a, "::", 2), parsed))
+
+    tail = F.regexp_extract(address, TAIL, 2)
+    octets = F.split(tail, r"\.")
+    pair = lambda i: F.hex(octets[i].try_cast("int") * 256 + octets[i + 1].try_cast("int"))
+    plain = F.when(address.contains("."), F.when(address.rlike(TAIL), F.concat(F.regexp_extract(address, TAIL, 1), pair(0), F.lit(":"), pair(2)))).otherwise(address)
+    return _bound(F.lower(plain), read)
 
 
 def ip_key(address: Column) -> Column:
     """Key of an address column; null where it is no address.
 
-    An IPv6 address may end in an IPv4 one (``::ffff:1.2.3.4``).
+    An IPv6 address may end in an IPv4 one (``::ffff:1.2.3.4``).  The common plain
+    IPv4 form is tried first and costs nothing of the other.
     """
-    tail = F.regexp_extract(address, TAIL, 2)
-    octets = F.split(tail, r"\.")
-    pair = lambda i: F.lower(F.hex(octets[i].try_cast("int") * 256 + octets[i + 1].try_cast("int")))
-    address = F.when(address.rlike(TAIL), F.concat(F.regexp_extract(address, TAIL, 1), pair(0), F.lit(":"), pair(2))).otherwise(address)
-    parts = F.split(address, r"\.")
-    v4 = F.concat(F.lit(_PREFIX), *[_hex(parts[i].try_cast("int"), 2) for i in range(4)])
-    # IPv6: groups left and right of "::" with zeros between
-    halves = F.split(F.lower(address), "::", 2)
-    left = F.filter(F.split(halves[0], ":"), lambda g: g != "")
-    right = F.when(F.size(halves) > 1, F.filter(F.split(F.get(halves, F.lit(1)), ":"), lambda g: g != "")).otherwise(F.array().cast("array<string>"))
-    fill = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
-    groups = F.concat(left, F.array_repeat(F.lit("0"), fill), right)
-    good = address.rlike(r"^(?i)[0-9a-f:]+$") & address.contains(":") & ~address.rlike("::.*::|:::") & (F.size(groups) == 8) & F.forall(groups, lambda g: F.length(g) <= 4)
-    v6 = F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
-    return F.when(address.rlike(V4), v4).when(good, v6)
+    v4 = F.concat(F.lit(_PREFIX), F.lpad(F.lower(F.hex(_number(address))), 8, "0"))
+    return F.when(address.rlike(V4), v4).when(address.contains(":"), _v6_key(address))
+
+
+def _v4_prefixes(ranges: list[tuple[str, str]]) -> dict[int, list[int]]:
+    """What the ranges hold of IPv4, as prefixes by the number of bits after them."""
+    low, high = int(_PREFIX + "0" * 8, 16), int(_PREFIX + "f" * 8, 16)
+    out: dict[int, list[int]] = {}
+    for a, b in ranges:
+        first, last = max(int(a, 16), low), min(int(b, 16), high)
+        if first <= last:
+            for net in ipaddress.summarize_address_range(ipaddress.IPv4Address(first - low), ipaddress.IPv4Address(last - low)):
+                out.setdefault(32 - net.prefixlen, []).append(int(net[0]) >> (32 - net.prefixlen))
+    return out
 
 
 def in_ranges(address: Column, ranges: list[tuple[str, str]]) -> Column:
-    """Whether the key of an address lies in one of the ranges; false where it is
-    no address.  The key is made once for all comparisons."""
+    """Whether an address lies in one of the key ranges; false where it is none.
+
+    Plain IPv4 addresses are looked up as numbers, in one set for each length of
+    prefix; only others make a key, and that once.
+    """
+    number, v4 = _number(address), F.lit(False)
+    for bits, prefixes in sorted(_v4_prefixes(ranges).items()):
+        v4 = v4 | (F.shiftright(number, bits).isin(*prefixes) if bits < 32 else F.lit(True))
 
     def test(key: Column) -> Column:
         found = F.lit(False)
@@ -75,9 +111,62 @@ def in_ranges(address: Column, ranges: list[tuple[str, str]]) -> Column:
             found = found | key.between(low, high)
         return F.coalesce(found, F.lit(False))
 
-    return F.exists(F.array(ip_key(address)), test)
+    v6 = F.exists(F.array(_v6_key(address)), test)
+    return F.coalesce(F.when(address.rlike(V4), v4).when(address.contains(":"), v6), F.lit(False))
 
 
 def in_networks(address: Column, cidrs: list[str]) -> Column:
     """Whether an address lies in one of the networks; false where it is none."""
     return in_ranges(address, merged_ranges(cidrs))
+
+
+# ---- tables of networks --------------------------------------------------------
+
+_NIBBLES = "0123456789abcdef"
+
+
+def prefix_of(key: Column, bits: int) -> Column:
+    """The first ``bits`` of a key, as digits."""
+    whole, rest = divmod(bits, 4)
+    if not rest:
+        return F.substring(key, 1, whole)
+    kept = "".join(_NIBBLES[i & (15 << (4 - rest)) & 15] for i in range(16))
+    return F.concat(F.substring(key, 1, whole), F.translate(F.substring(key, whole + 1, 1), _NIBBLES, kept))
+
+
+def networks_of(cidr: Column) -> tuple[Column, Column]:
+    """(key, bits) of a column of networks; bits null where it is none.  Bits count
+    in IPv6; an address alone is a network of one."""
+    key = ip_key(F.trim(F.split(cidr, "/")[0]))
+    given = F.get(F.split(cidr, "/"), F.lit(1))
+    plain = F.trim(F.split(cidr, "/")[0]).rlike(V4)
+    bits = F.when(F.size(F.split(cidr, "/")) == 1, F.lit(128)).when((F.size(F.split(cidr, "/")) == 2) & given.rlike("^[0-9]{1,3}$"), given.cast("int") + F.when(plain, 96).otherwise(0))
+    return key, F.when(key.isNotNull() & (bits <= 128), bits)
+
+
+def join_networks(df: DataFrame, address: str, networks: DataFrame, cidr: str = "cidr", longest: bool = True, how: str = "inner") -> DataFrame:
+    """Rows of ``df`` with the columns of the network that their address lies in:
+    the one of the longest prefix, or with ``longest=False`` each of them.
+
+    Networks may overlap and be many: an address is looked up by its prefix of
+    every length that the table of networks has (at most 129), an equi-join that
+    Spark plans by size.  Each address is looked up once, however many rows have
+    it.  Of equal networks the one least by its columns is taken.  Rows whose
+    address is none, and networks that are none, meet nothing.
+    """
+    key, bits = networks_of(F.col(cidr))
+    held = networks.select(F.struct(*[F.col(f"`{c}`") for c in networks.columns]).alias("__net"), key.alias("__key"), bits.alias("__bits")).filter("__bits IS NOT NULL")
+    lengths = sorted(r[0] for r in held.select("__bits").distinct().collect())  # at most 129
+    prefix = F.lit(None).cast("string")
+    for n in lengths:
+        prefix = F.when(F.col("__bits") == n, prefix_of(F.col("__key"), n)).otherwise(prefix)
+    table = held.select("__net", "__bits", prefix.alias("__prefix"))
+    if longest:
+        table = table.groupBy("__bits", "__prefix").agg(F.min("__net").alias("__net"))
+    own = df.select(F.col(address).alias("__address")).distinct().withColumn("__key", ip_key(F.col("__address"))).filter("__key IS NOT NULL")
+    bins = F.array(*[F.struct(F.lit(n).alias("__bits"), prefix_of(F.col("__key"), n).alias("__prefix")) for n in lengths]) if lengths else F.array().cast("array<struct<__bits:int,__prefix:string>>")
+    found = own.select("__address", F.explode(bins).alias("b")).select("__address", "b.*").join(table, ["__bits", "__prefix"])
+    if longest:
+        found = found.groupBy("__address").agg(F.max_by("__net", "__bits").alias("__net"))
+    joined = df.join(found.select("__address", "__net"), F.col(address) == F.col("__address"), how)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], "__net.*")

@@ -106,13 +106,11 @@ def multi_match(query: str, fields: Sequence[str], kind: str = "best_fields") ->
 
 
 def cidr(field, network: str) -> Column:
-    low, high = net.network_range(network)
-    return net.ip_key(col(field)).between(low, high)
+    return net.in_networks(col(field), [network])
 
 
 def cidrs(field, networks: Sequence[str]) -> Column:
-    key = net.ip_key(col(field))
-    return any_of(*[key.between(low, high) for low, high in net.merged_ranges(list(networks))])
+    return net.in_networks(col(field), list(networks))
 
 
 def ip_range_contains(low, high, address: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import casts, entities, geo, text
+from ..functions import casts, entities, geo, net, text
 from ..functions.record import Record, where_record
 from ..operators import aggregations as A
 from ..operators import parsing
@@ -96,6 +96,31 @@ def _ip() -> Column:
 
 _predicate("cidr", "customer", "c_custkey", lambda: P.cidr(_ip(), "10.1.0.0/16"), "c_custkey % 4 = 1")
 _predicate("cidrs", "customer", "c_custkey", lambda: P.cidrs(_ip(), ["10.1.2.0/24", "10.3.0.0/16", "fe80::/10"]), "c_custkey % 4 = 3 OR (c_custkey % 4 = 1 AND c_custkey % 7 = 2)")
+_NETS = "SELECT '10.' || CAST(s_suppkey % 4 AS {s}) || '.' || CASE WHEN s_suppkey % 3 = 0 THEN '0.0/16' ELSE CAST(s_suppkey % 7 AS {s}) || '.' || CASE WHEN s_suppkey % 3 = 1 THEN '0/24' ELSE CAST(s_suppkey % 200 AS {s}) || '/30' END END AS cidr, s_suppkey"
+_NETS_SQL = f"""
+WITH n AS ({_NETS.format(s='VARCHAR')} FROM supplier),
+m AS (SELECT *, CAST(regexp_extract(cidr, '/([0-9]+)', 1) AS INT) AS bits, regexp_extract(cidr, '^(.*)/', 1) AS base FROM n),
+v AS (SELECT *, list_reduce(list_transform(string_split(base, '.'), lambda x: CAST(x AS BIGINT)), lambda a, b: a * 256 + b) AS low FROM m),
+c AS (SELECT c_custkey, (10 * 256 + c_custkey % 4) * 65536 + (c_custkey % 7) * 256 + c_custkey % 200 AS num FROM customer),
+j AS (SELECT c_custkey, cidr, s_suppkey, bits FROM c JOIN v ON num >> (32 - bits) = low >> (32 - bits))
+"""
+
+
+def _nets(spark, d) -> DataFrame:
+    return _t(spark, d, "supplier").selectExpr(*_NETS.format(s="string").removeprefix("SELECT ").rsplit(", ", 1))
+
+
+@query(f"{_NETS_SQL} SELECT c_custkey, cidr, s_suppkey FROM j")
+def network_join(spark, d):
+    """Every network of a table that an address lies in; networks overlap."""
+    return net.join_networks(_t(spark, d, "customer").select("c_custkey", _ip().alias("ip")), "ip", _nets(spark, d), longest=False).select("c_custkey", "cidr", "s_suppkey")
+
+
+@query(f"{_NETS_SQL} SELECT c_custkey, arg_max(cidr, (bits, -s_suppkey)) AS cidr, arg_max(s_suppkey, (bits, -s_suppkey)) AS s_suppkey FROM j GROUP BY 1")
+def network_longest(spark, d):
+    return net.join_networks(_t(spark, d, "customer").select("c_custkey", _ip().alias("ip")), "ip", _nets(spark, d)).select("c_custkey", "cidr", "s_suppkey")
+
+
 _RANGE = (lambda: F.expr("concat('10.', cast(c_custkey % 4 as string), '.0.0')"), lambda: F.expr("concat('10.', cast(c_custkey % 4 + c_custkey % 3 as string), '.255.255')"))
 _predicate("ip_range_contains", "customer", "c_custkey", lambda: P.ip_range_contains(_RANGE[0](), _RANGE[1](), "10.3.7.7"), "c_custkey % 4 <= 3 AND c_custkey % 4 + c_custkey % 3 >= 3")
 _predicate("ip_range_intersects", "customer", "c_custkey", lambda: P.ip_range_intersects(_RANGE[0](), _RANGE[1](), "10.2.0.0", "10.2.0.9"), "c_custkey % 4 <= 2 AND c_custkey % 4 + c_custkey % 3 >= 2")
