@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, net, text
+from ..sources.shared import written
+from . import scans
 from .predicates import col
 
 Metrics = Mapping[str, Column]
@@ -132,11 +134,18 @@ def histogram(df: DataFrame, field: str, interval: float, metrics: Metrics | Non
     out = _count(keyed, ["key"], metrics)
     if not fill:
         return out
-    steps = out.agg(F.floor(F.min("key") / interval).alias("a"), F.floor(F.max("key") / interval).alias("b"))
-    steps = steps.select(F.explode(F.sequence("a", "b")).alias("step")).select((F.col("step") * F.lit(interval)).alias("key"))
+    out = written(out, "buckets")
+    ends = out.agg(F.round(F.min("key") / interval).cast("long"), F.round(F.max("key") / interval).cast("long")).first()
+    steps = _steps(df, ends).select((F.col("id") * F.lit(interval)).cast(out.schema["key"].dataType).alias("key"))
     return steps.join(out, "key", "left").fillna(0, ["doc_count"])
 
 
+def _steps(df: DataFrame, ends) -> DataFrame:
+    """Every number between two, over as many partitions as they need."""
+    first, last = (0, -1) if ends[0] is None else ends
+    return df.sparkSession.range(first, last + 1)
+
+
 _CALENDAR = {"minute": "minute", "1m": "minute", "hour": "hour", "1h": "hour", "day": "day", "1d": "day", "week": "week", "1w": "week", "month": "month", "1M": "month", "quarter": "quarter", "1q": "quarter", "year": "year", "1y": "year"}
 
 
@@ -162,9 +171,27 @@ def date_histogram(df: DataFrame, field: str, interval: str, metrics: Metrics |
     out = _count(keyed, ["key"], metrics)
     if not fill:
         return out
-    step = F.expr(f"INTERVAL 1 {_CALENDAR[interval]}") if interval in _CALENDAR else F.expr(f"INTERVAL {interval}")
-    keys = out.agg(F.min("key").alias("a"), F.max("key").alias("b")).select(F.explode(F.sequence("a", "b", step)).alias("key"))
-    return keys.join(out, "key", "left").fillna(0, ["doc_count"])
+    out = written(out, "buckets")
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', key)")
+    if interval in _CALENDAR:
+        unit = _CALENDAR[interval].upper()
+        months = F.year("key") * 12 + F.month("key") - 1
+        size = {"MONTH": 1, "QUARTER": 3, "YEAR": 12}.get(unit)
+        number = (months / size).cast("long") if size else F.floor(at / _CALENDAR_MICROS[unit]).cast("long")
+        back = F.make_timestamp_ntz(F.floor(F.col("id") * size / 12).cast("int"), (F.col("id") * size % 12 + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) if size else None
+    else:
+        start = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+        width = out.sparkSession.range(1).select(F.expr(f"timestampdiff(MICROSECOND, {start}, {start} + INTERVAL {interval})")).first()[0]
+        number, back, unit = F.floor(at / int(width)).cast("long"), None, None
+    ends = out.agg(F.min(number), F.max(number), F.min(at)).first()
+    if back is None:
+        size = int(width) if unit is None else _CALENDAR_MICROS[unit]
+        offset = 0 if ends[2] is None else ends[2] % size  # weeks begin on Mondays
+        back = F.expr(f"timestampadd(MICROSECOND, id * {size}L + {offset}L, TIMESTAMP_NTZ '1970-01-01 00:00:00')")
+    return _steps(df, ends[:2]).select(back.alias("key")).join(out, "key", "left").fillna(0, ["doc_count"])
+
+
+_CALENDAR_MICROS = {"MINUTE": 60_000_000, "HOUR": 3_600_000_000, "DAY": 86_400_000_000, "WEEK": 604_800_000_000}
 
 
 def _tagged(df: DataFrame, named: Mapping[str, Column], metrics: Metrics | None) -> DataFrame:
@@ -225,29 +252,35 @@ def adjacency_matrix(df: DataFrame, named: Mapping[str, Column]) -> DataFrame:
     return _count(df.withColumn("key", F.explode(F.concat(met, pairs))), ["key"], None)
 
 
-def significant_terms(df: DataFrame, background: DataFrame, field: str, size: int = 10, min_doc_count: int = 3) -> DataFrame:
-    """Values that ``df`` has more often than ``background``, by JLH score."""
-    here = df.filter(F.col(field).isNotNull()).groupBy(F.col(field).alias("key")).agg(F.count(F.lit(1)).alias("doc_count"))
-    there = background.filter(F.col(field).isNotNull()).groupBy(F.col(field).alias("key")).agg(F.count(F.lit(1)).alias("bg_count"))
-    return _jlh(here, there, df.count(), background.count(), size, min_doc_count)
+def significant_terms(df: DataFrame, where: Column, field: str, size: int = 10, min_doc_count: int = 3) -> DataFrame:
+    """Values that rows meeting ``where`` have more often than all rows, by JLH score."""
+    return _jlh(df.select(where.alias("here"), F.array(F.col(field)).alias("keys")), size, min_doc_count)
 
 
-def significant_text(df: DataFrame, background: DataFrame, field: str, size: int = 10, min_doc_count: int = 3) -> DataFrame:
+def significant_text(df: DataFrame, where: Column, field: str, size: int = 10, min_doc_count: int = 3) -> DataFrame:
     """The same over the distinct tokens of a text."""
+    return _jlh(df.select(where.alias("here"), F.array_distinct(text.tokens(F.col(field))).alias("keys")), size, min_doc_count)
 
-    def counted(d: DataFrame, name: str) -> DataFrame:
-        return d.select(F.explode(F.array_distinct(text.tokens(F.col(field)))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias(name))
-
-    return _jlh(counted(df, "doc_count"), counted(background, "bg_count"), df.count(), background.count(), size, min_doc_count)
 
-
-def _jlh(here: DataFrame, there: DataFrame, n: int, all_n: int, size: int, least: int) -> DataFrame:
-    both = here.filter(F.col("doc_count") >= least).join(there, "key")
+def _jlh(rows: DataFrame, size: int, least: int) -> DataFrame:
+    """Both counts of every key in one pass; the null key counts the rows themselves."""
+    kind = rows.schema["keys"].dataType
+    held = F.filter(F.coalesce("keys", F.array().cast(kind)), lambda k: k.isNotNull())
+    keyed = rows.select(F.coalesce("here", F.lit(False)).alias("here"), F.explode(F.concat(held, F.array(F.lit(None).cast(kind.elementType)))).alias("key"))
+    counts = written(keyed.groupBy("key").agg(F.count_if("here").alias("doc_count"), F.count(F.lit(1)).alias("bg_count")), "counts")
+    whole = counts.filter("key IS NULL").first()  # one row
+    n, all_n = (whole["doc_count"], whole["bg_count"]) if whole else (0, 0)
     fg, bg = F.col("doc_count") / F.lit(float(max(n, 1))), F.col("bg_count") / F.lit(float(max(all_n, 1)))
-    scored = both.withColumn("score", F.when(fg > bg, (fg - bg) * (fg / bg)))
+    scored = counts.filter(F.col("key").isNotNull() & (F.col("doc_count") >= least)).withColumn("score", F.when(fg > bg, (fg - bg) * (fg / bg)))
     return scored.filter("score IS NOT NULL").orderBy(F.desc("score"), "key").limit(size)
 
 
+def overall(df: DataFrame, named: Mapping[str, Column], metrics: Metrics | None = None) -> DataFrame:
+    """One row over all rows, whatever is searched for: ``everything``, how many meet
+    each condition, and metrics; in one pass."""
+    return df.agg(F.count(F.lit(1)).alias("everything"), *[F.count_if(c).alias(n) for n, c in named.items()], *[m.alias(n) for n, m in (metrics or {}).items()])
+
+
 def nested(df: DataFrame, path: str) -> DataFrame:
     """A row for each element of an array of structs, beside its parent's columns."""
     return df.withColumn(path, F.explode(path)).select(*[c for c in df.columns if c != path], F.col(f"{path}.*"))
@@ -295,16 +328,19 @@ def bucket_metric(buckets: DataFrame, value: str, kind: str) -> DataFrame:
     return buckets.agg({"sum": F.sum, "avg": F.avg}[kind](value).alias("value"))
 
 
-def _along(key: str, parent: Sequence[str]) -> Window:
-    return Window.partitionBy(*parent).orderBy(key)
+def _key(key: str) -> list[Column]:
+    return [F.asc_nulls_first(key)]
 
 
 def cumulative_sum(buckets: DataFrame, value: str, out: str = "cumulative_sum", key: str = "key", parent: Sequence[str] = ()) -> DataFrame:
-    return buckets.withColumn(out, F.sum(value).over(_along(key, parent).rowsBetween(Window.unboundedPreceding, 0)))
+    """Running sums in the order of ``key``; like the other functions along buckets
+    it deals them out by ranges, so their number and a parent's share don't matter."""
+    return scans.running_sum(buckets, value, parent, _key(key), out)
 
 
 def serial_diff(buckets: DataFrame, value: str, lag: int = 1, out: str = "serial_diff", key: str = "key", parent: Sequence[str] = ()) -> DataFrame:
-    return buckets.withColumn(out, F.col(value) - F.lag(value, lag).over(_along(key, parent)))
+    before = lambda w: F.col(value) - F.lag(value, lag).over(w)
+    return scans.over_last(buckets, before, lag + 1, parent, _key(key), out, frame=False)
 
 
 def derivative(buckets: DataFrame, value: str, out: str = "derivative", key: str = "key", parent: Sequence[str] = ()) -> DataFrame:
@@ -314,17 +350,19 @@ def derivative(buckets: DataFrame, value: str, out: str = "derivative", key: str
 def moving_avg(buckets: DataFrame, value: str, window: int = 5, model: str = "simple", alpha: float = 0.3, out: str = "moving_avg", key: str = "key", parent: Sequence[str] = ()) -> DataFrame:
     """``simple``, ``linear`` (later values weigh more) or ``ewma``, over the last
     ``window`` buckets, the own one included."""
-    last = F.collect_list(F.col(value).cast("double")).over(_along(key, parent).rowsBetween(1 - window, 0))
-    if model == "simple":
-        mean = F.avg(value).over(_along(key, parent).rowsBetween(1 - window, 0))
-    elif model == "linear":
-        total = F.aggregate(F.transform(last, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
-        mean = total / (F.size(last) * (F.size(last) + 1) / 2)
-    elif model == "ewma":
-        mean = F.aggregate(F.slice(last, 2, window), last[0], lambda a, b: a * (1 - alpha) + b * alpha)
-    else:
+
+    def mean(w) -> Column:
+        if model == "simple":
+            return F.avg(value).over(w)
+        last = F.collect_list(F.col(value).cast("double")).over(w)
+        if model == "linear":
+            total = F.aggregate(F.transform(last, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+            return total / (F.size(last) * (F.size(last) + 1) / 2)
+        return F.aggregate(F.slice(last, 2, window), F.get(last, F.lit(0)), lambda a, b: a * (1 - alpha) + b * alpha)
+
+    if model not in ("simple", "linear", "ewma"):
         raise ValueError(f"no such model: {model}")
-    return buckets.withColumn(out, mean)
+    return scans.over_last(buckets, mean, window, parent, _key(key), out)
 
 
 def bucket_sort(buckets: DataFrame, order: Sequence[Column], size: int, offset: int = 0, parent: Sequence[str] = ()) -> DataFrame:

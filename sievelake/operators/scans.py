@@ -72,9 +72,10 @@ def running_sum(df: DataFrame, value: str, group: Sequence[str], order: Sequence
     return joined.select(*[F.col(f"a.`{c}`") for c in df.columns], F.when(base.isNull(), here).when(here.isNull(), base).otherwise(base + here).alias(out))
 
 
-def over_last(df: DataFrame, made, size: int, group: Sequence[str], order: Sequence[Column], out: str, rows: int = BLOCK_ROWS) -> DataFrame:
+def over_last(df: DataFrame, made, size: int, group: Sequence[str], order: Sequence[Column], out: str, rows: int = BLOCK_ROWS, frame: bool = True) -> DataFrame:
     """``made(window)``: a column over a window of the last ``size`` rows, the own
-    one included."""
+    one included; without ``frame``, for functions that count rows themselves."""
     cut = blocks(df, group, order, halo=size - 1, rows=rows)
-    w = Window.partitionBy(*group, "__block").orderBy("__pos").rowsBetween(1 - size, 0)
+    w = Window.partitionBy(*group, "__block").orderBy("__pos")
+    w = w.rowsBetween(1 - size, 0) if frame else w
     return cut.withColumn(out, made(w)).filter("__own").select(*df.columns, out)

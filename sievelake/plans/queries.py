@@ -12,6 +12,7 @@ from ..functions.record import Record, where_record
 from ..operators import aggregations as A
 from ..operators import parsing
 from ..operators import predicates as P
+from ..operators import rollups
 from ..operators import rules as R
 from ..operators.search import Search, visible
 from ..sources import tables
@@ -346,20 +347,19 @@ def adjacency_matrix(spark, d):
 @query("SELECT count(*) AS everything, count(*) FILTER (WHERE event_type = 'error') AS matching FROM events")
 def global_agg(spark, d):
     events = _t(spark, d, "events")
-    everything = events.agg(F.count(F.lit(1)).alias("everything"))
-    return everything.join(events.filter(P.term("event_type", "error")).agg(F.count(F.lit(1)).alias("matching")))
+    return A.overall(events, {"matching": P.term("event_type", "error")})
 
 
 @query("WITH f AS (SELECT source k, count(*) n FROM documents WHERE lang = 'de' GROUP BY 1), b AS (SELECT source k, count(*) n FROM documents GROUP BY 1), t AS (SELECT (SELECT count(*) FROM documents WHERE lang = 'de')::DOUBLE fn, (SELECT count(*) FROM documents)::DOUBLE bn) SELECT f.k AS key, f.n AS doc_count, round((f.n / fn - b.n / bn) * ((f.n / fn) / (b.n / bn)), 8) AS score FROM f JOIN b ON f.k = b.k, t WHERE f.n >= 3 AND f.n / fn > b.n / bn ORDER BY (f.n / fn - b.n / bn) * ((f.n / fn) / (b.n / bn)) DESC, 1 LIMIT 100")
 def significant_terms(spark, d):
     docs = _t(spark, d, "documents")
-    return A.significant_terms(docs.filter(P.term("lang", "de")), docs, "source", 100).select("key", "doc_count", _r("score", 8).alias("score"))
+    return A.significant_terms(docs, P.term("lang", "de"), "source", 100).select("key", "doc_count", _r("score", 8).alias("score"))
 
 
 @query(f"WITH w AS (SELECT lang, unnest(list_distinct({TOKENS})) k FROM documents), f AS (SELECT k, count(*) n FROM w WHERE lang = 'fr' GROUP BY 1), b AS (SELECT k, count(*) n FROM w GROUP BY 1), t AS (SELECT (SELECT count(*) FROM documents WHERE lang = 'fr')::DOUBLE fn, (SELECT count(*) FROM documents)::DOUBLE bn) SELECT f.k AS key, f.n AS doc_count, round((f.n / fn - b.n / bn) * ((f.n / fn) / (b.n / bn)), 8) AS score FROM f JOIN b ON f.k = b.k, t WHERE f.n >= 3 AND f.n / fn > b.n / bn ORDER BY (f.n / fn - b.n / bn) * ((f.n / fn) / (b.n / bn)) DESC, 1 LIMIT 20")
 def significant_text(spark, d):
     docs = _t(spark, d, "documents")
-    return A.significant_text(docs.filter(P.term("lang", "fr")), docs, "text", 20).select("key", "doc_count", _r("score", 8).alias("score"))
+    return A.significant_text(docs, P.term("lang", "fr"), "text", 20).select("key", "doc_count", _r("score", 8).alias("score"))
 
 
 def _nested_orders(spark, d) -> DataFrame:
@@ -452,6 +452,42 @@ def moving_avg_ewma(spark, d):
     return A.moving_avg(_days(spark, d), "doc_count", 5, "ewma").select("key", _r("moving_avg").alias("mean"))
 
 
+@query("SELECT l_orderkey AS key, doc_count, CAST(sum(doc_count) OVER (ORDER BY l_orderkey) AS BIGINT) AS running, doc_count - lag(doc_count, 3) OVER (ORDER BY l_orderkey) AS change, round(avg(doc_count) OVER (ORDER BY l_orderkey ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS mean FROM (SELECT l_orderkey, count(*) AS doc_count FROM lineitem GROUP BY 1)")
+def running_unbounded(spark, d):
+    """A bucket for every order: no task sees them all."""
+    orders = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.count(F.lit(1)).alias("doc_count"))
+    found = A.cumulative_sum(orders, "doc_count", "running")
+    found = A.serial_diff(found, "doc_count", 3, "change")
+    return A.moving_avg(found, "doc_count", 7, out="mean").withColumn("mean", _r("mean"))
+
+
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity ROWS UNBOUNDED PRECEDING), 2) AS running FROM lineitem")
+def running_by_parent(spark, d):
+    items = _t(spark, d, "lineitem").withColumn("key", F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"))
+    return A.cumulative_sum(items, "l_quantity", "running", parent=["l_suppkey"]).select("l_suppkey", "l_orderkey", "l_linenumber", _r("running", 2).alias("running"))
+
+
+@query("SELECT 0 AS level, date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS doc_count, true AS median_ok, true AS users_ok FROM events GROUP BY ALL UNION ALL SELECT 1, date_trunc('day', ts)::TIMESTAMP, NULL, count(*), true, true FROM events GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, count(*), true, true FROM events")
+def sketch_rollup(spark, d):
+    """Medians and users of three levels from one reading, held against exact ones:
+    the median's rank and the number of users lie within the stated errors."""
+    events = _t(spark, d, "events").withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    what = rollups.Sketches({"value": "value"}, {"users": "user_id"})
+    found = rollups.rollup(events, [["day", "event_type"], ["day"], []], what, (50,))
+    levels = None
+    for n, keys in enumerate((["day", "event_type"], ["day"], [])):
+        own = found.filter(F.col("level") == n)
+        same = F.lit(True)
+        for k in keys:
+            same = same & (F.col(f"o.{k}") == F.col(f"e.{k}"))
+        joined = events.withColumn("one", F.lit(1)).alias("e").join(own.withColumn("one", F.lit(1)).alias("o"), same & (F.col("e.one") == F.col("o.one")))
+        below, upto = F.avg((F.col("value") < F.col("p50_value")).cast("int")), F.avg((F.col("value") <= F.col("p50_value")).cast("int"))
+        exact = F.count_distinct("user_id")
+        held = joined.groupBy("o.level", "o.day", "o.event_type", "o.doc_count", "o.n_users").agg(((below <= 0.5 + what.rank_error) & (upto >= 0.5 - what.rank_error)).alias("median_ok"), (F.abs(F.col("n_users") - exact) <= 4 * what.distinct_error * exact + 1).alias("users_ok"))
+        levels = held if levels is None else levels.union(held)
+    return levels.drop("n_users")
+
+
 @query(f"SELECT key, doc_count FROM {_DAYS} ORDER BY doc_count DESC, key LIMIT 5")
 def bucket_sort(spark, d):
     return A.bucket_sort(_days(spark, d), [F.desc("doc_count"), F.col("key")], 5).select("key", "doc_count")
@@ -647,10 +683,13 @@ def casts_total(spark, d):
     return _t(spark, d, "documents").select("doc_id", casts.cast_int64(F.substring("source", 4, 10)).alias("n"), casts.cast_int64(F.col("lang")).alias("bad"), casts.cast_bool(F.col("source")).alias("b"), casts.sanitize_field(F.concat("source", F.lit("_x.y-"))).alias("f"))
 
 
-@query("SELECT page_id, CASE WHEN regexp_full_match(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\\.)+[a-z]{2,63}') THEN lower(regexp_extract(url, '://([^/?#:]+)', 1)) END AS host, regexp_full_match(md5(url), '[0-9a-f]{32}') AS is_md5 FROM pages")
+_NAMES = "concat(regexp_extract(url, '://([^/?#:]+)', 1), substr('xxxxxxxxxxxxxxxxxxxxxxxx', 1, CAST(page_id % 24 AS INT)))"
+
+
+@query(f"SELECT page_id, CASE WHEN regexp_full_match(lower({_NAMES}), '([a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?\\.)+[a-z]{{2,20}}') THEN lower({_NAMES}) END AS host, regexp_full_match(md5(url), '[0-9a-f]{{32}}') AS is_md5 FROM pages")
 def validate_columns(spark, d):
     pages = _t(spark, d, "pages")
-    return pages.select("page_id", entities.fqdn(F.regexp_extract("url", "://([^/?#:]+)", 1)).alias("host"), entities.digest("md5")(F.md5(F.col("url").cast("binary"))).isNotNull().alias("is_md5"))
+    return pages.select("page_id", entities.fqdn(F.expr(_NAMES)).alias("host"), entities.digest("md5")(F.md5(F.col("url").cast("binary"))).isNotNull().alias("is_md5"))
 
 
 @query()

@@ -1,0 +1,138 @@
+"""Functions along buckets, filled histograms and sketches against plain lists."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from sievelake.operators import aggregations as A
+from sievelake.operators import rollups, scans
+from sievelake.operators import predicates as P
+
+
+def some_buckets(n=700):
+    rng = random.Random(2)
+    rows = [(k, rng.choice(["hot", "hot", "a", None]), None if rng.random() < 0.1 else rng.randrange(50)) for k in rng.sample(range(5000), n)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def buckets(spark):
+    return spark.createDataFrame(some_buckets(), "key long, parent string, v long").repartition(5).cache()
+
+
+def groups(rows, by_parent):
+    out = {}
+    for k, p, v in sorted(rows, key=lambda r: r[0]):
+        out.setdefault(p if by_parent else 0, []).append((k, v))
+    return out
+
+
+@pytest.mark.parametrize("by_parent", [False, True])
+@pytest.mark.parametrize("rows", [3, 64, 1 << 16])
+def test_along_buckets(buckets, by_parent, rows, monkeypatch):
+    for f in (scans.blocks, scans.running_sum, scans.over_last):
+        monkeypatch.setattr(f, "__defaults__", tuple(rows if d == 1 << 16 else d for d in f.__defaults__))
+    parent = ["parent"] if by_parent else []
+    total, change, mean = {}, {}, {}
+    for group in groups(some_buckets(), by_parent).values():
+        seen = None
+        for i, (k, v) in enumerate(group):
+            seen = seen if v is None else (seen or 0) + v
+            total[k] = seen
+            old = group[i - 2][1] if i >= 2 else None
+            change[k] = None if None in (v, old) else v - old
+            last = [x for _, x in group[max(0, i - 3) : i + 1] if x is not None]
+            mean[k] = sum(last) / len(last) if last else None
+    read = lambda df, c: {r["key"]: r[c] for r in df.collect()}
+    assert read(A.cumulative_sum(buckets, "v", parent=parent), "cumulative_sum") == total
+    assert read(A.serial_diff(buckets, "v", 2, parent=parent), "serial_diff") == change
+    got = read(A.moving_avg(buckets, "v", 4, parent=parent), "moving_avg")
+    assert {k: None if v is None else round(v, 9) for k, v in got.items()} == {k: None if v is None else round(v, 9) for k, v in mean.items()}
+
+
+def test_million_buckets_without_a_single_task(spark, monkeypatch):
+    """Only the table of partitions meets in one task, never the buckets."""
+    spark_rows = spark.range(0, 1_000_000, 1, 8).selectExpr("id AS key", "1L AS v")
+    plan = A.serial_diff(spark_rows, "v", 1)._jdf.queryExecution().executedPlan().toString()
+    for window in [line for line in plan.split("\n") if "Window [" in line]:
+        assert "__rows" in window or "__block" in window
+    found = A.cumulative_sum(spark_rows, "v")
+    assert found.filter("cumulative_sum <> key + 1").count() == 0 and found.count() == 1_000_000
+
+
+def test_empty_buckets(buckets):
+    none = buckets.limit(0)
+    assert A.cumulative_sum(none, "v").count() == A.derivative(none, "v").count() == A.moving_avg(none, "v").count() == 0
+
+
+@pytest.mark.parametrize("interval", ["day", "week", "month", "quarter", "year", "hour", "90m", "7d"])
+def test_filled_date_histogram(spark, interval):
+    rng = random.Random(1)
+    times = [datetime(2019, 11, 30) + timedelta(hours=rng.choice([0, 5, 3000, 9000, rng.randrange(9500)])) for _ in range(60)] + [datetime(1969, 5, 5, 7), None]
+    if interval in ("hour", "90m"):
+        times = [t for t in times if t and t.year > 1970][:9]
+    df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
+    plain = {r["key"]: r["doc_count"] for r in A.date_histogram(df, "t", interval).collect()}
+    full = A.date_histogram(df, "t", interval, fill=True).orderBy("key").collect()
+    assert {r["key"]: r["doc_count"] for r in full if r["doc_count"]} == plain
+    keys = [r["key"] for r in full]
+    assert keys == sorted(set(keys)) and keys[0] == min(plain) and keys[-1] == max(plain)
+    gaps = {b - a for a, b in zip(keys, keys[1:])}
+    if interval in ("month", "quarter", "year"):
+        months = {"month": 1, "quarter": 3, "year": 12}[interval]
+        assert {(b.year - a.year) * 12 + b.month - a.month for a, b in zip(keys, keys[1:])} == {months}
+    else:
+        assert len(gaps) == 1
+
+
+def test_filled_histogram(spark):
+    df = spark.createDataFrame([(0.05,), (-0.31,), (2.0,), (None,), (2.04,)], "x double")
+    got = A.histogram(df, "x", 0.1, fill=True).orderBy("key").collect()
+    assert len(got) == 25 and sum(r["doc_count"] for r in got) == 4
+    assert A.histogram(df.limit(0), "x", 0.1, fill=True).count() == 0
+
+
+def test_significance_in_one_pass(spark, sf, monkeypatch):
+    read = []
+    monkeypatch.setattr(A, "written", lambda df, name, f=A.written: read.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, name))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = A.significant_text(docs, P.term("lang", "fr"), "text", 5)
+    assert found.count() == 5 and len(read) == 1 and read[0].count("FileScan") == 1
+    numbers = A.significant_terms(docs, P.term("lang", "fr"), "n_chars", 5, 1)
+    assert dict(numbers.dtypes)["key"] == "bigint"
+    assert A.significant_terms(docs.limit(0), P.term("lang", "fr"), "source").count() == 0
+
+
+def test_sketches_within_their_errors(spark):
+    rng = random.Random(7)
+    rows = [(f"d{i % 4}", rng.choice("ab"), rng.lognormvariate(0, 2), rng.randrange(20_000)) for i in range(60_000)]
+    df = spark.createDataFrame(rows, "day string, kind string, x double, user long").repartition(6)
+    what = rollups.Sketches({"x": "x"}, {"users": "user"})
+    percents = (5, 50, 95, 99)
+    out = rollups.rollup(df, [["day", "kind"], ["day"], []], what, percents).collect()
+    assert len(out) == 8 + 4 + 1 and sum(r["doc_count"] for r in out if r["level"] == 0) == 60_000
+    for r in out:
+        own = [x for x in rows if r["day"] in (None, x[0]) and r["kind"] in (None, x[1])]
+        values = sorted(x[2] for x in own)
+        assert r["doc_count"] == len(own)
+        for p in percents:
+            rank = sum(v <= r[f"p{p}_x"] for v in values) / len(values)
+            assert abs(rank - p / 100) <= 1.5 * what.rank_error
+        assert abs(r["n_users"] / len({x[3] for x in own}) - 1) <= 4 * what.distinct_error
+
+
+def test_sketches_of_two_days_add_up(spark):
+    df = spark.range(4000).selectExpr("id % 2 AS day", "cast(id AS double) AS x", "if(id < 10, null, id % 100) AS u")
+    what = rollups.Sketches({"x": "x"}, {"u": "u"})
+    first, second = (rollups.sketched(df.filter(F.col("day") == d), [], what) for d in (0, 1))
+    both = rollups.estimates(rollups.merged(first.union(second), [], what), [], what, (50,)).first()
+    assert both["doc_count"] == 4000 and abs(both["p50_x"] - 2000) < 4000 * what.rank_error and both["n_u"] == 100
+    none = rollups.estimates(rollups.sketched(df.limit(0), [], what), [], what, (50,)).first()
+    assert none["doc_count"] == 0 and none["p50_x"] is None and none["n_u"] == 0
+
+
+def test_levels_must_nest(spark):
+    with pytest.raises(ValueError):
+        rollups.rollup(spark.range(1), [["a"], ["b"]], rollups.Sketches())
