@@ -173,16 +173,11 @@ def adversary(x: Column) -> Column:
     return _if(other.isNull(), text(x))
 
 
-@F.pandas_udf(StringType())
-def expression(x: pd.Series) -> pd.Series:
-    def one(v):
-        try:
-            re.compile(v)
-        except (re.error, TypeError):
-            return None
-        return v
-
-    return x.map(one)
+def expression(x: Column) -> Column:
+    """A pattern that the engine accepts that would run it; named groups may be
+    written either way."""
+    plain = F.regexp_replace(x, r"(?<!\\)((?:\\\\)*)\(\?P?<[A-Za-z]\w*>", "$1(")
+    return _if(F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), plain).isNotNull(), x)
 
 
 @F.pandas_udf(StringType())

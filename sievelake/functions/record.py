@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,8 +38,9 @@ def engine_pattern(pattern: str) -> str:
     return re.sub(r"(?<!\\)((?:\\\\)*)\(\?P<(\w+)>", lambda m: f"{m[1]}(?<{m[2].replace('_', 'U')}>", pattern)
 
 
-def compiles(pattern: str) -> bool:
-    """Whether the engine that will run a pattern accepts it."""
+def groups(pattern: str) -> int | None:
+    """How many groups a pattern has for the engine that will run it; None where it
+    refuses the pattern."""
     from py4j.protocol import Py4JJavaError
     from pyspark.errors import IllegalArgumentException
 
@@ -47,10 +48,14 @@ def compiles(pattern: str) -> bool:
     if spark is None:
         raise RuntimeError("patterns are checked by the session that runs them; start one first")
     try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+        return spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
     except (Py4JJavaError, IllegalArgumentException):
-        return False
-    return True
+        return None
+
+
+def compiles(pattern: str) -> bool:
+    """Whether the engine that will run a pattern accepts it."""
+    return groups(pattern) is not None
 
 
 def where_record(df: DataFrame, column: str, condition: Callable[[Record], Column], **options) -> DataFrame:
@@ -68,8 +73,29 @@ def _any(parts: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts, F.lit(False))
 
 
+#: Functions of the user's own, by name.
+_CUSTOM: dict[str, Callable[..., Column]] = {}
+
+
+def register(name: str) -> Callable:
+    """Decorate ``f(record, *args)``, which gives a column, as ``record.name(*args)``."""
+    if not name.isidentifier() or hasattr(Record, name):
+        raise ValueError(f"not a free name: {name}")
+
+    def add(f: Callable[..., Column]) -> Callable[..., Column]:
+        _CUSTOM[name] = f
+        return f
+
+    return add
+
+
 class Record:
-    """Functions over one record column."""
+    """Functions over one record column, and those that were registered."""
+
+    def __getattr__(self, name: str) -> Callable[..., Column]:
+        if name not in _CUSTOM:
+            raise AttributeError(f"no such record function: {name}")
+        return partial(_CUSTOM[name], self)
 
     def __init__(self, column: Column | str, templates: dict[str, str] | None = None, is_json: bool = True):
         column = F.col(column) if isinstance(column, str) else column

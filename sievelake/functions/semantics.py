@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .casts import number
 from .entities import validate
 
 #: Each semantic type and the kind of validator that checks it.
@@ -155,3 +156,39 @@ def attributes(columns: dict[str, Column]) -> Column:
         raise ValueError(f"no such semantic types: {unknown}")
     pairs = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n), c.cast("string"))) for n, c in columns.items()]))
     return F.map_from_entries(pairs)
+
+
+#: Spark types of kinds that are not strings.
+_STORED = {"integer": "bigint", "port": "bigint", "float": "double"}
+
+
+def stored_type(name: str) -> str:
+    """The Spark type of an attribute."""
+    if name not in KINDS:
+        raise ValueError(f"no such semantic type: {name}")
+    return _STORED.get(KINDS[name], "string")
+
+
+def coerced(value: Column, kind: str, to: str) -> tuple[Column, Column]:
+    """(the value in a type, whether it could be): strings print anything; whole
+    numbers take numbers, cut off, and plain decimal digits; fractions take numbers
+    and strings that read as one.  Null becomes null; truth values are no numbers."""
+    if to == "string":
+        return value.cast("string"), F.lit(True)
+    numeric = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+    if numeric:
+        return value.try_cast(to), value.isNull() | value.try_cast(to).isNotNull()
+    if kind == "string":
+        read = F.when(value.rlike(r"^[+-]?[0-9]+$"), value.try_cast("bigint")) if to == "bigint" else number(value)
+        return read, value.isNull() | read.isNotNull()
+    return F.lit(None).cast(to), value.isNull()
+
+
+def set_attribute(df: DataFrame, name: str, value: Column, found: str | None = None) -> DataFrame:
+    """``df`` with the attribute ``name`` set to a value coerced to its type; a value
+    that cannot be leaves the old one.  ``found`` names a column for whether it was set."""
+    to = stored_type(name)
+    new, good = coerced(value, df.select(value.alias("v")).dtypes[0][1], to)
+    old = F.col(f"`{name}`") if name in df.columns else F.lit(None).cast(to)
+    out = {name: F.when(good, new).otherwise(old)} | ({found: good} if found else {})
+    return df.withColumns(out)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import casts
+from ..functions.record import engine_pattern, groups
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -53,8 +54,10 @@ def grok(source: str, patterns: Sequence[tuple[str, str]], templates: dict[str,
     def step(df: DataFrame) -> DataFrame:
         before = ""
         for name, pattern in patterns:
-            groups = 1 + re.compile(before).groups
-            df = _put(df, name, F.regexp_extract(source, f"^{before}({expand(pattern)})", groups), where)
+            held = groups(engine_pattern(before))  # counted by the engine that runs them
+            if held is None or groups(engine_pattern(expand(pattern))) is None:
+                raise ValueError(f"not a pattern: {pattern}")
+            df = _put(df, name, F.regexp_extract(source, engine_pattern(f"^{before}({expand(pattern)})"), held + 1), where)
             before += f"(?:{expand(pattern)})"
         return df
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import casts, entities, geo, net, text
-from ..functions.record import Record, where_record
+from ..functions import casts, entities, geo, net, semantics, text
+from ..functions.record import Record, register, where_record
 from ..operators import aggregations as A
 from ..operators import parsing
 from ..operators import predicates as P
@@ -16,6 +17,8 @@ from ..operators import rollups
 from ..operators import rules as R
 from ..operators.search import Search, visible
 from ..sources import tables
+from ..sources.keyed import KeyedTable
+from ..sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -562,6 +565,23 @@ def record_safe(spark, d):
     return _records(spark, d).select("event_id", r.safe("user_text", 0).alias("n"), r.safe("event_type", "").alias("t"), r.safe("even", False).alias("b"), r.safe("no.such", 7).alias("missing"), p.safe("k", -1).alias("k"))
 
 
+@register("between_numbers")
+def _between_numbers(record: Record, path: str, low: float, high: float) -> Column:
+    return F.coalesce(record.number(path).between(low, high), F.lit(False))
+
+
+_record("record_custom", lambda r: r.between_numbers("user_text", 100, 300) & r.exists("list.0.type"), "user_id BETWEEN 100 AND 300")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 80 WHEN event_id % 3 = 1 THEN user_id ELSE 80 END AS port, event_id % 3 <> 2 AS was_set, CAST(user_id AS VARCHAR) AS hostname FROM events")
+def set_attributes(spark, d):
+    """A number written as text is read, other text leaves the old value."""
+    events = _t(spark, d, "events").select("event_id", F.lit(80).cast("long").alias("port"), "user_id")
+    text_ = F.when(F.col("event_id") % 3 == 0, "80").when(F.col("event_id") % 3 == 1, F.col("user_id").cast("string")).otherwise("none")
+    found = semantics.set_attribute(events, "port", text_, "was_set")
+    return semantics.set_attribute(found, "hostname", F.col("user_id")).drop("user_id")
+
+
 # ---- rules -----------------------------------------------------------------------
 
 _AFTER = "SELECT e.event_id FROM events e JOIN events h ON h.user_id = e.user_id AND h.event_type = 'click' AND h.ts <= e.ts AND h.ts >= e.ts - INTERVAL {w} WHERE e.event_type = 'error' GROUP BY 1 HAVING count(*) >= {n}"
@@ -675,6 +695,37 @@ def parse_csv_kv(spark, d):
     return parsing.parse(made, steps).select("event_id", "a", "b", "day", "y")
 
 
+@query("SELECT page_id, 'n' || CAST(page_id % 7 AS VARCHAR) AS name, CAST(page_id AS BIGINT) AS n, v AS part FROM pages, unnest([1, 2, CAST(page_id % 5 AS INT)]) u(v)")
+def parse_xml_expand(spark, d):
+    made = _t(spark, d, "pages").select("page_id", F.format_string("<r><name>n%d</name><n>%d</n><p>1</p><p>2</p><p>%d</p></r>", F.col("page_id") % 7, "page_id", F.col("page_id") % 5).alias("raw"))
+    steps = [parsing.xml("raw", "x", "name string, n long, p array<int>"), parsing.dynamic(lambda df: df.select("page_id", "x.name", "x.n", "x.p")), parsing.expand("p", "part")]
+    return parsing.parse(made, steps).select("page_id", "name", "n", "part")
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages")
+def parse_engine_patterns(spark, d):
+    """Patterns that only the engine knows, with groups of their own."""
+    steps = [parsing.grok("url", [("scheme", r"(\p{Ll})+"), ("sep", "(:)(//)"), ("host", r"[^/?#]++")])]
+    return parsing.parse(_t(spark, d, "pages"), steps).select("page_id", "scheme", "host")
+
+
+# ---- stored tables -------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 1 THEN 'X' ELSE o_orderstatus END AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 5 <> 2")
+def keyed_table(spark, d):
+    """Three batches on a stored table, the second tried twice."""
+    orders = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    table = KeyedTable(spark, f"{shared_folder(spark)}/keyed-{uuid.uuid4().hex}", orders.schema, "o_orderkey", 16)
+    item = lambda action, df: df.withColumns({"action": F.lit(action), "seq": F.lit(0).cast("long")})
+    table.apply(item("index", orders), 0)
+    changes = item("update", orders.filter("o_orderkey % 5 = 1").withColumns({"status": F.lit("X"), "price": F.lit(None).cast("double")}))
+    for _ in range(2):
+        table.apply(changes, 1)
+    table.apply(item("delete", orders.filter("o_orderkey % 5 = 2")), 2)
+    return table.rows()
+
+
 # ---- scalars -----------------------------------------------------------------------
 
 

@@ -7,6 +7,8 @@ the current rows and the changes, which the caller writes where it wants.
 from __future__ import annotations
 
 import fnmatch
+import posixpath
+import re
 import time
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -26,6 +28,26 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return spark.read.schema(schema).json(path) if schema else spark.read.json(path)
 
 
+def natural(name: str) -> list[tuple[int, int]]:
+    """A sort key: runs of digits by their number, before other characters."""
+    parts = re.findall(rb"[0-9]+|[^0-9]", name.encode("utf-8", "surrogateescape"), re.S)
+    return [(0, int(p)) if p.isdigit() else (1, p[0]) for p in parts]
+
+
+def list_files(spark: SparkSession, folder: str, extension: str) -> list[str]:
+    """Files below a folder, in any store, that end in ``.yaml`` or the like, in the
+    natural order of their names; none if there is no folder."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, out = (fs.listFiles(path, True) if fs.exists(path) else None), []
+    while found is not None and found.hasNext():
+        at = found.next().getPath()
+        if posixpath.splitext(at.getName())[1] == extension or at.getName() == extension:
+            out.append((at.getName(), at.toString()))
+    return [p for _, p in sorted(out, key=lambda x: (natural(x[0]), x[1]))]
+
+
 def read_tables(tables: dict[str, DataFrame], patterns: Sequence[str]) -> DataFrame:
     """Union of the tables whose names match, with ``_index`` naming each."""
     names = [n for n in sorted(tables) if any(fnmatch.fnmatchcase(n, p) for p in patterns)]
