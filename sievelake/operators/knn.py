@@ -29,7 +29,7 @@ def squared_l2(column: Column, values: Sequence[float]) -> Column:
 def cosine(column: Column, values: Sequence[float]) -> Column:
     own = F.sqrt(_sum(F.transform(column, lambda a: a.cast("double") * a.cast("double"))))
     length = sum(float(v) * float(v) for v in values) ** 0.5
-    return inner_product(column, values) / (own * F.lit(length))
+    return F.try_divide(inner_product(column, values), own * F.lit(length))
 
 
 def score(column: Column, values: Sequence[float], space: str = "l2") -> Column:
@@ -51,9 +51,11 @@ def distance(column: Column, values: Sequence[float], space: str = "l2") -> Colu
 
 
 def nearest(df: DataFrame, id_column: str, column: str, vector: Sequence[float], k: int, space: str = "l2", min_score: float | None = None, max_distance: float | None = None, boost: float = 1.0) -> DataFrame:
-    """The ``k`` best rows with ``_score``; ties by id.  A top-k, no full sort."""
+    """The ``k`` best rows with ``_score``; ties by id.  A top-k, no full sort.
+
+    Rows without a score, as of a zero vector under ``cosinesimil``, are left out."""
     right = F.size(column) == len(vector)
-    found = df.filter(right).withColumn("_score", score(F.col(column), vector, space) * F.lit(float(boost)))
+    found = df.filter(right).withColumn("_score", score(F.col(column), vector, space) * F.lit(float(boost))).filter("_score IS NOT NULL")
     if min_score is not None:
         found = found.filter(F.col("_score") >= min_score)
     if max_distance is not None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import casts, entities, geo, net, semantics, text
 from ..functions.record import Record, register, where_record
 from ..operators import aggregations as A
-from ..operators import parsing
+from ..operators import ivf, parsing
 from ..operators import predicates as P
 from ..operators import rollups
 from ..operators import rules as R
@@ -217,6 +217,16 @@ def knn_max_distance(spark, d):
     return _near(spark, d, max_distance=1.8)
 
 
+def _index(spark, d) -> ivf.VectorIndex:
+    return ivf.VectorIndex.build(_t(spark, d, "embeddings"), "vec_id", "embedding", f"{shared_folder(spark)}/ivf-{uuid.uuid4().hex}", clusters=32)
+
+
+@query(f"SELECT vec_id, round(1 / (1 + {_D2}), 6) AS score FROM embeddings ORDER BY {_D2}, vec_id LIMIT 10")
+def knn_index(spark, d):
+    """All clusters of an inverted file, chosen by codes and scored exactly."""
+    return _index(spark, d).search(_V, 10, nprobe=32, oversample=10).select("vec_id", _r(F.col("_score"), 6).alias("score"))
+
+
 # ---- metrics -----------------------------------------------------------------
 
 
