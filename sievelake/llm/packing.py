@@ -19,7 +19,7 @@ the text.
 
 Defined results: a null text has length 0 and is put in the first bucket; a
 document longer than the budget fills batches of its own; equal lengths are
-ordered by a digest of the id; repeated rows are packed each; a very long text is
+ordered by a digest of the row; repeated rows are packed each; a very long text is
 one row of one batch, held whole; an empty table gives an empty result.  Input
 columns named like an output column are replaced.
 """
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,9 @@ from .token_files import encoder_for
 
 BATCH = "bucket int, batch long, bucket_len long, n_rows int, ids binary, mask binary"
 PLACED = "n_tokens long, bucket int, bucket_len long, batch long, row_in_batch long, padding long, ids_crc32 long"
+#: Whether a row's batch is of its cell alone.
+WHOLE = "in__cell"
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -112,10 +115,13 @@ def length_histogram(sized: DataFrame, most_lengths: int) -> tuple[np.ndarray, n
 
 def place(sized: DataFrame, buckets: int = 16, budget: int = 65_536, most_lengths: int = 65_536, cell_rows: int = 50_000) -> DataFrame:
     """``sized`` (doc_id, n_tokens and more) with bucket, bucket_len, batch,
-    row_in_batch and padding; ``batch`` counts from 0 within the bucket.
+    row_in_batch, padding and ``WHOLE``; ``batch`` counts from 0 within the bucket.
 
-    A bucket is ranked in cells of about ``cell_rows`` rows, which grow in number
-    with the table.
+    A bucket is cut into cells of about ``cell_rows`` rows, which grow in number
+    with the table.  A cell's rows, in order, fill batches of the cell's own
+    (``WHOLE``); what is left over, less than a batch a cell, fills batches behind
+    those, with what other cells leave.  Only counts of cells are needed for
+    that, so the rows with all they carry are dealt out once.
     """
     lengths, counts, _ = length_histogram(sized.select("n_tokens"), most_lengths)
     ends = optimal_boundaries(lengths, counts, buckets) or [0]
@@ -123,16 +129,32 @@ def place(sized: DataFrame, buckets: int = 16, budget: int = 65_536, most_length
     while 16**digits * cell_rows < counts.sum() and digits < 8:
         digits += 1
     bucket = F.coalesce(*[F.when(F.col("n_tokens") <= e, F.lit(i)) for i, e in enumerate(ends)])
-    out = sized.withColumn("bucket", bucket).withColumn("bucket_len", F.element_at(F.array(*[F.lit(e).cast("long") for e in ends]), F.col("bucket") + 1))
-    out = out.withColumn("__salt", salt(F.col("doc_id"), digits))
-    out = common.rank_in_cells(out, ["bucket"], ["__salt"], [F.col("n_tokens"), F.col("doc_id")], "__rank").drop("__salt")
-    rows = F.greatest(F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1))), F.lit(1)).cast("long")
-    at = F.col("__rank") - 1
-    return (
-        out.withColumn("batch", F.floor(at / rows).cast("long"))
-        .withColumn("row_in_batch", F.pmod(at, rows).cast("long"))
-        .withColumn("padding", F.col("bucket_len") - F.col("n_tokens"))
-        .drop("__rank")
+    length = F.element_at(F.array(*[F.lit(e).cast("long") for e in ends]), F.col("bucket") + 1)
+    # ties end with a digest, so that rows dealt out anew after a lost executor stand the same
+    digest = F.xxhash64(*[F.col(f"`{f.name}`") for f in sized.schema.fields if not isinstance(f.dataType, T.MapType)])
+    keyed = sized.withColumn("bucket", bucket).withColumn("__cell", salt(F.col("doc_id"), digits))
+    each = F.greatest(F.floor(F.lit(budget) / F.greatest(length, F.lit(1))), F.lit(1)).cast("long")
+    cells = keyed.groupBy("bucket", "__cell").agg(F.count(F.lit(1)).alias("__n")).withColumn("bucket_len", length).withColumn("__each", each)
+    cells = cells.withColumn("__full", F.floor(F.col("__n") / F.col("__each")).cast("long"))
+    every = Window.partitionBy("bucket")
+    before = every.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.col("__n") - F.col("__full") * F.col("__each")
+    cells = cells.select("bucket", "__cell", "bucket_len", "__each", "__full", F.coalesce(F.sum("__full").over(before), F.lit(0)).alias("__own"), F.sum("__full").over(every).alias("__all"), F.coalesce(F.sum(rest).over(before), F.lit(0)).alias("__rest"))
+    out = keyed.join(cells, ["bucket", "__cell"])
+    order = Window.partitionBy("bucket", "__cell").orderBy("n_tokens", "doc_id", digest)
+    out = out.withColumn("__at", F.row_number().over(order) - 1)
+    whole = F.col("__at") < F.col("__full") * F.col("__each")
+    left = F.col("__rest") + F.col("__at") - F.col("__full") * F.col("__each")
+    rank = F.when(whole, F.col("__own") * F.col("__each") + F.col("__at")).otherwise(F.col("__all") * F.col("__each") + left)
+    out = out.withColumn(WHOLE, whole).withColumn("__rank", rank)
+    return out.select(
+        *sized.columns,
+        "bucket",
+        "bucket_len",
+        F.floor(F.col("__rank") / F.col("__each")).cast("long").alias("batch"),
+        F.pmod(F.col("__rank"), F.col("__each")).cast("long").alias("row_in_batch"),
+        (F.col("bucket_len") - F.col("n_tokens")).alias("padding"),
+        WHOLE,
     )
 
 
@@ -141,7 +163,7 @@ def id_kind(tokenizer: str) -> str:
     return "<u2" if len(encoder_for(tokenizer).word_end) <= 1 << 16 else "<u4"
 
 
-def encoded(docs: DataFrame, tokenizer: str, block_bytes: int = 8_000_000) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, block_bytes: int = 2_000_000) -> DataFrame:
     """The columns of ``docs`` but ``text``, with n_tokens and ids."""
     docs = docs.select("text", *[c for c in docs.columns if c != "text"])
     schema = T.StructType([*docs.schema.fields[1:], *T._parse_datatype_string("n_tokens long, ids binary").fields])
@@ -163,46 +185,81 @@ def encoded(docs: DataFrame, tokenizer: str, block_bytes: int = 8_000_000) -> Da
 
 def write_batches(placed: DataFrame, path: str, pad_id: int, kind: str) -> None:
     """Write the rows of ``place``, with their ids of a ``kind``, as ``BATCH`` and an array for
-    each further column."""
-    names = ["bucket", "batch", "row_in_batch", "bucket_len", "ids"]
+    each further column.
+
+    Batches of a cell form where its rows already are.  The rows left over are
+    written beside them as they are, and only these few are dealt out once more.
+    """
+    spark = placed.sparkSession
+    names = ["bucket", "batch", "row_in_batch", "bucket_len", "ids", WHOLE]
     extra = [f for f in placed.schema.fields if f.name not in (*names, "n_tokens", "padding")]
-    schema = T.StructType([*T._parse_datatype_string(BATCH).fields, *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in extra]])
-    rows = placed.select(*names, *[f.name for f in extra]).repartition("bucket", "batch").sortWithinPartitions("bucket", "batch", "row_in_batch")
+    schema = T.StructType([*T._parse_datatype_string(BATCH).fields, *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in extra], T.StructField("__place", T.LongType()), T.StructField(WHOLE, T.BooleanType())])
+    # ``place`` has sorted the rows by cell; those of a batch stand together
+    rows = placed.select(*names, *[f.name for f in extra])
+    made = rows.mapInArrow(_batches(schema, len(extra), pad_id, kind), schema)
+    # both kinds have a file open, so that whole batches need no sort by kind
+    before = spark.conf.get(_WRITERS)
+    spark.conf.set(_WRITERS, 2)
+    try:
+        made.write.partitionBy(WHOLE).option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_WRITERS, before)
+    found = spark.read.schema(schema).parquet(path).filter(~F.col(WHOLE))
+    left = found.select("bucket", "batch", F.col("__place").alias("row_in_batch"), "bucket_len", "ids", F.lit(True).alias(WHOLE), *[F.col(f"`{f.name}`")[0].alias(f.name) for f in extra])
+    left = left.repartition("bucket", "batch").sortWithinPartitions("bucket", "batch", "row_in_batch")
+    left.mapInArrow(_batches(schema, len(extra), pad_id, kind), schema).drop(WHOLE).write.mode("append").option("compression", "zstd").parquet(f"{path}/{WHOLE}=true")
+    rest = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{WHOLE}=false")
+    rest.getFileSystem(spark._jsc.hadoopConfiguration()).delete(rest, True)
+
+
+def _batches(schema: T.StructType, extra: int, pad_id: int, kind: str):
+    """Consecutive rows of a batch as one row; rows that are left over each for itself,
+    with their ids as they came and their place."""
+
+    def row(part: pa.Table, ids: bytes, mask: bytes | None, place: int | None, whole: bool) -> pa.RecordBatch:
+        n = part.num_rows
+        one = [[part.column(0)[0].as_py()], [part.column(1)[0].as_py()], [part.column(3)[0].as_py()], [n], [ids], [mask]]
+        columns = [pa.array(x, k) for x, k in zip(one, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+        lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), part.column(6 + i).combine_chunks()) for i in range(extra)]
+        return pa.RecordBatch.from_arrays([*columns, *lists, pa.array([place], pa.int64()), pa.array([whole])], names=schema.fieldNames())
+
+    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(parts).combine_chunks()
+        width, blobs = part.column(3)[0].as_py(), part.column(4).to_pylist()
+        table, mask = np.full((len(blobs), width), pad_id, "<u4"), np.zeros((len(blobs), width), bool)
+        for i, blob in enumerate(blobs):
+            ids = np.frombuffer(blob, kind)
+            table[i, : len(ids)], mask[i, : len(ids)] = ids, True
+        return row(part, table.tobytes(), np.packbits(mask).tobytes(), None, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(parts):
-            part = pa.Table.from_batches(parts).combine_chunks()
-            width, blobs = part.column(3)[0].as_py(), part.column(4).to_pylist()
-            table, mask = np.full((len(blobs), width), pad_id, "<u4"), np.zeros((len(blobs), width), bool)
-            for i, blob in enumerate(blobs):
-                ids = np.frombuffer(blob, kind)
-                table[i, : len(ids)], mask[i, : len(ids)] = ids, True
-            one = [[part.column(0)[0].as_py()], [part.column(1)[0].as_py()], [width], [len(blobs)], [table.tobytes()], [np.packbits(mask).tobytes()]]
-            columns = [pa.array(x, k) for x, k in zip(one, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(blobs)], pa.int32()), part.column(5 + i).combine_chunks()) for i in range(len(extra))]
-            return pa.RecordBatch.from_arrays([*columns, *lists], names=schema.fieldNames())
-
         current, parts = None, []
         for batch in batches:
-            bucket, number = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (number[1:] != number[:-1])) + 1
+            bucket, number, whole = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(5).to_numpy(zero_copy_only=False)
+            changed = (bucket[1:] != bucket[:-1]) | (number[1:] != number[:-1]) | ~whole[1:] | ~whole[:-1]
+            cuts = np.flatnonzero(changed) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                if b > a:
-                    if parts and (bucket[a], number[a]) != current:
-                        yield flush(parts)
-                        parts = []
+                if b == a:
+                    continue
+                if parts and (not whole[a] or (bucket[a], number[a]) != current):
+                    yield flush(parts)
+                    parts = []
+                if whole[a]:
                     current = (bucket[a], number[a])
                     parts.append(batch.slice(a, b - a))
+                else:
+                    part = pa.Table.from_batches([batch.slice(a, 1)])
+                    yield row(part, part.column(4)[0].as_py(), None, part.column(2)[0].as_py(), False)
         if parts:
             yield flush(parts)
 
-    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    return run
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """A row for each document in the batches: its further columns and ``PLACED``."""
     stored = spark.read.parquet(path)
-    extra = [f for f in stored.schema.fields if f.name not in [c.split()[0] for c in BATCH.split(", ")]]
+    extra = [f for f in stored.schema.fields if f.name not in ("__place", WHOLE, *[c.split()[0] for c in BATCH.split(", ")])]
     schema = T.StructType([*[T.StructField(f.name, f.dataType.elementType) for f in extra], *T._parse_datatype_string(PLACED).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
