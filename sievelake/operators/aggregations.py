@@ -74,6 +74,32 @@ def percentiles(field, percents: Sequence[float] = PERCENTS, exact: bool = False
     return {f"p{p:g}".replace(".", "_"): found[i] for i, p in enumerate(percents)}
 
 
+def exact_percentiles(df: DataFrame, field, percents: Sequence[float] = PERCENTS, by: Sequence[str] = ()) -> DataFrame:
+    """Exact percentiles, interpolated, of all rows or of each group, as ``p95``.
+
+    Equal values are counted first; the counts are summed along the values by
+    ranges (``scans``), and each percentile is the first value that its place
+    reaches.  No task or buffer holds all values, however many there are.
+    """
+    counts = df.select(*by, col(field).cast("double").alias("__v")).filter("__v IS NOT NULL AND NOT isnan(__v)").groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    upto = written(scans.running_sum(counts, "__n", by, [F.asc("__v")], "__upto"), "upto")
+    totals = upto.groupBy(*by).agg(F.max("__upto").alias("__total"))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(f"a.{b}").eqNullSafe(F.col(f"b.{b}"))
+    if by:
+        joined = upto.alias("a").join(totals.alias("b"), same).select(*[F.col(f"a.{b}") for b in by], "__v", "__upto", "__total")
+    else:
+        joined = upto.withColumn("__total", F.lit(totals.first()["__total"]).cast("long"))  # one number
+    out = []
+    for p in percents:
+        place = (F.col("__total") - 1) * F.lit(p / 100)
+        low, high = (F.min(F.when(F.col("__upto") > f(place), F.col("__v"))) for f in (F.floor, F.ceil))
+        part = F.max(place - F.floor(place))
+        out.append((low + (high - low) * part).alias(f"p{p:g}".replace(".", "_")))
+    return joined.groupBy(*by).agg(*out)
+
+
 def percentile_ranks(field, values: Sequence[float]) -> Metrics:
     """Percent of values at most each given one."""
     return {f"rank_{v:g}".replace(".", "_").replace("-", "m"): F.avg(F.when(col(field).isNotNull(), (col(field) <= F.lit(v)).cast("int"))) * 100 for v in values}

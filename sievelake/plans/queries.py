@@ -501,6 +501,13 @@ def sketch_rollup(spark, d):
     return levels.drop("n_users")
 
 
+@query("SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p / 100}), 4) AS p{p}" for p in (1, 25, 50, 99)) + " FROM lineitem GROUP BY 1")
+def percentiles_by_ranges(spark, d):
+    """Exact percentiles by group, without a buffer of values."""
+    found = A.exact_percentiles(_t(spark, d, "lineitem"), "l_extendedprice", (1, 25, 50, 99), ["l_returnflag"])
+    return found.select("l_returnflag", *[_r(f"p{p}").alias(f"p{p}") for p in (1, 25, 50, 99)])
+
+
 @query(f"SELECT key, doc_count FROM {_DAYS} ORDER BY doc_count DESC, key LIMIT 5")
 def bucket_sort(spark, d):
     return A.bucket_sort(_days(spark, d), [F.desc("doc_count"), F.col("key")], 5).select("key", "doc_count")

@@ -136,3 +136,25 @@ def test_sketches_of_two_days_add_up(spark):
 def test_levels_must_nest(spark):
     with pytest.raises(ValueError):
         rollups.rollup(spark.range(1), [["a"], ["b"]], rollups.Sketches())
+
+
+def test_exact_percentiles(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(["hot", "hot", None, "b"]), rng.choice([1.0, 1.0, 2.5, rng.random() * 9, None, float("nan")])) for _ in range(900)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(4)
+
+    def at(values, p):
+        place = (len(values) - 1) * p / 100
+        low = int(place)
+        return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (place - low)
+
+    by = {}
+    for g, x in rows:
+        if x is not None and x == x:
+            by.setdefault(g, []).append(x)
+    percents = (0, 1, 50, 97.5, 100)
+    got = {r["g"]: [round(v, 9) for v in r[1:]] for r in A.exact_percentiles(df, "x", percents, ["g"]).collect()}
+    assert got == {g: [round(at(sorted(v), p), 9) for p in percents] for g, v in by.items()}
+    every = sorted(x for v in by.values() for x in v)
+    assert [round(v, 9) for v in A.exact_percentiles(df, "x", percents).first()] == [round(at(every, p), 9) for p in percents]
+    assert A.exact_percentiles(df.limit(0), "x", percents).first()["p50"] is None
