@@ -10,6 +10,9 @@ from sievelake.operators import predicates as P
 from sievelake.operators.search import Search, visible
 
 
+# Small tables of documents and the hits that searches must give on them.
+
+
 @pytest.fixture(scope="module")
 def indicators(spark):
     rows = [("1", "ip", "active", 8, "threat", ["public"]), ("2", "domain", "active", 5, "indicator", ["public"]), ("3", "ip", "inactive", 3, "indicator", ["public"]), ("4", "url", "active", 9, "threat", ["private"]), ("5", "domain", "active", 2, "benign", ["public"])]
