@@ -266,7 +266,8 @@ class FoldState(StatefulProcessor):
 
 def fold_stream(alerts: DataFrame, by: Sequence[str], within: str, late: str, ts: str = "ts", key: str = "event_id") -> DataFrame:
     """``fold_alerts`` on a stream: each alert, once the watermark has passed it, with
-    ``parent_id``, the id of the first of its run.  Start it in ``keyed_state``."""
+    ``parent_id``, the id of the first of its run.  Start it in ``keyed_state``.  A
+    run's state goes once no alert can join it; without a bound it stays, a row a key."""
     bound = seconds(within)
     kind = alerts.schema[key].dataType
     whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in alerts.columns]), _STAMP)
