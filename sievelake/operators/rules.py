@@ -114,7 +114,8 @@ CELLS = 1024
 
 
 def _counts(tags: DataFrame, cells: int = CELLS) -> DataFrame:
-    """(probe, id, hits) from tagged rows: history counted up to each probe.
+    """(probe, id, hits), a row for each probe of tagged rows: history counted up
+    to it, with its sign.
 
     Rows are dealt out by group, keys and a cell of time, so a source that holds
     most of them is in all tasks.  Cells end at quantiles of all times, so none is
@@ -139,7 +140,7 @@ def _counts(tags: DataFrame, cells: int = CELLS) -> DataFrame:
     base = both.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("group", "keys", "cell").orderBy("at", F.desc("past")).rowsBetween(Window.unboundedPreceding, 0)
     found = cut.withColumn("seen", F.sum("past").over(inside)).filter("past = 0").join(base, ["group", "keys", "cell"])
-    return found.groupBy("probe", "id").agg(F.sum(F.col("sign") * (F.col("seen") + F.col("base"))).alias("hits"))
+    return found.select("probe", "id", (F.col("sign") * (F.col("seen") + F.col("base"))).alias("hits"))
 
 
 _TAGGED = ("group", "keys", "at", "past", "probe", "sign")
@@ -261,14 +262,16 @@ def _evaluate_shared(rules: Sequence[Rule], events: DataFrame, ts: str, history:
     then = at if history is None else _micros(history, ts)
     groups: dict[tuple, int] = {}
     sets: dict[tuple, int] = {}
-    past, wanted, clauses, asked_by = [], [], [], []
-    for i, rule in enumerate(rules):
-        asked = [look for look in rule.lookbacks if all(o.count > 0 for o in _options(look))]
-        clauses.append(len(asked))
-        asked_by.append([])
-        for c, look in enumerate(asked):
+    asked: dict[tuple[int, int, int], int] = {}  # (group, set, back): what is counted, once for all rules
+    clauses: dict[tuple, int] = {}  # a search and its alternatives: (least, signed counts) of each
+    past, needs, used = [], [], []
+    for rule in rules:
+        needs.append([])
+        used.append([])
+        for look in (look for look in rule.lookbacks if all(o.count > 0 for o in _options(look))):
+            options = []
             for option in _options(look):
-                span = seconds(option.within)
+                span, terms = seconds(option.within), []
                 for sign, on, _ in _signed(option):
                     condition = _condition(option)
                     same = (tuple(on), str(condition))
@@ -277,8 +280,10 @@ def _evaluate_shared(rules: Sequence[Rule], events: DataFrame, ts: str, history:
                         past.append(F.when(condition, _tag(groups[same], _key(list(on), kinds), then, 1)))
                     own = sets.setdefault(tuple(on.values()), len(sets))
                     ends = [(0, sign)] if span is None else [(0, sign), (round(span * 1_000_000) + 1, -sign)]
-                    asked_by[i] += [{"group": groups[same], "set": own, "back": back, "probe": len(wanted), "sign": s} for back, s in ends]
-                wanted.append((i, c, option.count))
+                    terms += [(asked.setdefault((groups[same], own, back), len(asked)), s) for back, s in ends]
+                options.append((option.count, tuple(terms)))
+                used[-1] += [probe for probe, _ in terms]
+            needs[-1].append(clauses.setdefault(tuple(options), len(clauses)))
     met = F.array_compact(F.array(*[F.when(r.where, F.lit(i)) for i, r in enumerate(rules)]))
     numbered = events.withColumn("__met", met).withColumn("__id", F.monotonically_increasing_id())
     # a trigger's row is kept whole, with the keys that its rules search by
@@ -292,20 +297,24 @@ def _evaluate_shared(rules: Sequence[Rule], events: DataFrame, ts: str, history:
         none = [F.lit(None).cast(tagged.schema[c].dataType).alias(c) for c in ("id", "met", "sets", "timed", "row")]
         tagged = tagged.union(_spread(history, past, *none))
     table = written(tagged.filter(_WHOLE_KEY), "tagged")
-    # what each rule asks for is one constant; its triggers become probes from it
-    constant = F.from_json(F.lit(json.dumps(asked_by)), "array<array<struct<group:int,set:int,back:bigint,probe:int,sign:int>>>")
-    probes = table.filter("past = -1 AND timed").select("id", "at", "sets", F.explode("met").alias("r"))
-    probes = probes.select("id", "at", "sets", F.explode(F.element_at(constant, F.col("r") + 1)).alias("p"))
-    probes = probes.select("id", F.col("p.group").alias("group"), F.element_at("sets", F.col("p.set") + 1).alias("keys"), (F.col("at") - F.col("p.back")).alias("at"), F.lit(0).alias("past"), "p.probe", "p.sign")
+    # what rules ask for are constants; a trigger has a probe for each count that
+    # one of its rules asks for, however many do
+    constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    counted = constant([{"group": g, "set": own, "back": back} for g, own, back in asked], "array<struct<group:int,set:int,back:bigint>>")
+    wanted = constant([sorted(set(u)) for u in used], "array<array<int>>")
+    probes = table.filter("past = -1 AND timed").select("id", "at", "sets", F.explode(F.array_distinct(F.flatten(F.transform("met", lambda r: F.element_at(wanted, r + 1))))).alias("probe"))
+    probes = probes.select("id", "at", "sets", "probe", F.element_at(counted, F.col("probe") + 1).alias("p"))
+    probes = probes.select("id", F.col("p.group").alias("group"), F.element_at("sets", F.col("p.set") + 1).alias("keys"), (F.col("at") - F.col("p.back")).alias("at"), F.lit(0).alias("past"), "probe", F.lit(1).alias("sign"))
     tags = table.filter("past = 1").select("id", *_TAGGED).union(probes.filter(_WHOLE_KEY))
-    hits = _counts(tags)
-    at_probe = lambda n: F.element_at(F.array(*[F.lit(w[n]) for w in wanted]), F.col("probe") + 1)
-    good = hits.filter(F.col("hits") >= at_probe(2)) if wanted else hits.filter("false")
-    good = good.select("id", (at_probe(0) if wanted else F.lit(0)).alias("r"), (at_probe(1) if wanted else F.lit(0)).alias("clause")).distinct()
-    good = good.groupBy("id", "r").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    found = table.filter("past = -1").select("id", "row", F.explode("met").alias("r")).join(good, ["id", "r"], "left")
-    found = found.filter(F.coalesce("n", F.lit(0)) == F.element_at(F.array(*[F.lit(n) for n in clauses]), F.col("r") + 1))
-    return _scored(found.select("row.*", F.col("r").alias("__rule")), rules, F.col("__rule")).drop("__rule")
+    hits = _counts(tags).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("probe", "hits"))).alias("hits"))
+    found = table.filter("past = -1").select("id", "row", "met").join(hits, "id", "left")
+    searches = constant([[{"least": least, "terms": [{"probe": p, "sign": s} for p, s in terms]} for least, terms in options] for options in clauses], "array<array<struct<least:bigint,terms:array<struct<probe:int,sign:int>>>>>")
+    total = lambda terms: F.aggregate(terms, F.lit(0).cast("long"), lambda n, t: n + t["sign"] * F.coalesce(F.col("hits")[t["probe"]], F.lit(0)))
+    good = F.transform(searches, lambda options: F.exists(options, lambda o: total(o["terms"]) >= o["least"]))
+    needed = constant(needs, "array<array<int>>")
+    # bound in an array, so that searches are judged once a trigger, not once a rule
+    alerting = F.transform(F.array(good), lambda g: F.filter("met", lambda r: F.forall(F.element_at(needed, r + 1), lambda c: F.element_at(g, c + 1))))[0]
+    return _scored(found.select("row", F.explode(alerting).alias("__rule")).select("row.*", "__rule"), rules, F.col("__rule")).drop("__rule")
 
 
 def impact_score(confidentiality: int = 0, integrity: int = 0, availability: int = 0) -> float:

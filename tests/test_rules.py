@@ -193,3 +193,19 @@ def test_empty_tables(spark, events):
     assert R.evaluate_all(rule_set(), none).count() == 0
     assert R.evaluate_all([], events).count() == 0
     assert R.evaluate(rule_set()[0], events, history=none).count() == 0
+
+
+def test_many_rules_share_their_counts(events, rows, monkeypatch):
+    """What is counted for a trigger grows with the distinct searches, not with the rules."""
+    rules = [R.Rule(f"r{i}", P.term("kind", "error"), (R.Lookback({"user": "user"}, f"{1 + i % 2}h", 1 + i % 3, P.term("kind", "click")),)) for i in range(24)]
+    seen, counts = [], R._counts
+    monkeypatch.setattr(R, "_counts", lambda tags: seen.append(tags.filter("past = 0").count()) or counts(tags))
+    got = {(r["event_id"], r["rule"]) for r in R.evaluate_all(rules, events).collect()}
+    own = [dict(zip(NAMES, r)) for r in rows if r[4] == "error"]
+    want = set()
+    for i, rule in enumerate(rules):
+        look = rule.lookbacks[0]
+        want |= {(t["event_id"], f"r{i}") for t in own if hits(t, rows, look, lambda h: h["kind"] == "click") >= look.count}
+    assert got == want and got
+    timed = sum(t["ts"] is not None and t["user"] is not None for t in own)
+    assert sum(seen) <= 3 * timed
