@@ -96,7 +96,8 @@ def exact_percentiles(df: DataFrame, field, percents: Sequence[float] = PERCENTS
         place = (F.col("__total") - 1) * F.lit(p / 100)
         low, high = (F.min(F.when(F.col("__upto") > f(place), F.col("__v"))) for f in (F.floor, F.ceil))
         part = F.max(place - F.floor(place))
-        out.append((low + (high - low) * part).alias(f"p{p:g}".replace(".", "_")))
+        # weighed as the engine's own aggregate does, to the last bit
+        out.append(F.when(part == 0, low).otherwise(low * (1 - part) + high * part).alias(f"p{p:g}".replace(".", "_")))
     return joined.groupBy(*by).agg(*out)
 
 

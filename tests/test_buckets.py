@@ -158,3 +158,14 @@ def test_exact_percentiles(spark):
     every = sorted(x for v in by.values() for x in v)
     assert [round(v, 9) for v in A.exact_percentiles(df, "x", percents).first()] == [round(at(every, p), 9) for p in percents]
     assert A.exact_percentiles(df.limit(0), "x", percents).first()["p50"] is None
+
+
+def test_percentiles_hold_no_buffer_of_values(spark, sf):
+    from sievelake.plans.queries import QUERIES
+
+    found = QUERIES["percentiles"](spark, sf)
+    assert "percentile(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    # between 26962.01 and 26962.02 as the engine's aggregate weighs them, to the last bit
+    df = spark.createDataFrame([(26962.01,), (26962.02,)], "x double")
+    assert A.exact_percentiles(df, "x", (75,)).first()["p75"] == df.agg(F.percentile("x", 0.75)).first()[0]
+    assert A.exact_percentiles(df.union(spark.createDataFrame([(float("inf"),)], "x double")), "x", (100,)).first()["p100"] == float("inf")
