@@ -84,3 +84,17 @@ def test_empty_tables(spark, addresses):
     none = spark.createDataFrame([], "net long, cidr string")
     assert net.join_networks(addresses, "ip", none).count() == 0
     assert net.join_networks(addresses.limit(0), "ip", spark.createDataFrame([(1, "::/0")], "net long, cidr string")).count() == 0
+
+
+@pytest.mark.parametrize("pack", [2, 512])
+def test_networks_of_one_prefix_go_in_packs(spark, monkeypatch, pack):
+    """A row meets packs of equal networks, and the plan joins no row for each of them."""
+    monkeypatch.setattr(net, "PACK", pack)
+    nets = spark.createDataFrame([(i, "10.0.0.0/8" if i % 3 else "10.1.0.0/16") for i in range(30)], "net long, cidr string")
+    rows = spark.createDataFrame([(i, f"10.{i % 2}.0.1" if i else None) for i in range(12)], "id long, ip string")
+    want = sorted((i, n) for i in range(1, 12) for n in range(30) if n % 3 or i % 2)
+    found = net.join_networks(rows, "ip", nets, longest=False)
+    assert sorted((r["id"], r["net"]) for r in found.collect()) == want and found.columns == ["id", "ip", "net", "cidr"]
+    left = net.join_networks(rows, "ip", nets, longest=False, how="left")
+    assert sorted((r["id"], r["net"]) for r in left.filter("id > 0").collect()) == want and left.filter("id = 0 AND net IS NULL").count() == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Project") and "explode(__nets" in found._jdf.queryExecution().optimizedPlan().toString()
