@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 import zlib
 
@@ -132,3 +133,29 @@ def test_sample_is_bounded(trained, spark):
     docs, _ = trained
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     toxicity.train(docs, labels, Training(documents=50, sentences=200, landmarks=8))
+
+
+def test_stems_with_endings_of_their_own(spark):
+    rng = random.Random(4)
+    parts = ["an", "le", "ré", "on", "ti", "ou", "è", "ment", "qu", "ai"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+    rows, labels = [], []
+    for i in range(900):
+        words, toxic = [word() for _ in range(rng.randint(30, 120))], int(i % 8 == 0)
+        if toxic:
+            for at in rng.sample(range(30), 2):
+                words[at] = rng.choice(["vêqu", "Vejor", '"vêqu']) + "".join(rng.choice(parts) for _ in range(3))
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = toxicity.train(docs.filter("doc_id < 700"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = {r["doc_id"]: r["score"] >= 0.7 for r in toxicity.score(docs.filter("doc_id >= 700"), model).collect()}
+    assert found == {i: bool(y) for i, y in labels if i >= 700}
+    # the counts are those of documents, by definition
+    held = {}
+    for i, t in rows:
+        words = [w.lower().strip('"') for w in t.split()]
+        for s in {w[:n] for w in words for n in toxicity.STARTS if len(w) >= n}:
+            held.setdefault(toxicity.MARK + s, [0, 0])[1 - labels[i][1]] += 1
+    counts = toxicity.start_counts(docs.join(spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id")).collect()
+    assert {r["start"]: [r["p"], r["n"]] for r in counts} == held
