@@ -161,6 +161,23 @@ def encoder_for(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def ranked_pairs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of ``pairs`` in ascending order, the distinct ones, their counts).
+
+    A pair has 40 bits; with its place in the other 24 numbers alone are sorted,
+    which is faster than sorting places by them.
+    """
+    if len(pairs) <= 1 << 24:
+        both = pairs.astype(np.uint64) << np.uint64(24) | np.arange(len(pairs), dtype=np.uint64)
+        both.sort()
+        order, ranked = (both & np.uint64((1 << 24) - 1)).view(np.int64), (both >> np.uint64(24)).view(np.int64)
+    else:
+        order = np.argsort(pairs, kind="stable")
+        ranked = pairs[order]
+    start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    return order, ranked[start], np.diff(np.append(start, len(ranked)))
+
+
 def compress(ids: np.ndarray, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, expansion lengths, sequence) of a Re-Pair grammar for ``ids``.
 
@@ -173,24 +190,30 @@ def compress(ids: np.ndarray, least: int = 8) -> tuple[np.ndarray, np.ndarray, n
     counts the pairs with a symbol of the round before and those that were
     frequent then, not the whole sequence.
     """
-    sequence = ids.astype(np.int64)
+    sequence = ids.astype(np.int32)
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
     n_rules = 0
-    live = np.ones(max(0, len(sequence) - 1), bool)
+    live = np.ones(len(sequence), bool)
+    live[-1:] = False  # the last has no neighbour
     while len(at := np.flatnonzero(live)):
-        distinct, which, counts = np.unique((sequence[at] << 20) | sequence[at + 1], return_inverse=True, return_counts=True)
+        order, distinct, counts = ranked_pairs(sequence[at].astype(np.int64) << 20 | sequence[at + 1])
         most = int(counts.max())
         if most < least:
             break
-        live[at[(counts < least)[which]]] = False
-        hit = (counts >= max(least, most // 4))[which]
+        live[at[order[np.repeat(counts < least, counts)]]] = False
+        often = counts >= max(least, most // 4)
+        which = np.full(len(at), -1)
+        which[order[np.repeat(often, counts)]] = np.repeat(np.flatnonzero(often), counts[often])
+        hit = which >= 0
         where, rule = at[hit], which[hit]
         # in a run of overlapping occurrences every second one, from the first
         run = np.concatenate([[True], np.diff(where) != 1])
         odd = (where - where[run][np.cumsum(run) - 1]) % 2 == 1
         where, rule = where[~odd], rule[~odd]
-        used, rule = np.unique(rule, return_inverse=True)
+        taken = np.zeros(len(distinct), bool)
+        taken[rule] = True
+        used, rule = np.flatnonzero(taken), (np.cumsum(taken) - 1)[rule]
         if n_rules + len(used) > (1 << 20) - FIRST_RULE:
             break
         made = distinct[used]
@@ -202,13 +225,14 @@ def compress(ids: np.ndarray, least: int = 8) -> tuple[np.ndarray, np.ndarray, n
         sequence[where] = FIRST_RULE + n_rules + rule
         keep = np.ones(len(sequence), bool)
         keep[where + 1] = False
-        fresh = np.zeros(len(sequence), bool)
-        fresh[where] = True
-        live = np.append(live, False)[keep]
-        sequence, fresh = sequence[keep], fresh[keep]
-        live = (live | fresh)[:-1] | fresh[1:]
+        kept = np.flatnonzero(keep)
+        sequence, live = sequence[kept], live[kept]
+        fresh = where - np.arange(len(where))  # as many went before each
+        live[fresh] = True
+        live[fresh[fresh > 0] - 1] = True
+        live[-1] = False
         n_rules += len(used)
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), lengths, sequence
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), lengths, sequence.astype(np.int64)
 
 
 class Grammar:

@@ -87,3 +87,14 @@ def test_repeats_shrink_to_their_grammar():
     ids = np.concatenate([np.concatenate([passage, rng.integers(0, 40_000, 20)]) for _ in range(400)]).astype(np.uint32)
     rules, _, sequence = token_files.compress(ids)
     assert len(sequence) <= 400 * 22 and 299 <= len(rules) <= 400
+
+
+def test_ranked_pairs():
+    rng = np.random.default_rng(1)
+    for n, most in ((1, 5), (1000, 40), (70_000, 1 << 40)):
+        pairs = rng.integers(0, most, n)
+        pairs[0] = most - 1
+        order, distinct, counts = token_files.ranked_pairs(pairs)
+        want = np.unique(pairs, return_counts=True)
+        assert (distinct == want[0]).all() and (counts == want[1]).all()
+        assert (order == np.argsort(pairs, kind="stable")).all()
