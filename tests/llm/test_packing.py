@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -90,3 +91,16 @@ def test_many_lengths_are_rounded_in_proportion(spark):
     assert len(lengths) <= 400 and counts.sum() == 5000 and lengths[-1] >= 5000
     assert lengths[: 1 << kept].tolist() == list(range(1, (1 << kept) + 1))
     assert (np.diff(lengths) <= np.maximum(1, lengths[1:] / (1 << kept - 1))).all()
+
+
+def test_python_gets_small_batches(spark, tmp_path, monkeypatch):
+    """However many batches of ids a partition holds, Arrow batches stay small."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["nbytes"])
+
+    monkeypatch.setattr(packing, "read_batches", lambda spark, path: spark.read.parquet(path).select("ids").coalesce(1).mapInArrow(sizes, "nbytes long"))
+    docs = spark.range(0, 9000, 1, 1).selectExpr("id as doc_id", "repeat('some words ', 100) as text")
+    found = [r["nbytes"] for r in packing.pack(docs, str(tmp_path / "p"), PATH).collect()]
+    assert sum(found) >= 9000 * 200 * 4 and max(found) < 5_000_000
