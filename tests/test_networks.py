@@ -2,6 +2,7 @@
 
 import ipaddress
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,38 @@ def test_networks_of_one_prefix_go_in_packs(spark, monkeypatch, pack):
     left = net.join_networks(rows, "ip", nets, longest=False, how="left")
     assert sorted((r["id"], r["net"]) for r in left.filter("id > 0").collect()) == want and left.filter("id = 0 AND net IS NULL").count() == 1
     assert found._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Project") and "explode(__nets" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("panel,slice_,pairs", [(64, 16384, 1 << 22), (2, 16384, 1 << 22), (64, 3, 1 << 22), (2, 5, 8), (1, 1, 1)])
+def test_rows_and_packs_meet_once_in_cells(spark, monkeypatch, panel, slice_, pairs):
+    """Any slices and panels give each pair once, also of equal rows and equal networks."""
+    for name, value in {"PACK": 3, "PANEL": panel, "SLICE": slice_, "PAIRS": pairs}.items():
+        monkeypatch.setattr(net, name, value)
+    table = [(i // 2, ["10.0.0.0/8", "10.1.0.0/16", "10.1.0.0/30", "fe80::/10"][i % 4]) for i in range(60)]
+    held = [(i // 3, [f"10.{i % 2}.0.{i % 5}", "fe80::1", "11.0.0.1", None][i % 4]) for i in range(48)]
+    inside = lambda ip, cidr: ip is not None and span(cidr)[0] <= number(ip) <= span(cidr)[1]
+    want = [(i, ip, n, c) for i, ip in held for n, c in table if inside(ip, c)]
+    alone = [(i, ip, None, None) for i, ip in held if not any(inside(ip, c) for _, c in table)]
+    rows, nets = spark.createDataFrame(held, "id long, ip string"), spark.createDataFrame(table, "net long, cidr string")
+    assert Counter(map(tuple, net.join_networks(rows, "ip", nets, longest=False).collect())) == Counter(want)
+    assert Counter(map(tuple, net.join_networks(rows, "ip", nets, longest=False, how="left").collect())) == Counter(want + alone)
+
+
+def records_sent(plan) -> int:
+    """Records that the exchanges of a plan that ran have written."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return records_sent(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return records_sent(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(records_sent(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_what_is_sent_does_not_grow_with_the_product(spark, monkeypatch):
+    monkeypatch.setattr(net, "PACK", 8)
+    nets = spark.createDataFrame([(i, "10.0.0.0/8") for i in range(400)], "net long, cidr string")
+    rows = spark.createDataFrame([(i, f"10.0.{i % 7}.1") for i in range(2000)], "id long, ip string")
+    found = net.join_networks(rows, "ip", nets, longest=False)
+    assert len(found.collect()) == 2000 * 400
+    assert 0 < records_sent(found._jdf.queryExecution().executedPlan()) < 4 * (2000 + 400)
